@@ -9,7 +9,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,12 +23,26 @@ SLICE_BYTES = 4 << 20
 
 
 def session(spark: SparkSession) -> SparkSession:
-    """Bound what an Arrow batch may hold: rows can be very long texts."""
+    """Bound what an Arrow batch may hold, as rows can be very long texts, and let executors import this package."""
+    _ship(spark.sparkContext)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark
 
 
+def _ship(sc) -> None:
+    """Give executors this package through Spark's own file server, once a context; needed where it isn't installed on them."""
+    if getattr(sc, "_sparkweld_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    out = Path(tempfile.mkdtemp(prefix="pyfiles-")) / "sparkweld_src.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    sc.addPyFile(str(out))
+    sc._sparkweld_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``, as the session has it.
 

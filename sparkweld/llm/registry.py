@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from sparkweld.llm import simhash
+from sparkweld.llm import decontaminate, language, quality, simhash, toxicity
 
 QUERIES = {
+    "op4_quality": quality.query,
+    "op5_decontamination": decontaminate.query,
+    "op6_toxicity": toxicity.query,
     "op8_simhash": simhash.query,
+    "op10_language": language.query,
 }
 ORACLES: dict[str, str] = {}

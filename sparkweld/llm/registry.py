@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from sparkweld.llm import decontaminate, language, quality, simhash, toxicity
+from sparkweld.llm import decontaminate, language, quality, simhash, substrings, toxicity
 
 QUERIES = {
     "op4_quality": quality.query,
     "op5_decontamination": decontaminate.query,
     "op6_toxicity": toxicity.query,
+    "op7_substrings": substrings.query,
     "op8_simhash": simhash.query,
     "op10_language": language.query,
 }

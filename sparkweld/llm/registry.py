@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sparkweld.llm import decontaminate, language, quality, simhash, substrings, toxicity
+from sparkweld.llm import bpe, decontaminate, language, quality, simhash, substrings, toxicity
 
 QUERIES = {
+    "op2_byte_bpe": bpe.query,
     "op4_quality": quality.query,
     "op5_decontamination": decontaminate.query,
     "op6_toxicity": toxicity.query,

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from sparkweld.llm import bpe, decontaminate, language, quality, simhash, substrings, toxicity
+from sparkweld.llm import bpe, decontaminate, language, licenses, quality, simhash, substrings, toxicity, warc
 
 QUERIES = {
+    "op1_warc": warc.query,
     "op2_byte_bpe": bpe.query,
     "op4_quality": quality.query,
     "op5_decontamination": decontaminate.query,
     "op6_toxicity": toxicity.query,
     "op7_substrings": substrings.query,
     "op8_simhash": simhash.query,
+    "op9_licenses": licenses.query,
     "op10_language": language.query,
 }
 ORACLES: dict[str, str] = {}

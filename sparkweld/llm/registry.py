@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sparkweld.llm import bpe, decontaminate, language, licenses, quality, simhash, substrings, toxicity, warc
+from sparkweld.llm import bpe, decontaminate, fingerprints, language, licenses, quality, simhash, substrings, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.query,
     "op2_byte_bpe": bpe.query,
+    "op3_fingerprints": fingerprints.query,
     "op4_quality": quality.query,
     "op5_decontamination": decontaminate.query,
     "op6_toxicity": toxicity.query,

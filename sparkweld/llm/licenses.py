@@ -142,12 +142,13 @@ class Index:
         found: dict[int, list[tuple[int, float, int, int, int]]] = defaultdict(list)
         for (d, t), diagonals in sorted(self.candidates(docs).items()):
             words, template, last = docs[d], self.words[t], None
+            wide = min(band, (len(template) - 1) // 2)  # else a short template's neighbouring copies share a band
             for g in sorted(set(diagonals)):
-                if last is not None and g - last <= band // 2:
+                if last is not None and g - last <= wide // 2:
                     continue  # the band around the last diagonal holds this one
                 last = g
-                a, b = max(0, g - band), min(len(words), g + len(template) + band)
-                m, start, stop = align(template, words[a:b], g - a, band)
+                a, b = max(0, g - wide), min(len(words), g + len(template) + wide)
+                m, start, stop = align(template, words[a:b], g - a, wide)
                 if m and m / len(template) >= coverage:
                     found[d].append((-m, -m / len(template), t, a + start, a + stop))
         for d, all_found in found.items():

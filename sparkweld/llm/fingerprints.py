@@ -1,6 +1,6 @@
 """Document fingerprints: invertible Bloom lookup sketches, in DataFrame operations only.
 
-A text is cut into paragraphs: lines, and within a line the sentences, long ones in runs of eight words. The set of the
+A text is cut into paragraphs: lines, long ones in runs of sixteen words. The set of the
 paragraphs' 64-bit digests goes into a sketch: each digest is added to one cell of each of three subtables, a cell being
 a count, the XOR of its digests and the XOR of their check hashes. Sketches of two versions with equal sizes subtract cell
 by cell, here by adding their entries with opposite signs. Peeling then recovers the digests in which the versions differ:
@@ -23,17 +23,21 @@ ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkweld.llm.common import release, save, table
 
-#: A run of at most eight words that ends at a line's end or after a word with sentence punctuation.
-PARAGRAPH = r"(?:\S*[^\s.!?][^\S\n]+){0,7}\S+"
+#: A run of at most sixteen words of one line.
+PARAGRAPH = r"\S+(?:[^\S\n]+\S+){0,15}"
 BASE = 4
-STEPS = 15
-#: Ranges of ids at most; each is a window partition.
-RANGES = 4096
+STEPS = 12
+#: Cells of a subtable for each digest of both versions, and beside these.
+CELLS, MORE_CELLS = 0.75, 8
+#: Characters of text in a range of ids, ranges at most (their bounds travel with the plan), and ranges in a task.
+RANGE_CHARS, RANGES, RANGES_A_TASK = 800_000, 65_536, 6
 ATTEMPTS = 12
 
 
@@ -43,27 +47,31 @@ def digests(text: str | Column) -> Column:
     return F.transform(F.regexp_extract_all(col, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(p))
 
 
-def _range_of(docs: DataFrame) -> Column:
-    """Number of a row's range of ids, -1 without an id: quantile bounds, searched in two steps."""
-    n = min(RANGES, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    bounds = docs.agg(F.percentile_approx("doc_id", F.lit([i / n for i in range(1, n)]), F.lit(20 * n)).alias("x")).first().x
+def _range_of(docs: DataFrame) -> tuple[Column, int]:
+    """Number of a row's range of ids, -1 without an id, and the number of ranges: quantile bounds, searched in two steps."""
+    chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
+    n = min(RANGES, max(2, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // RANGE_CHARS)))
+    bounds = docs.agg(F.percentile_approx("doc_id", F.lit([i / n for i in range(1, n)]), F.lit(max(10_000, 4 * n))).alias("x")).first().x
     bounds = sorted(set(bounds or [0]))
-    groups = [bounds[i : i + 64] for i in range(0, len(bounds), 64)]
+    step = math.isqrt(len(bounds)) + 1
+    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
     count = lambda xs: F.size(F.filter(xs, lambda x: x < F.col("doc_id")))
     group = count(F.lit([g[-1] for g in groups]))
     within = count(F.try_element_at(F.array(*(F.lit(g) for g in groups)), group + 1))
     # past the last bound there is no group, and size(null) is not a count
-    return F.when(F.col("doc_id").isNull(), -1).when(group == len(groups), len(bounds)).otherwise(group * 64 + within).cast("int")
+    return F.when(F.col("doc_id").isNull(), -1).when(group == len(groups), len(bounds)).otherwise(group * step + within).cast("int"), n
 
 
-def versions(docs: DataFrame) -> DataFrame:
-    """``(part, place, guest, doc_id, n_chars, edited_sha256, own, kept, tail)``: digests of every text and its edit.
+def versions(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``(part, place, guest, doc_id, n_chars, edited_sha256, own, kept, tail)``: digests of every text and its edit; and
+    the number of ranges.
 
     The edited text's digests are the first ``kept`` of ``own``, then ``tail``. A guest stands at the end of a range
     for the next document of the range's last one.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("part", _range_of(rows))
+    part, ranges = _range_of(rows)
+    rows = rows.withColumn("part", part)
     first = {r.part: r.id for r in rows.groupBy("part").agg(F.max("doc_id").alias("id")).collect()}  # at most RANGES + 1
     order = sorted(first, reverse=True)
     guests = rows.where(F.col("doc_id").isin([i for i in first.values() if i is not None]) | (F.lit(-1 in first) & F.col("doc_id").isNull()))
@@ -83,7 +91,7 @@ def versions(docs: DataFrame) -> DataFrame:
     kept = F.greatest(F.lit(0), F.size(F.regexp_extract_all("head", F.lit(PARAGRAPH), F.lit(0))) - 1)
     x = x.select("part", "place", "guest", "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), digests("text").alias("own"), kept.alias("kept"), digests("edited").alias("new"))
     tail = F.slice("new", F.col("kept") + 1, F.greatest(F.lit(0), F.size("new") - F.col("kept")))
-    return x.select("part", "place", "guest", "doc_id", "n_chars", "edited_sha256", "own", "kept", tail.alias("tail"))
+    return x.select("part", "place", "guest", "doc_id", "n_chars", "edited_sha256", "own", "kept", tail.alias("tail")), ranges
 
 
 def _cell(key: Column | str, sub: int, size: Column | str, seed: int) -> Column:
@@ -103,7 +111,7 @@ def _added(rows: DataFrame) -> DataFrame:
 def sketches(rows: DataFrame, growth: int, seed: int, base: bool) -> DataFrame:
     """``rows(part, place, own, edited, next)``, sets of digests. Cells ``(part, place, pair, size, cell, n, key, check)``:
     pair 0 is own less edited, pair 1 own less next, and with ``base`` 2 and 3 are the base sketches of own and edited."""
-    size = lambda a, b: (F.ceil((F.size(a) + F.size(b)) * 0.5) + 4) * growth
+    size = lambda a, b: (F.ceil((F.size(a) + F.size(b)) * CELLS) + MORE_CELLS) * growth
     entry = lambda pair, sign, n, keys: F.struct(F.lit(pair).alias("pair"), F.lit(sign).cast("long").alias("n"), n.cast("long").alias("size"), F.col(keys).alias("keys"))
     e, x = size("own", "edited"), size("own", "next")
     entries = [entry(0, 1, e, "own"), entry(0, -1, e, "edited"), entry(1, 1, x, "own"), entry(1, -1, x, "next")]
@@ -114,15 +122,17 @@ def sketches(rows: DataFrame, growth: int, seed: int, base: bool) -> DataFrame:
     return _added(out)
 
 
-def peel(cells: DataFrame, seed: int, steps: int = STEPS) -> DataFrame:
-    """Peels pairs 0 and 1. A recovered digest is a row of pair 10 or 11 whose cell and key are the digest."""
+def peel(cells: DataFrame, seed: int, steps: int = STEPS, recover: bool = False) -> DataFrame:
+    """Peels pairs 0 and 1. What is recovered is rows of pair 10 or 11: a row a digest, its cell and key being the digest,
+    where ``recover`` is set, else one row for each version that has digests of its own (cells 1 and -1) with their number
+    and their XOR."""
     for i in range(steps):
         sub = i % 3
         pure = (F.col("pair") < 2) & (F.abs("n") == 1) & (F.col("check") == _check("key")) & (F.col("cell") == _cell("key", sub, "size", seed))
         row = lambda pair, cell, n, key, check: F.struct(pair.alias("pair"), cell.alias("cell"), n.alias("n"), key.alias("key"), check.alias("check"))
         same = row(*(F.col(c) for c in ("pair", "cell", "n", "key", "check")))
         taken = [row(F.col("pair"), _cell("key", s, "size", seed), -F.col("n"), F.col("key"), F.col("check")) for s in range(3) if s != sub]
-        found = row(F.col("pair") + 10, F.col("key"), F.col("n"), F.col("key"), F.lit(0).cast("long"))
+        found = row(F.col("pair") + 10, F.col("key" if recover else "n"), F.col("n"), F.col("key"), F.lit(0).cast("long"))
         x = cells.select("part", "place", "size", F.explode(F.when(pure, F.array(found, *taken)).otherwise(F.array(same))).alias("e"))
         cells = _added(x.select("part", "place", "size", "e.*"))
     return cells
@@ -134,7 +144,8 @@ def _outcome(cells: DataFrame) -> DataFrame:
     at = F.col("pair")
     parts = []
     for p in (0, 1):
-        parts += [count((at == p + 10) & (F.col("n") > 0)).alias(f"more{p}"), count((at == p + 10) & (F.col("n") < 0)).alias(f"less{p}"), count(at == p).alias(f"left{p}")]
+        own = lambda sign, p=p: F.sum(F.when((at == p + 10) & (F.col("n") * sign > 0), F.abs("n")).otherwise(0))
+        parts += [own(1).alias(f"more{p}"), own(-1).alias(f"less{p}"), count(at == p).alias(f"left{p}")]
     for p in (2, 3):
         held = F.array_sort(F.collect_list(F.when(at == p, F.struct("cell", "n", "key", "check"))))
         text = F.transform(held, lambda c: F.concat(F.hex(c["cell"]), F.lit("."), F.hex(c["n"]), F.lit("."), F.hex(c["key"]), F.lit("."), F.hex(F.shiftrightunsigned(c["check"], 32))))
@@ -155,9 +166,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)`` for each row of
     ``docs(doc_id, text)``."""
     spark = docs.sparkSession
-    rows = save(versions(docs), "versions")
+    rows, ranges = versions(docs)
+    rows = save(rows, "versions")
     release(spark)
-    first = save(_outcome(peel(sketches(_sets(rows), 1, 0, True), 0)), "sketches")
+    # a task's cells fit in its memory: tasks follow the amount of text and not the session's setting
+    tasks = -(-ranges // RANGES_A_TASK)
+    first = save(_outcome(peel(sketches(_sets(rows.repartition(tasks, "part")), 1, 0, True), 0)), "sketches")
     release(spark)
     results, failed = [first], first.where("left0 > 0 or left1 > 0").select("part", "place")
     for attempt in range(1, ATTEMPTS + 1):
@@ -186,5 +200,25 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_chars", "edited_sha256", name("sketch2").alias("fingerprint"), name("sketch3").alias("edited_fingerprint"), likeness(0).alias("near_edited"), likeness(1).alias("near_next"))
 
 
+def differences(rows: DataFrame) -> DataFrame:
+    """``rows(part, place, own, edited, next)``, digest sets; returns ``(part, place, pair, digest, side)`` for pair 0 (own
+    and edited) and 1 (own and next): digests that only the first (side 1) or only the second version (side -1) has. Pairs
+    that a sketch of the first size can't decode are retried as in ``fingerprints``."""
+    out, left = [], rows
+    for attempt in range(ATTEMPTS):
+        cells = save(peel(sketches(left, 2**attempt, attempt, False), attempt, recover=True), "differences")
+        failed = cells.where("pair < 2").select("part", "place").distinct()
+        out.append(cells.where("pair >= 10").join(failed, ["part", "place"], "left_anti").select("part", "place", (F.col("pair") - 10).alias("pair"), F.col("key").alias("digest"), F.col("n").cast("int").alias("side")))
+        if failed.isEmpty():
+            break
+        left = left.join(failed, ["part", "place"], "left_semi")
+    else:
+        raise RuntimeError("sketches can't be decoded")
+    every = out[0]
+    for x in out[1:]:
+        every = every.unionByName(x)
+    return every
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))

@@ -9,40 +9,27 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkweld.session import ship
+
 #: Text handled at once by a Python worker: bounds its memory whatever the Arrow batch holds.
 SLICE_BYTES = 4 << 20
 
 
 def session(spark: SparkSession) -> SparkSession:
     """Bound what an Arrow batch may hold, as rows can be very long texts, and let executors import this package."""
-    _ship(spark.sparkContext)
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark
 
 
-def _ship(sc) -> None:
-    """Give executors this package through Spark's own file server, once a context; needed where it isn't installed on them."""
-    if getattr(sc, "_sparkweld_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    out = Path(tempfile.mkdtemp(prefix="pyfiles-")) / "sparkweld_src.zip"
-    with zipfile.ZipFile(out, "w") as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f.relative_to(top.parent))
-    sc.addPyFile(str(out))
-    sc._sparkweld_shipped = True
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``, as the session has it.
 
@@ -63,7 +50,15 @@ def save(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def drop(saved: DataFrame) -> None:
+    """Delete a table of ``save`` that nothing will read again."""
+    path = saved.sparkSession._jvm.org.apache.hadoop.fs.Path(saved._saved_at)
+    path.getFileSystem(saved.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -107,3 +102,12 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], salt_by: list[s
     left = big.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
+def hashed_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """About ``n`` rows at most, those with the least hash of their key; the same rows on every run.
+
+    A bound on the hash picks them in each task, so that no task sends more than its share.
+    """
+    share = min(1.0, n / max(1, rows.count()))
+    return rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30)))

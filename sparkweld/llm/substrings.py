@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkweld.llm.common import release, save, session, slices, table
+from sparkweld.llm.common import drop, release, save, session, slices, table
 from sparkweld.llm.winnow import anchors, grams, lay, mix, word_hashes
 
 WINDOW = 13
@@ -96,9 +96,10 @@ def _unroll(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first, size, c, key = (np.array([r[n] for r in reps[i]], np.int64) for n in ("first", "size", "c", "h"))
             j = np.repeat(np.arange(len(first)), size)
             step = np.arange(len(j)) - np.repeat(np.cumsum(size) - size, size)
-            out.append((key[j], h[first[j] + step], c[j], np.full(len(j), ids[i]), step))
+            at = first[j] + (_tag(text) << 32)
+            out.append((key[j], h[first[j] + step], c[j], np.full(len(j), ids[i]), at, step))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], ["h", "w", "c", "doc", "step"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], ["h", "w", "c", "doc", "at", "step"])
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,27 +110,41 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     shared = save(shared.select("h"), "anchors")
     release(spark)
     seen = save(texts.mapInArrow(_scan(True), "h long, doc long, c long, at long, size tinyint").join(shared, "h"), "occurrences")
+    drop(shared)
     release(spark)
     alike = save(seen.groupBy("h", "c").agg(F.min(F.struct("doc", "at", "size")).alias("first")), "contexts")
-    # occurrences after the first of their context: every window of theirs is known from there
-    both = seen.join(alike.select("h", "c", F.col("first.doc").alias("low")), ["h", "c"])
-    later = both.where("doc > low").select("doc", "at", F.lit(0).alias("step"), F.col("size").cast("int").alias("n"))
+    release(spark)
+    # occurrences after the first document of their context: every window of theirs is known from there; and those in
+    # the first document itself, but at another place, which keep the names of their anchor and context
+    both = seen.join(alike.select("h", "c", F.col("first.doc").alias("low"), F.col("first.at").alias("first_at")), ["h", "c"])
+    named = lambda c: F.when(F.col("doc") == F.col("low"), F.col(c)).alias(c)
+    others = save(both.where("doc > low or at <> first_at").select("doc", "at", "size", named("h"), named("c")), "others")
+    drop(seen)
+    release(spark)
     # anchors with several contexts: one occurrence of each, window by window
     several = save(alike.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "branching")
-    reps = alike.join(several, "h").select("first.*", "h", "c")
     parts = F.struct(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("first"), F.col("size").cast("long").alias("size"), "c", "h")
-    reps = reps.groupBy("doc", F.shiftright("at", 32).alias("tag")).agg(F.collect_list(parts).alias("reps"))
-    placed = texts.withColumn("tag", tag_column("text"))
-    rows = placed.join(reps, ["doc", "tag"]).select("doc", "text", "reps")
-    windows = save(rows.mapInArrow(_unroll, "h long, w long, c long, doc long, step long"), "windows")
+    reps = alike.join(several, "h").select("first.*", "h", "c").groupBy("doc", F.shiftright("at", 32).alias("tag")).agg(F.collect_list(parts).alias("reps"))
+    reps = save(reps, "representatives")
+    drop(alike)
+    release(spark)
+    rows = texts.withColumn("tag", tag_column("text")).join(reps, ["doc", "tag"]).select("doc", "text", "reps")
+    windows = save(rows.mapInArrow(_unroll, "h long, w long, c long, doc long, at long, step long"), "windows")
+    drop(reps)
     release(spark)
     lows = save(windows.groupBy("h", "w").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("h", "w", "low"), "window-lows")
-    known = windows.join(lows, ["h", "w"]).where("low < doc").select("h", "c", "step").distinct()
-    edge = both.where("doc = low").join(known, ["h", "c"]).select("doc", "at", F.col("step").cast("int"), F.lit(1).alias("n"))
-    every = later.unionByName(edge)
+    known = windows.join(lows, ["h", "w"]).where("low < doc").select("h", "c", "doc", "at", F.col("step").cast("int").alias("step")).distinct()
+    known = save(known, "known-windows")
+    drop(windows)
+    later = others.where("h is null").select("doc", "at", F.lit(0).alias("step"), F.col("size").cast("int").alias("n"))
+    edge = known.select("doc", "at", "step", F.lit(1).alias("n"))
+    again = others.where("h is not null").select("h", "c", "doc", "at").join(known.select("h", "c", "step").distinct(), ["h", "c"]).select("doc", "at", "step", F.lit(1).alias("n"))
+    every = later.unionByName(edge).unionByName(again)
     start = (F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)) + F.col("step")).cast("int")
     every = every.select("doc", F.shiftright("at", 32).alias("tag"), F.struct(start.alias("start"), (start + F.col("n") - 1 + WINDOW).alias("stop")).alias("span"))
     out = save(every.groupBy("doc", "tag").agg(F.collect_set("span").alias("spans")), "repeats")
+    for x in (others, several, lows, known):
+        drop(x)
     release(spark)
     return out
 

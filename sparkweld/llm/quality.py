@@ -3,7 +3,7 @@
 Each class has a Gaussian whose covariance is shrunk towards the pooled variances; a document's score comes from the
 difference of the two log densities, each a Mahalanobis distance through the class's cached Cholesky factor, put
 through a logistic calibration. The statistics are computed once for every document; the fit takes a bounded sample
-of labelled rows (``SAMPLE``, lowest hash of the id first).
+of labelled rows (about ``SAMPLE`` at most, those with the lowest hash of the id).
 
 Defined cases: null and empty texts have the statistics of a text without words and get a score as others do; without
 labelled rows of both classes every score is the share of label 1 (0.5 without any label); repeated rows keep their
@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkweld.llm.common import fold, save, session, slices, table
+from sparkweld.llm.common import fold, hashed_sample, save, session, slices, table
 
-#: Labelled rows that the fit takes at most.
+#: Labelled rows that the fit takes, about at most.
 SAMPLE = 20_000
 #: Weight of the pooled variances in a class's covariance.
 SHRINK = 0.05
@@ -124,7 +124,7 @@ def featurise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def train(stats: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
     """``stats(id, x)`` and ``labels(doc_id, <label>)``: the fit of the rows outside the held-out fold."""
     named = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y")).where("y in (0, 1)").where(fold("id", FOLDS) != HELD_OUT)
-    taken = named.join(stats, "id").select("x", "y", F.xxhash64("id").alias("o")).orderBy("o").limit(sample).collect()
+    taken = hashed_sample(named, "id", sample).join(stats, "id").select("x", "y").collect()
     return fit(np.array([r.x for r in taken]).reshape(-1, len(NAMES)), np.array([r.y for r in taken], dtype=int))
 
 

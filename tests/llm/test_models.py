@@ -24,8 +24,10 @@ def test_quality_held_out(spark):
 def test_toxicity_held_out(spark):
     x = joined(spark, toxicity.score(table(spark, SF, "documents"), table(spark, SF, "labels")))
     held = x[x.held_out]
-    caught, wrong = (held[held.toxic == 1].predicted == 1).mean(), (held[held.toxic == 0].predicted == 1).mean()
-    assert caught > 0.6 and wrong < 0.03 and x.score.between(0, 1).all()
+    toxic, clean = held[held.toxic == 1], held[held.toxic == 0]
+    # some hundred toxic training texts: most English signs are found, those of languages with a few dozen texts are not
+    above = (toxic.score.to_numpy()[:, None] > clean.score.to_numpy()[None]).mean()
+    assert above > 0.7 and (toxic.predicted == 1).mean() > 0.35 and (clean.predicted == 1).mean() < 0.02 and x.score.between(0, 1).all()
 
 
 def test_language_held_out(spark):
@@ -87,6 +89,11 @@ def test_windows_cover_the_text():
         assert b"".join(toxicity.windows(t)) == b" ".join(t.lower().split())
 
 
+def test_copies_count_once():
+    t = b"one two three four five six seven"
+    assert toxicity.unlike([t, t, t + b" x", b"a b", b"a b", b""]) in ([t, b"a b", b""], [t, t + b" x", b"a b", b""])
+
+
 @pytest.mark.parametrize("texts", [[], [b"a"], [b"a", b"b"]])
 def test_tiny_training_sets(texts):
     s = toxicity.fit(texts, [i % 2 for i in range(len(texts))])

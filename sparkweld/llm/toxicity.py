@@ -5,7 +5,7 @@ beside the same common text in both, so that a window which holds neither compre
 gain is its compressed length with the ordinary dictionary less that with the toxic one. Counts of windows whose gain
 passes each threshold, and the greatest gain, go through a logistic calibration fitted on other training rows.
 
-The fit takes a bounded sample of labelled rows (``SAMPLE`` of each class, lowest hash of the id first).
+The fit takes a bounded sample of labelled rows (about ``SAMPLE`` of each class at most, those with the lowest hash of the id).
 
 Defined cases: null and empty texts have no window and get the calibration's score for that; without labelled rows of
 both classes every score is the share of label 1 (0 without any label); repeated rows keep their rows; rows without an
@@ -25,10 +25,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkweld.llm.common import fold, session, slices, table
+from sparkweld.llm.common import fold, hashed_sample, session, slices, table
 from sparkweld.llm.quality import logistic
+from sparkweld.llm.winnow import grams, word_hashes
 
-#: Labelled rows of each class that the fit takes at most.
+#: Labelled rows of each class that the fit takes, about at most.
 SAMPLE = 3000
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
@@ -158,9 +159,21 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -500, 500)))
 
 
+def unlike(texts: list[bytes]) -> list[bytes]:
+    """One text of each group of copies: those whose least hash of five words in a row is equal."""
+    out: dict[bytes | int, bytes] = {}
+    for t in texts:
+        g = grams(word_hashes(t.split()), 5)
+        out.setdefault(int(g.min()) if len(g) else t, t)
+    return list(out.values())
+
+
 def fit(texts: list[bytes], labels: list[int]) -> Scorer:
-    """Even rows train the dictionaries and odd ones the calibration, within each class."""
-    by = {k: [t for t, y in zip(texts, labels) if y == k] for k in (0, 1)}
+    """Even rows train the dictionaries and odd ones the calibration, within each class.
+
+    Copies count once: a passage that is copied often would pass for a sign of its class.
+    """
+    by = {k: unlike([t for t, y in zip(texts, labels) if y == k]) for k in (0, 1)}
     if not by[0] or not by[1]:
         return Scorer(b"", b"", None, float(len(by[1]) > 0))
     own = {k: [b" ".join(t.translate(_LOWER).split()) for t in (v[::2] if len(v) > 1 else v)] for k, v in by.items()}
@@ -177,10 +190,10 @@ def fit(texts: list[bytes], labels: list[int]) -> Scorer:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Scorer:
     named = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y")).where("y in (0, 1)").where(fold("id", FOLDS) != HELD_OUT)
-    ids = [r for y in (0, 1) for r in named.where(f"y = {y}").orderBy(F.xxhash64("id")).limit(sample).collect()]
+    ids = [r for y in (0, 1) for r in hashed_sample(named.where(f"y = {y}"), "id", sample).collect()]
     if not ids:
         return fit([], [])
-    # at most twice SAMPLE short rows: a bounded broadcast
+    # about twice SAMPLE short rows: a bounded broadcast
     few = docs.sparkSession.createDataFrame(ids, named.schema).groupBy("id").agg(F.max("y").alias("y"))
     rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(few), "id").select("id", "text", "y").collect()
     rows.sort(key=lambda r: (r.id, r.text or ""))

@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again as the next one's input.
 
 1. ``quality``: documents that the quality classifier rejects go.
-2. ``near_duplicates``: of each SimHash group the document with the smallest id stays.
+2. ``near_duplicates``: of each group of texts with a five-word-shingle Jaccard index of 0.8 or more the document with the
+   smallest id stays.
 3. ``substrings``: word runs of 13 or more that a document with a smaller id has are cut out of the text, and
    ``n_chars`` follows; a document that is left without words stays, as an empty text.
 4. ``decontamination``: documents that hold a window of a benchmark item go.
@@ -16,7 +17,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkweld.llm import bpe, decontaminate, quality, simhash, substrings
+from sparkweld.llm import bpe, decontaminate, near, quality, substrings
 from sparkweld.llm.common import save, table
 
 #: The vocabulary, and the pattern that splits texts before its merges.
@@ -28,7 +29,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return near.keep_one(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -108,10 +108,10 @@ def cap(pairs: DataFrame, n: int = CAP) -> DataFrame:
     return pairs.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n)
 
 
-def ordered_candidates(s1: DataFrame, refs: DataFrame, n: int = CAP) -> DataFrame:
-    """BLK-34..43, SET-3, TOP-1: the ten ordered passes without country, capped, from seven joins.
+def ordered_union(s1: DataFrame, refs: DataFrame, n: int | None = None) -> DataFrame:
+    """BLK-34..43, SET-3: pairs of the ten ordered passes without country, each with its first pass, from seven joins.
 
-    An equal cleaned name implies an equal canonical one, equal name and address too, and an equal six-character prefix
+    ``n``: references of a key beyond it are cut before the join; without it the union is whole. An equal cleaned name implies an equal canonical one, equal name and address too, and an equal six-character prefix
     an equal four-character one; so these passes ride on the wider join and get their number from a condition.
     """
     parts = [
@@ -120,7 +120,12 @@ def ordered_candidates(s1: DataFrame, refs: DataFrame, n: int = CAP) -> DataFram
         block(s1, refs, BY_NAME["prefix4"], ref_limit=n, sub_key="prefix6"),
         *(block(s1, refs, BY_NAME[p], ref_limit=n) for p in ("suffix4", "first4", "last4", "postal")),
     ]
-    return cap(union_ordered(parts), n)
+    return union_ordered(parts)
+
+
+def ordered_candidates(s1: DataFrame, refs: DataFrame, n: int = CAP) -> DataFrame:
+    """TOP-1: the ordered passes capped."""
+    return cap(ordered_union(s1, refs, n), n)
 
 
 def limited_candidates(s1: DataFrame, refs: DataFrame, per_pass: int = PASS_LIMIT, final: int = FINAL_CAP, country: str = "wildcard") -> DataFrame:

@@ -21,6 +21,7 @@ from sparkweld.sources import tsv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: The cap that queries with SQL share with it. Production limits are those of the operators: see the ``*_full`` queries.
 CAP = 50
 Sql = str
 
@@ -220,8 +221,8 @@ def _q(spark, sf_dir):
     return b.union_distinct([b.block(s1, refs, b.BY_NAME[p], "nonempty") for p in ("name", "canonical", "address", "name_address")])
 
 
-def _ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return b.ordered_candidates(*_sides(spark, sf_dir), CAP)
+def _ordered(spark: SparkSession, sf_dir: str, n: int = CAP) -> DataFrame:
+    return b.ordered_candidates(*_sides(spark, sf_dir), n)
 
 
 @query("block_union_ordered_cap", f"{_CAND} SELECT s1_id, ref_id, pass_no, position FROM capped")
@@ -278,7 +279,7 @@ def _q(spark, sf_dir):
 
 @query("block_unicode_cap")
 def _q(spark, sf_dir):
-    return b.ordered_candidates(*_sides(spark, sf_dir, "unicode"), CAP).select("s1_id", "ref_id", "pass_no", "position")
+    return b.ordered_candidates(*_sides(spark, sf_dir, "unicode")).select("s1_id", "ref_id", "pass_no", "position")
 
 
 @query("block_devanagari_name")
@@ -349,9 +350,9 @@ def _q(spark, sf_dir):
 # --- similarity and decisions --------------------------------------------------------------------------------------
 
 
-def _features(spark: SparkSession, sf_dir: str, scale: str = "percent") -> DataFrame:
+def _features(spark: SparkSession, sf_dir: str, scale: str = "percent", n: int = CAP) -> DataFrame:
     s1, refs = _sides(spark, sf_dir)
-    return sim.features(b.fetch(b.ordered_candidates(s1, refs, CAP), s1, refs), scale)
+    return sim.features(b.fetch(b.ordered_candidates(s1, refs, n), s1, refs), scale)
 
 
 _DOUBLES = ("name_lev", "name_tok", "name_char", "address_lev", "address_tok", "address_char", "score")
@@ -366,7 +367,7 @@ def _q(spark, sf_dir):
 
 @query("features_patched")
 def _q(spark, sf_dir):
-    return _features(spark, sf_dir, "patched").select("s1_id", "ref_id", *sim.FEATURES_B)
+    return _features(spark, sf_dir, "patched", b.CAP).select("s1_id", "ref_id", *sim.FEATURES_B)
 
 
 @query("features_fuzzy")
@@ -378,7 +379,7 @@ def _q(spark, sf_dir):
 @query("rank_cap")
 def _q(spark, sf_dir):
     s1, refs = _sides(spark, sf_dir, "tail")
-    return b.rank_capped(b.fetch(b.scoped_candidates(s1, refs), s1, refs), CAP).select("s1_id", "ref_id", "position")
+    return b.rank_capped(b.fetch(b.scoped_candidates(s1, refs), s1, refs)).select("s1_id", "ref_id", "position")
 
 
 @query("rule_matches", f"{_FULL} SELECT s1_id, ref_id FROM ruled")
@@ -399,8 +400,8 @@ def _q(spark, sf_dir):
     return b.exact_candidates(*_sides(spark, sf_dir, "exact"))
 
 
-def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.label(_features(spark, sf_dir), _truth(spark, sf_dir))
+def _labelled(spark: SparkSession, sf_dir: str, n: int = CAP) -> DataFrame:
+    return match.label(_features(spark, sf_dir, n=n), _truth(spark, sf_dir))
 
 
 @query("label_pairs", f"{_CAND}, {_TRUTH} SELECT c.s1_id, c.ref_id, CAST(t.s1_id IS NOT NULL AS INTEGER) AS label FROM capped c LEFT JOIN (SELECT DISTINCT * FROM truth) t USING (s1_id, ref_id)")
@@ -423,8 +424,8 @@ def _q(spark, sf_dir):
 # --- metrics -----------------------------------------------------------------------------------------------------
 
 
-def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.entities(_ids(spark, sf_dir), _truth(spark, sf_dir), match.rule_matches(_features(spark, sf_dir)))
+def _entities(spark: SparkSession, sf_dir: str, n: int = CAP) -> DataFrame:
+    return metrics.entities(_ids(spark, sf_dir), _truth(spark, sf_dir), match.rule_matches(_features(spark, sf_dir, n=n)))
 
 
 @query("f05_entities", f"{_FULL},\n{_ENT} SELECT s1_id, tp, fp, fn, round(f05, 6) AS f05 FROM ent")
@@ -465,15 +466,15 @@ def _q(spark, sf_dir):
 
 @query("gbt_matches")
 def _q(spark, sf_dir):
-    pairs = match.cap_negatives(_labelled(spark, sf_dir)).cache()
-    model = match.train(pairs.where(~match.held_out()), trees=20)
+    pairs = match.cap_negatives(_labelled(spark, sf_dir, b.CAP)).cache()
+    model = match.train(pairs.where(~match.held_out()))
     # an honest tuning side: all candidates, full truth, every held-out record
-    held = match.probability(model, _labelled(spark, sf_dir).where(match.held_out()))
+    held = match.probability(model, _labelled(spark, sf_dir, b.CAP).where(match.held_out()))
     ids = _ids(spark, sf_dir).where(match.held_out())
     truth = _truth(spark, sf_dir).where(match.held_out())
     threshold, _ = match.best_threshold(match.threshold_curve(held, truth, ids))
     pairs.unpersist()
-    return match.probability(model, _features(spark, sf_dir)).where(F.col("probability") >= threshold).select("s1_id", "ref_id", "probability")
+    return match.probability(model, _features(spark, sf_dir, n=b.CAP)).where(F.col("probability") >= threshold).select("s1_id", "ref_id", "probability")
 
 
 # --- files, checks and statistics ----------------------------------------------------------------------------------
@@ -582,3 +583,102 @@ def _q(spark, sf_dir):
 def _q(spark, sf_dir):
     x = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("S1-"), F.col("o_custkey").cast("string")).alias("entity_id"))
     return tsv.unique_ids(x)
+
+
+# --- production limits ---------------------------------------------------------------------------------------------
+# The whole job of the queries above: the operators' own limits, which are beyond SQL in time. No SQL.
+
+
+def _whole(name: str):
+    return query(f"{name}_full")
+
+
+@_whole("block_union_ordered")
+def _q(spark, sf_dir):
+    return _ordered(spark, sf_dir, b.CAP).select("s1_id", "ref_id", "pass_no", F.col("position").cast("long").alias("position"))
+
+
+@_whole("block_hot_keys")
+def _q(spark, sf_dir):
+    return b.ordered_candidates(*fx.sides(fx.parts(spark, sf_dir))).select("s1_id", "ref_id", "pass_no", F.col("position").cast("long").alias("position"))
+
+
+@_whole("block_limit_per_pass")
+def _q(spark, sf_dir):
+    return b.limited_candidates(*_sides(spark, sf_dir)).select("s1_id", "ref_id", "pass_no", F.col("position").cast("long").alias("position"))
+
+
+@_whole("block_token_pass")
+def _q(spark, sf_dir):
+    s1, refs = _sides(spark, sf_dir)
+    x = b.token_candidates(s1, refs, b.ordered_candidates(s1, refs))
+    return x.select("s1_id", "ref_id", F.col("pass_no").cast("long").alias("pass_no"), F.col("position").cast("long").alias("position"))
+
+
+@_whole("recall_by_pass")
+def _q(spark, sf_dir):
+    return metrics.recall(_ordered(spark, sf_dir, b.CAP), _truth(spark, sf_dir)).withColumn("recall", F.round("recall", 6))
+
+
+@_whole("candidate_stats")
+def _q(spark, sf_dir):
+    return metrics.candidate_stats(_ids(spark, sf_dir), _ordered(spark, sf_dir, b.CAP)).withColumn("avg_candidates", F.round("avg_candidates", 6))
+
+
+@_whole("candidate_percentiles")
+def _q(spark, sf_dir):
+    return metrics.floor_percentiles(metrics.per_entity_counts(_ids(spark, sf_dir), _ordered(spark, sf_dir, b.CAP)))
+
+
+@_whole("candidate_lists_wide")
+def _q(spark, sf_dir):
+    return tsv.id_lists(_ids(spark, sf_dir), _ordered(spark, sf_dir, b.CAP), "candidate_entity_ids")
+
+
+@_whole("pass_contribution")
+def _q(spark, sf_dir):
+    return metrics.pass_contribution(b.ordered_union(*_sides(spark, sf_dir)))
+
+
+@_whole("feature_bundle")
+def _q(spark, sf_dir):
+    rest = ("postal_match", "country_match", "name_len_diff", "address_len_diff", "exact_name")
+    return _features(spark, sf_dir, n=b.CAP).select("s1_id", "ref_id", *(F.round(c, 6).alias(c) for c in _DOUBLES), *rest)
+
+
+@_whole("rule_matches")
+def _q(spark, sf_dir):
+    return match.rule_matches(_features(spark, sf_dir, n=b.CAP)).select("s1_id", "ref_id")
+
+
+@_whole("negatives")
+def _q(spark, sf_dir):
+    return match.cap_negatives(match.label(_ordered(spark, sf_dir, b.CAP), _truth(spark, sf_dir))).select("s1_id", "ref_id", "label")
+
+
+@_whole("f05_entities")
+def _q(spark, sf_dir):
+    return _entities(spark, sf_dir, b.CAP).withColumn("f05", F.round("f05", 6))
+
+
+@_whole("f05_macro")
+def _q(spark, sf_dir):
+    return metrics.macro(_entities(spark, sf_dir, b.CAP)).withColumn("macro_f05", F.round("macro_f05", 6))
+
+
+@_whole("f05_global")
+def _q(spark, sf_dir):
+    x = metrics.overall(_entities(spark, sf_dir, b.CAP))
+    return x.select("tp", "fp", "fn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f05")))
+
+
+@_whole("threshold_curve")
+def _q(spark, sf_dir):
+    scored = _labelled(spark, sf_dir, b.CAP).withColumn("score", F.col("score") / 100)
+    x = match.threshold_curve(scored, _truth(spark, sf_dir), _ids(spark, sf_dir), score="score")
+    return x.withColumn("macro_f05", F.round("macro_f05", 6))
+
+
+@_whole("match_lists")
+def _q(spark, sf_dir):
+    return tsv.id_lists(_ids(spark, sf_dir), match.rule_matches(_features(spark, sf_dir, n=b.CAP)))

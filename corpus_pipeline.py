@@ -9,7 +9,7 @@
 5. ``tokens``: what is left becomes token ids, one row a document.
 
 All stages but the last return the columns of ``documents``, unchanged but for that. Rows without an id stay where a
-stage's decision needs an id. Labels and benchmark items are read from ``sf_dir``.
+stage's decision needs an id; decisions about texts hold for a row, not for all rows of its id. Labels and benchmark items are read from ``sf_dir``.
 """
 
 from __future__ import annotations

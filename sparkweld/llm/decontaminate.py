@@ -159,10 +159,11 @@ def verdicts(rows: DataFrame, spans: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Documents without those that hold a window of the benchmark."""
-    rows, spans, _ = contamination(docs, benchmark, id_col)
-    bad = rows.join(spans.select("row").distinct(), "row", "left_semi").select(F.col("id").alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("_bad")), "left_anti")
+    """Documents without those that hold a window of the benchmark; rows with equal ids or none are told apart by their texts."""
+    tagged = docs.withColumn("_tag", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows, spans, _ = contamination(tagged.withColumn("_key", F.struct(F.col(id_col).alias("id"), F.col("_tag").alias("tag"))), benchmark, "_key")
+    bad = rows.join(spans.select("row").distinct(), "row", "left_semi").select(F.col("id.id").alias("_bad"), F.col("id.tag").alias("_bad_tag")).distinct()
+    return tagged.join(bad, tagged[id_col].eqNullSafe(F.col("_bad")) & (F.col("_tag") == F.col("_bad_tag")), "left_anti").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

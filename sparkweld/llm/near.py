@@ -211,6 +211,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents without those that have a near copy with a smaller id; of rows with equal ids in a group all stay."""
-    gone = near_duplicates(docs, id_col, text_col).where("component < id").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """Documents without those that have a near copy with a smaller id. Rows are told apart by id and text: of other texts
+    under an id each is decided for itself, of rows with equal id and text one stays, rows without an id stay."""
+    near = save(near_duplicates(docs, id_col, text_col).select("id", "tag", "component"), "near-verdicts")
+    gone = near.where("component < id").select(F.col("id").alias("_id"), F.col("tag").alias("_t")).distinct()
+    again = near.where("id is not null").groupBy(F.col("id").alias("_id"), F.col("tag").alias("_t")).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    tagged = docs.withColumn("_tag", text_tag(text_col))
+    same = lambda x: (tagged[id_col] == x["_id"]) & (tagged["_tag"] == x["_t"])
+    kept = tagged.join(gone, same(gone), "left_anti")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    w = Window.partitionBy(id_col, "_tag").orderBy(F.struct(*docs.columns))
+    one = kept.join(again, same(again), "left_semi").withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    return kept.join(again, same(again), "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))

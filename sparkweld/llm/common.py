@@ -33,32 +33,48 @@ def session(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``, as the session has it.
 
-    Only where neither that setting nor a checkpoint folder is set (tests, one machine) a folder is made.
+    Only where neither that setting nor a checkpoint folder is set and all runs on one machine (tests) a folder is
+    made; a cluster without the setting is an error, as its executors would each write to a disk of their own.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     now = sc._jsc.sc().getCheckpointDir()
     if now.isEmpty():
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="checkpoint-"))
         now = sc._jsc.sc().getCheckpointDir()
     return named.rstrip("/") if named else now.get()
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and return it read back: lineage ends there."""
+def save(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and return it read back: lineage ends there.
+
+    ``by``: a column of few values that becomes folders, so that a filter on it reads nothing else.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
-    out = spark.read.schema(schema).parquet(path)
-    out._saved_at = path
-    return out
+    back = spark.read.schema(schema).parquet(path)
+    back._saved_at = path
+    return back
+
+
+def drop(*saved: DataFrame) -> None:
+    """Delete tables of ``save`` that nothing will read again."""
+    for x in saved:
+        path = x.sparkSession._jvm.org.apache.hadoop.fs.Path(x._saved_at)
+        path.getFileSystem(x.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def drop(saved: DataFrame) -> None:
-    """Delete a table of ``save`` that nothing will read again."""
-    path = saved.sparkSession._jvm.org.apache.hadoop.fs.Path(saved._saved_at)
-    path.getFileSystem(saved.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def release(spark: SparkSession) -> None:
@@ -104,6 +120,26 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], salt_by: list[s
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+def spread_join(big: DataFrame, small: DataFrame, on: list[str], by: list[str], n: str = "n", how: str = "inner") -> DataFrame:
+    """Equi-join whose hot keys, and only these, are dealt over several tasks.
+
+    Column ``n`` of ``small`` (a saved table, one or few rows a key) counts the rows of ``big`` with that key; ``by`` are
+    columns of ``big`` that tell the rows of a key apart. A key is hot when it has over a quarter of an even share of a
+    partition, so there are at most four hot keys a partition to be sent out. ``n`` isn't returned.
+    """
+    parts = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = small.agg(F.sum(n)).first()[0] or 0
+    share = max(1000, total // (4 * parts))
+    over = small.where(F.col(n) > share)
+    if over.isEmpty():
+        return big.join(small.drop(n), on, how)
+    salts = F.ceil(F.col(n) / share).cast("int")
+    hot = over.groupBy(*on).agg(F.max(salts).alias("_salts"))
+    left = big.join(F.broadcast(hot), on, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*by), F.col("_salts"))).cast("int"))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col(n) > share, salts - 1).otherwise(0)))).drop(n)
+    return left.drop("_salts").join(right, [*on, "_salt"], how).drop("_salt")
+
+
 def hashed_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
     """About ``n`` rows at most, those with the least hash of their key; the same rows on every run.
 

@@ -2,16 +2,19 @@
 
 Windows are ten consecutive words of a benchmark item. Documents and items keep the least 5-gram hash of every six
 neighbouring 5-grams, which is a span of ten words: wherever a window occurs in a document, both keep the same anchor
-in it. Anchors that occur in the benchmark are joined on their hash, then each hit is extended word by word both ways
-over the words carried with it; a run of ten words or more is a shared span. An item of fewer words than a window is
-one window of its own length, matched on the hash of exactly that many words and then on the words themselves.
+in it. An anchor stands for the windows that keep it, six at most and neighbours. Documents and benchmark are joined on
+their anchors, and each hit is extended over its windows, whose words must be equal; neighbouring windows merge into
+shared spans. An item of fewer words than a window is one window of its own length, found by the hash of exactly that
+many words.
 
-Documents are read once. Before anchors leave a task they are checked against the benchmark's anchor hashes, which are
-sent out only while there are at most ``FILTER_LIMIT`` of them (8 bytes each); beyond, every anchor goes into the join.
+The benchmark is one row a distinct window with the set of its items, so a phrase of m items and n documents costs m + n
+rows. Documents are read once. Before anchors leave a task they are looked up in a bitmap of the benchmark's anchor
+hashes, ``BITS`` bits a hash and ``MOST_BITS`` (64 MB) at most: a larger benchmark makes it less sharp and nothing else,
+as the join is exact.
 
 Defined cases: null and empty texts have no words and are clean; items without words have no window; items with equal
 ids count once, items without an id mark words but are not counted; repeated rows keep their rows; an empty benchmark
-finds nothing; extra columns are ignored.
+finds nothing; extra columns are ignored, and kept by ``clean`` whatever their names.
 """
 
 from __future__ import annotations
@@ -23,135 +26,132 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkweld.llm.common import salted_join, save, session, slices, table
-from sparkweld.llm.winnow import anchors, grams, lay, word_hashes
+from sparkweld.llm.common import drop, fresh, salted_join, save, session, slices, table
+from sparkweld.llm.winnow import Words, anchors, grams
 
 WINDOW = 10
 K, W = 5, 6
-FILTER_LIMIT = 2_000_000
+#: Bits of the anchor bitmap: for each hash, at least, and at most; and of a piece that one task makes.
+BITS, LEAST_BITS, MOST_BITS, PIECE_BITS = 256, 1 << 16, 1 << 29, 1 << 16
 # A-Z become lower case; other ASCII characters that are neither digits nor letters part words; all else is kept
 _WORDS = bytes((c + 32 if 65 <= c <= 90 else c) if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_HIT = "array<struct<h:long,size:int,pos:int,before:int,words:array<binary>>>"
+_HIT = pa.struct([("h", pa.int64()), ("size", pa.int32()), ("pos", pa.int32()), ("words", pa.binary())])
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(_WORDS).split()
 
 
-def marks(docs: list[list[bytes]], shorts: list[int], windows: bool = True, wanted: np.ndarray | None = None) -> list[tuple[int, int, int, int, int]]:
-    """``(document, hash, size, position, words before it)``: anchors (size 0) and whole spans of the ``shorts`` sizes.
+def in_bitmap(bits: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Which of the hashes the bitmap holds, by their leading bits."""
+    at = value >> np.uint64(64 - int(len(bits) * 8 - 1).bit_length())
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
-    ``wanted``: sorted hashes to keep; None keeps all.
+
+def windows(x: Words, shorts: list[int], bits: np.ndarray | None = None, whole: bool = False) -> list[tuple[int, int, int, int, bytes]]:
+    """``(text, hash, size, position, words)`` of the windows whose hash is in the bitmap (None: of all).
+
+    Size 0 is a window of ten words with its anchor's hash. For each size of ``shorts`` also each run of so many words
+    with its own hash; with ``whole`` only those that are a whole text.
     """
-    words, starts, ends = lay(docs)
-    if not words:
+    if not len(x.h):
         return []
-    h = word_hashes(words)
-    owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    found = []
-    if windows:
-        pos, value, _, _ = anchors(h, ends, K, W)
-        found.append((pos, value, 0))
+    pos, value, first, size = anchors(x.h, x.ends, K, W)
+    if bits is not None:
+        ok = in_bitmap(bits, value)
+        value, first, size = value[ok], first[ok], size[ok]
+    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    found = [(np.repeat(value, size), np.repeat(first, size) + step, 0)]
     for n in shorts:
-        value = grams(h, n)
-        pos = np.flatnonzero(np.arange(len(value)) + n <= ends[: len(value)])
-        found.append((pos, value[pos], n))
+        value = grams(x.h, n)
+        inside = np.arange(n, len(value) + n) <= x.ends[: len(value)]
+        if whole:
+            at = x.first[x.count == n]
+            inside = np.zeros(len(value), bool)
+            inside[at] = True
+        if bits is not None:
+            inside &= in_bitmap(bits, value)
+        at = np.flatnonzero(inside)
+        found.append((value[at], at, n))
     out = []
-    for pos, value, size in found:
-        if wanted is not None:
-            at = np.minimum(np.searchsorted(wanted, value), max(0, len(wanted) - 1))
-            ok = wanted[at] == value if len(wanted) else np.zeros(len(value), bool)
-            pos, value = pos[ok], value[ok]
-        own = owner[pos]
-        before = np.minimum(pos - starts[own], W - 1) if size == 0 else np.zeros(len(pos), np.int64)
-        out += zip(own.tolist(), value.view(np.int64).tolist(), [size] * len(pos), (pos - starts[own]).tolist(), before.tolist())
+    for value, at, n in found:
+        text = np.searchsorted(x.first + x.count, at, "right")
+        for t, h, p, start in zip(text.tolist(), value.view(np.int64).tolist(), (at - x.first[text]).tolist(), at.tolist()):
+            out.append((t, h, n, p, b" ".join(x.words(start, start + (n or WINDOW)))))
     return out
 
 
-def context(words: list[bytes], size: int, pos: int, before: int) -> list[bytes]:
-    """The words that any window around an anchor can hold; of a short item its words."""
-    return words[pos - before : pos + (size or K + W - 1)]
-
-
-def _scan(shorts: list[int], windows: bool, wanted: np.ndarray | None):
-    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in slices(batches):
-            docs = [words_of(t) for t in texts]
-            hits: list[list[dict]] = [[] for _ in docs]
-            for d, h, size, pos, before in marks(docs, shorts, windows, wanted):
-                hits[d].append({"h": h, "size": size, "pos": pos, "before": before, "words": context(docs[d], size, pos, before)})
-            kind = pa.list_(pa.struct([("h", pa.int64()), ("size", pa.int32()), ("pos", pa.int32()), ("before", pa.int32()), ("words", pa.list_(pa.binary()))]))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(d) for d in docs], pa.int64()), pa.array(hits, kind)], ["id", "n", "hits"])
-
-    return scan
-
-
-def _extend(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a document's hit and an item's words around the same anchor: the shared span, if it is long enough."""
-    for b in batches:
-        rows, at, stop, key = b.column(0).to_pylist(), [], [], []
-        cols = [b.column(i).to_pylist() for i in range(1, 8)]
-        for i, (size, pos, before, words, other_before, other, _) in enumerate(zip(*cols)):
-            if size:
-                if words == other:
-                    at.append(pos), stop.append(pos + size), key.append(i)
-                continue
-            left = 0
-            while left < min(before, other_before) and words[before - 1 - left] == other[other_before - 1 - left]:
-                left += 1
-            right = 0
-            while before + right < len(words) and other_before + right < len(other) and words[before + right] == other[other_before + right]:
-                right += 1
-            if right >= K and left + right >= WINDOW:
-                at.append(pos - left), stop.append(pos + right), key.append(i)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([rows[i] for i in key], pa.int64()), pa.array(at, pa.int32()), pa.array(stop, pa.int32()), b.column(7).take(pa.array(key, pa.int64()))], ["row", "start", "stop", "item"]
-        )
+def _items(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows, texts in slices(batches):
+        x = Words(texts, _WORDS)
+        found = windows(x, sorted({n for n in x.count.tolist() if 0 < n < WINDOW}), whole=True)
+        if found:
+            t, h, n, _, w = zip(*found)
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(t, pa.int64())), pa.array(h, pa.int64()), pa.array(n, pa.int32()), pa.array(w, pa.binary())], ["id", "h", "size", "words"])
+
+
+def bitmap(hashes: DataFrame) -> np.ndarray:
+    """A bitmap of ``hashes(h)``: pieces made by the tasks, ``MOST_BITS`` bits at most on the driver."""
+    n = hashes.count()
+    b = max(LEAST_BITS, min(MOST_BITS, 1 << (BITS * max(1, n) - 1).bit_length())).bit_length() - 1
+    at = F.shiftrightunsigned("h", 64 - b)
+
+    def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: dict[int, np.ndarray] = {}
+        for x in batches:
+            for piece in np.unique(piece_of := np.array(x.column(0))).tolist():
+                bits = pieces.setdefault(piece, np.zeros(PIECE_BITS, bool))
+                bits[np.array(x.column(1))[piece_of == piece] % PIECE_BITS] = True
+        for piece, bits in pieces.items():
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["piece", "bits"])
+
+    dealt = hashes.select(F.shiftright(at, PIECE_BITS.bit_length() - 1).alias("piece"), at.alias("at")).repartition("piece")
+    out = np.zeros(1 << b - 3, np.uint8)
+    for r in dealt.mapInArrow(make, "piece long, bits binary").collect():
+        out[r.piece * PIECE_BITS // 8 : (r.piece + 1) * PIECE_BITS // 8] = np.frombuffer(r.bits, np.uint8)
+    return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(rows, spans, items)``: ``rows(row, id, n)`` for each document, ``spans(row, start, stop, item)`` in words of
-    the document with the number of a distinct item context, and ``items(item, item_id)`` for those contexts."""
+    """``(rows, spans, sets)``: ``rows(row, id, n)`` for each document, ``spans(row, start, stop, items)`` for each window
+    that it shares, in words, with the number of a set of items, and ``sets(items, ids)`` for these sets."""
     spark = session(docs.sparkSession)
-    # the benchmark: its windows are short enough to be sized first
     words = benchmark.select(F.col("item_id").alias("id"), F.col("text").alias("text"))
-    count = F.udf(lambda t: len(words_of((t or "").encode())), "int")
-    shorts = [r.n for r in words.select(count("text").alias("n")).where(f"n > 0 and n < {WINDOW}").distinct().collect()]
-    long_items = words.where(count("text") >= WINDOW).mapInArrow(_scan([], True, None), f"id {benchmark.schema['item_id'].dataType.simpleString()}, n long, hits {_HIT}")
-    parts = [long_items]
-    for n in shorts:
-        parts.append(words.where(count("text") == n).mapInArrow(_scan([n], False, None), long_items.schema))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    every = every.select("id", F.explode("hits").alias("x")).select("id", "x.h", "x.size", "x.before", "x.words")
-    context_id = F.xxhash64("h", "size", "before", F.array_join(F.transform("words", F.hex), ","))
-    every = save(every.withColumn("item", context_id), "benchmark")
-    contexts = every.groupBy("item").agg(*(F.first(c).alias(c) for c in ("h", "size", "before", "words")))
-    items = every.select("item", F.col("id").alias("item_id")).distinct()
-    hashes = every.select("h").distinct()
-    wanted = None
-    if hashes.count() <= FILTER_LIMIT:
-        wanted = np.sort(np.array([r.h for r in hashes.collect()], np.int64).view(np.uint64))
+    every = words.mapInArrow(_items, f"id {benchmark.schema['item_id'].dataType.simpleString()}, h long, size int, words binary")
+    ids = F.array_sort(F.collect_set(F.col("id").cast("string"))).alias("ids")
+    known = every.groupBy("h", "size", "words").agg(ids).withColumn("items", F.xxhash64("ids"))
+    known = save(known, "benchmark")
+    sets = known.groupBy("items").agg(F.first("ids").alias("ids"))
+    shorts = [r.size for r in known.select("size").where("size > 0").distinct().collect()]  # 1 to 9
+    sent = spark.sparkContext.broadcast(bitmap(known.select("h").distinct()))
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in slices(batches):
+            x = Words(texts, _WORDS)
+            hits: list[list[dict]] = [[] for _ in texts]
+            for t, h, n, p, w in windows(x, shorts, sent.value):
+                hits[t].append({"h": h, "size": n, "pos": p, "words": w})
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(x.count, pa.int64()), pa.array(hits, pa.list_(_HIT))], ["id", "n", "hits"])
+
     kind = docs.schema[id_col].dataType.simpleString()
-    scanned = docs.select(F.col(id_col).alias("id"), "text").mapInArrow(_scan(shorts, True, wanted), f"id {kind}, n long, hits {_HIT}")
+    scanned = docs.select(F.col(id_col).alias("id"), "text").mapInArrow(scan, f"id {kind}, n long, hits array<struct<h:long,size:int,pos:int,words:binary>>")
     rows = save(scanned.withColumn("row", F.monotonically_increasing_id()), "words")
     hits = rows.where(F.size("hits") > 0).select("row", F.explode("hits").alias("x")).select("row", "x.*")
-    small = contexts.select("h", "size", F.col("before").alias("other_before"), F.col("words").alias("other"), "item")
-    met = salted_join(hits, small, ["h", "size"], ["row"], 8).select("row", "size", "pos", "before", "words", "other_before", "other", "item")
-    spans = save(met.mapInArrow(_extend, "row long, start int, stop int, item long"), "spans")
-    return rows.select("row", "id", "n"), spans, items
+    met = salted_join(hits, known.select("h", "size", "words", "items"), ["h", "size", "words"], ["row"], 8)
+    length = F.when(F.col("size") == 0, WINDOW).otherwise(F.col("size"))
+    spans = save(met.select("row", F.col("pos").alias("start"), (F.col("pos") + length).alias("stop"), "items"), "spans")
+    return rows.select("row", "id", "n"), spans, sets
 
 
-def verdicts(rows: DataFrame, spans: DataFrame, items: DataFrame) -> DataFrame:
+def verdicts(rows: DataFrame, spans: DataFrame, sets: DataFrame) -> DataFrame:
     """``(row, id, n_words, n_hit, n_items, items_sha256, contaminated)`` for each document."""
     # words of the union of a document's spans: each adds what reaches beyond all earlier ones
     before = Window.partitionBy("row").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
     seen = F.coalesce(F.max("stop").over(before), F.lit(0))
     covered = spans.select("row", "start", "stop").distinct().withColumn("add", F.greatest(F.lit(0), F.col("stop") - F.greatest("start", seen)))
     hit = covered.groupBy("row").agg(F.sum("add").alias("n_hit"))
-    named = salted_join(spans.select("row", "item").distinct(), items.groupBy("item").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids")), ["item"], ["row"], 8)
-    named = named.select("row", F.explode("ids").alias("item_id")).groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
+    named = salted_join(spans.select("row", "items").distinct(), sets, ["items"], ["row"], 8)
+    named = named.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
     out = rows.join(hit, "row", "left").join(named, "row", "left")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
@@ -160,10 +160,31 @@ def verdicts(rows: DataFrame, spans: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Documents without those that hold a window of the benchmark; rows with equal ids or none are told apart by their texts."""
-    tagged = docs.withColumn("_tag", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows, spans, _ = contamination(tagged.withColumn("_key", F.struct(F.col(id_col).alias("id"), F.col("_tag").alias("tag"))), benchmark, "_key")
-    bad = rows.join(spans.select("row").distinct(), "row", "left_semi").select(F.col("id.id").alias("_bad"), F.col("id.tag").alias("_bad_tag")).distinct()
-    return tagged.join(bad, tagged[id_col].eqNullSafe(F.col("_bad")) & (F.col("_tag") == F.col("_bad_tag")), "left_anti").select(*docs.columns)
+    tag, key, bad_id, bad_tag = (fresh(docs, c) for c in ("_tag", "_key", "_bad", "_bad_tag"))
+    tagged = docs.withColumn(tag, F.xxhash64(F.coalesce("text", F.lit(""))))
+    keyed = tagged.select(F.struct(F.col(id_col).alias("id"), F.col(tag).alias("tag")).alias(key), "text")
+    rows, spans, _ = contamination(keyed, benchmark, key)
+    bad = rows.join(spans.select("row").distinct(), "row", "left_semi").select(F.col("id.id").alias(bad_id), F.col("id.tag").alias(bad_tag)).distinct()
+    bad = save(bad, "contaminated")
+    drop(spans)
+    return tagged.join(bad, tagged[id_col].eqNullSafe(F.col(bad_id)) & (F.col(tag) == F.col(bad_tag)), "left_anti").select(*docs.columns)
+
+
+_SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_SQL_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {_SQL_WORDS} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[s : s + least(len(w), 10) - 1], ' ') AS k
+  FROM i, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS t(s) WHERE len(w) > 0),
+size AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT r, s, n, array_to_string(w[s : s + n - 1], ' ') AS k FROM (SELECT * FROM d, size), unnest(range(1, len(w) - n + 2)) AS t(s)),
+met AS (SELECT r, s, n, item_id FROM dw JOIN iw USING (n, k)),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT r, s, n FROM met), unnest(range(s, s + n)) AS t(p) GROUP BY r),
+ids AS (SELECT r, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM met GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(ids), 0) AS n_items,
+  sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN ids USING (r)
+"""
 
 
 def query(spark, sf_dir: str) -> DataFrame:

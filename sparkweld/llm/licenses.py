@@ -1,19 +1,23 @@
 """License scans: winnowed template fingerprints pick candidates, banded sequence alignment reports them.
 
-Templates are cut into words and winnowed (3-grams, two neighbouring ones a span; shorter templates are one gram of
-all their words) into an inverted index from anchor to template and position. A document's anchors that are in the index
-give candidates, grouped by template and diagonal; each candidate stretch is aligned with its template word by word in a
-band around the diagonal, the document's ends being free. A report has the share of template words that the alignment
-matches and the span of document words from the first match to the last.
-
-Templates are a parameter: a few notices and license texts, sent along with the code. Defined cases: null and empty
-texts have no report; of overlapping reports that with most matched words stays, then that with
-the greatest coverage, then the template that is named first; equal documents get equal
-reports; rows without an id are scanned too; templates without words never match; extra columns are ignored.
+Templates are cut into words and winnowed (3-grams, two neighbouring ones a span; of templates under eight words every
+3-gram, and a template of one or two words is one gram) into an inverted index from anchor to template and position.
+A document's anchors that are in the index are chained by template: hits that follow each other in both texts, up to
+half a template's length apart in diagonal, are one candidate stretch, so inserted or left out words do not part it.
+Each stretch is aligned with its template word by word in a band around its diagonals, the document's ends being free.
+A report has the share of template words that the alignment matches and the span of document words from the first match
+to the last.
+
+Templates are a parameter, a dictionary or a table (``templates_of``), and are sent to every task: their texts are
+bounded by ``TEMPLATE_BYTES``, beyond which the call fails. Defined cases: null and empty texts have no report; of
+overlapping reports that with most matched words stays, then that with the greatest coverage, then the template that is
+named first; equal documents get equal reports; rows without an id are scanned too; templates without words never match;
+extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -23,63 +27,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkweld.llm.common import session, slices, table
-from sparkweld.llm.decontaminate import words_of
-from sparkweld.llm.winnow import anchors, grams, lay, word_hashes
+from sparkweld.llm.decontaminate import _WORDS, words_of
+from sparkweld.llm.license_texts import TEMPLATES
+from sparkweld.llm.winnow import Words, anchors, grams, word_hashes
 
 K, W = 3, 2
+#: Templates of fewer words are indexed by all their 3-grams.
+SHORT = 8
 BAND = 6
 COVERAGE = 0.8
+TEMPLATE_BYTES = 16 << 20
 
-#: Public notices and license texts, by SPDX-like name.
-TEMPLATES = {
-    "MIT-notice": "Released under the MIT License.",
-    "MIT": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software "
-        "without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
-        "persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies "
-        "or substantial portions of the Software."
-    ),
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0": (
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
-        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
-        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
-    ),
-    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either "
-        "version 3 of the License, or (at your option) any later version."
-    ),
-    "BSD-2-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must "
-        "retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of "
-        "conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
-    ),
-    "ISC": (
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission "
-        "notice appear in all copies."
-    ),
-    "CC-BY-4.0-notice": "Licensed under CC BY 4.0.",
-    "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "All-rights-reserved": "All rights reserved.",
-}
-
-
-def align(template: list[bytes], words: list[bytes], shift: int = 0, band: int | None = None) -> tuple[int, int, int]:
+
+def align(template: list[bytes], words: list[bytes], low: int | None = None, high: int | None = None) -> tuple[int, int, int]:
     """Words of the template that an alignment with ``words`` matches, and the span of words from first match to last.
 
     Scores: a match 1, a skipped or replaced word -1 (of the template) or -1 (of the document, inside the match); the
-    document's ends are free. ``shift``: where template word 0 is expected in ``words``; ``band``: how far from there
-    (None: anywhere). Of equal scores that with more matches wins, then the earlier one.
+    document's ends are free. ``low`` and ``high``: the least and greatest diagonal (position in ``words`` less that in
+    the template) that the alignment may use; None: any. Of equal scores that with more matches wins, then the earlier one.
     """
-    n, low = len(words), -(10**9)
+    n, least = len(words), -(10**9)
     # a cell: score, matches, first match (negated, to prefer an earlier one), stop of the last match
     row = [(0, 0, 0, 0)] * (n + 1)
     for i, t in enumerate(template):
-        a = 0 if band is None else max(0, shift + i - band)
-        b = n if band is None else min(n, shift + i + 1 + band)
-        new = [(low, 0, 0, 0)] * (n + 1)
+        a = 0 if low is None else max(0, i + low)
+        b = n if high is None else min(n, i + 1 + high)
+        new = [(least, 0, 0, 0)] * (n + 1)
         for j in range(a, b + 1):
             s, m, f, e = row[j]
             best = (s - 1, m, f, e)
@@ -96,78 +69,108 @@ def align(template: list[bytes], words: list[bytes], shift: int = 0, band: int |
     return m, -f, e
 
 
+def chains(hits: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
+    """``hits`` (position in the document, position in the template), ascending: the least and greatest diagonal of each stretch."""
+    most, done, open_ = max(1, length // 2), [], []  # of each: last positions, least and greatest diagonal
+    for p, q in hits:
+        still = []
+        for c in open_:
+            (still if p - c[0] <= length - c[1] + most else done).append(c)
+        open_ = still
+        fit = [c for c in open_ if c[0] < p and c[1] < q and abs(p - q - c[0] + c[1]) <= most]
+        if fit:
+            c = max(fit, key=lambda c: (c[1], c[0]))
+            c[:] = [p, q, min(c[2], p - q), max(c[3], p - q)]
+        elif not any(c[0] == p and c[1] == q for c in open_):
+            open_.append([p, q, p - q, p - q])
+    return sorted({(c[2], c[3]) for c in [*done, *open_]})
+
+
 class Index:
     """Inverted index of template anchors."""
 
     def __init__(self, templates: dict[str, str]) -> None:
         self.names = list(templates)
         self.words = [words_of(templates[n].encode()) for n in self.names]
-        self.at: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.shorts = sorted({len(w) for w in self.words if 0 < len(w) < K + W - 1})
+        #: by size of the gram: 0 for winnowed 3-grams, else every gram of that size
+        self.at: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for t, w in enumerate(self.words):
+            if not w:
+                continue
             h = word_hashes(w)
-            if len(w) >= K + W - 1:
-                pos, value, _, _ = anchors(h, np.full(len(w), len(w)), K, W)
+            if len(w) >= SHORT:
+                kind, (pos, value, _, _) = 0, anchors(h, np.full(len(w), len(w)), K, W)
             else:
-                value = grams(h, len(w)) if w else np.zeros(0, np.uint64)
+                kind = min(K, len(w))
+                value = grams(h, kind)
                 pos = np.arange(len(value))
             for p, v in zip(pos.tolist(), value.tolist()):
-                self.at[v].append((t, p))
-        self.keys = np.sort(np.array(list(self.at), np.uint64))
-
-    def candidates(self, docs: list[list[bytes]]) -> dict[tuple[int, int], list[int]]:
-        """Diagonals (document position less template position) by document and template."""
-        words, starts, ends = lay(docs)
-        out: dict[tuple[int, int], list[int]] = defaultdict(list)
-        if not words or not len(self.keys):
+                self.at[kind][v].append((t, p))
+        self.keys = {kind: np.sort(np.array(list(at), np.uint64)) for kind, at in self.at.items()}
+
+    def hits(self, x: Words) -> dict[tuple[int, int], list[tuple[int, int]]]:
+        """Positions in the document and the template, by document and template, ascending."""
+        out: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+        if not len(x.h):
             return out
-        owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-        h = word_hashes(words)
-        pos, value, _, _ = anchors(h, ends, K, W)
-        found = [(pos, value)]
-        for n in self.shorts:
-            value = grams(h, n)
-            pos = np.flatnonzero(np.arange(len(value)) + n <= ends[: len(value)])
-            found.append((pos, value[pos]))
-        for pos, value in found:
-            ok = self.keys[np.minimum(np.searchsorted(self.keys, value), len(self.keys) - 1)] == value
-            for p, v in zip(pos[ok].tolist(), value[ok].tolist()):
-                d = int(owner[p])
-                for t, q in self.at[v]:
-                    out[d, t].append(p - int(starts[d]) - q)
+        for kind, keys in self.keys.items():
+            if kind == 0:
+                pos, value, _, _ = anchors(x.h, x.ends, K, W)
+            else:
+                value = grams(x.h, kind)
+                pos = np.flatnonzero(np.arange(kind, len(value) + kind) <= x.ends[: len(value)])
+                value = value[pos]
+            ok = keys[np.minimum(np.searchsorted(keys, value), len(keys) - 1)] == value
+            pos, value = pos[ok], value[ok]
+            doc = np.searchsorted(x.first + x.count, pos, "right")
+            for d, p, v in zip(doc.tolist(), (pos - x.first[doc]).tolist(), value.tolist()):
+                for t, q in self.at[kind][v]:
+                    out[d, t].append((p, q))
         return out
 
-    def reports(self, docs: list[list[bytes]], coverage: float = COVERAGE, band: int = BAND) -> Iterator[tuple[int, str, int, float, int, int]]:
+    def reports(self, texts: list[bytes], coverage: float = COVERAGE, band: int = BAND) -> Iterator[tuple[int, str, int, float, int, int]]:
         """``(document, template, matched words, coverage, start, stop)`` in order of document and start."""
+        x = Words(texts, _WORDS)
         found: dict[int, list[tuple[int, float, int, int, int]]] = defaultdict(list)
-        for (d, t), diagonals in sorted(self.candidates(docs).items()):
-            words, template, last = docs[d], self.words[t], None
+        for (d, t), hits in sorted(self.hits(x).items()):
+            template, n = self.words[t], int(x.count[d])
             wide = min(band, (len(template) - 1) // 2)  # else a short template's neighbouring copies share a band
-            for g in sorted(set(diagonals)):
-                if last is not None and g - last <= wide // 2:
-                    continue  # the band around the last diagonal holds this one
-                last = g
-                a, b = max(0, g - wide), min(len(words), g + len(template) + wide)
-                m, start, stop = align(template, words[a:b], g - a, wide)
+            for low, high in chains(sorted(hits), len(template)):
+                a, b = max(0, low - wide), min(n, high + len(template) + wide)
+                words = x.words(int(x.first[d]) + a, int(x.first[d]) + b)
+                m, start, stop = align(template, words, low - a - wide, high - a + wide)
                 if m and m / len(template) >= coverage:
                     found[d].append((-m, -m / len(template), t, a + start, a + stop))
         for d, all_found in found.items():
-            taken: list[tuple[int, float, int, int, int]] = []
-            for x in sorted(all_found):
-                if all(x[4] <= y[3] or y[4] <= x[3] for y in taken):
-                    taken.append(x)
-            for m, share, t, start, stop in sorted(taken, key=lambda x: x[3]):
-                yield d, self.names[t], -m, -share, start, stop
+            taken: list[tuple[int, int, int, float, int]] = []  # spans that don't overlap, by start
+            for m, share, t, start, stop in sorted(set(all_found)):
+                i = bisect_left(taken, (start,))
+                if (i == 0 or taken[i - 1][1] <= start) and (i == len(taken) or taken[i][0] >= stop):
+                    insort(taken, (start, stop, -m, -share, t))
+            for start, stop, m, share, t in taken:
+                yield d, self.names[t], m, share, start, stop
+
+
+def templates_of(rows: DataFrame, name_col: str = "license", text_col: str = "text") -> dict[str, str]:
+    """Templates from a table, one row each, in order of their names; refused over ``TEMPLATE_BYTES`` of text."""
+    some = rows.where(F.col(name_col).isNotNull() & F.col(text_col).isNotNull())
+    size = some.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    if size > TEMPLATE_BYTES:
+        raise ValueError(f"{size} bytes of templates; {TEMPLATE_BYTES} at most")
+    return {r[0]: r[1] for r in sorted(some.select(name_col, text_col).collect())}
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, license, matched, coverage, start, stop)``: a row a report, spans in words of the document."""
     session(docs.sparkSession)
+    if sum(len(t.encode()) for t in templates.values()) > TEMPLATE_BYTES:
+        raise ValueError(f"over {TEMPLATE_BYTES} bytes of templates")
+    sent = docs.sparkSession.sparkContext.broadcast(dict(templates))
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(templates)
+        index = Index(sent.value)
         for rows, texts in slices(batches):
-            found = list(index.reports([words_of(t) for t in texts], coverage))
+            found = list(index.reports(texts, coverage))
             if found:
                 d, *rest = zip(*found)
                 kinds = (pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.int32())

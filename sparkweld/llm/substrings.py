@@ -11,10 +11,12 @@ A window is 13 consecutive words; a word goes if a window over it also starts in
 * Keep maximal: settled windows of a document merge into maximal repeats, which are cut.
 
 Nothing is compared pair by pair, so a group of n copies costs n rows. Context and window keys have 128 bits with the
-anchor's hash. The text is read twice for anchors and shuffled twice by document, never by anchor.
+anchor's hash. The text is read twice for anchors and shuffled twice by document, never by anchor. Anchors, contexts and
+windows that very many documents have are counted first and dealt over several tasks (``spread_join``).
 
 Defined cases: null and empty texts have no words; texts of fewer than 13 words lose none; rows with equal ids do not
-count against each other and each keep a row; rows without an id lose and take nothing; extra columns stay in ``cut``.
+count against each other and each keep a row; rows without an id lose and take nothing; extra columns stay in ``cut``,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -29,38 +31,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkweld.llm.common import drop, release, save, session, slices, table
-from sparkweld.llm.winnow import anchors, grams, lay, mix, word_hashes
+from sparkweld.llm.common import drop, fresh, release, save, session, slices, spread_join, table
+from sparkweld.llm.winnow import Words, anchors, grams, mix, stretches
 
 WINDOW = 13
 K, W = 5, 9
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _TAG = 0x7FFFFFFF
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-def contexts(h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Hash of the words from each start to each stop, by sums of a power series modulo 2^64."""
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * _powers(_BASE, len(h)), dtype=np.uint64)))
-    return (sums[stop] - sums[start]) * _powers(_INVERSE, len(h))[start]
-
-
-def seeds(docs: list[list[bytes]]) -> dict[str, np.ndarray]:
+def seeds(texts: list[bytes]) -> dict[str, np.ndarray]:
     """Anchors: document number, hash, context hash, first window, number of windows."""
-    words, starts, ends = lay(docs)
-    h = word_hashes(words)
-    owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs]) if words else np.zeros(0, np.int64)
-    pos, value, first, size = anchors(h, ends, K, W)
+    x = Words(texts)
+    pos, value, first, size = anchors(x.h, x.ends, K, W)
     shape = ((pos - first) * 16 + size).astype(np.uint64)
-    c = mix(contexts(h, first, first + size - 1 + WINDOW) + shape * np.uint64(0xD6E8FEB86659FD93)) if len(pos) else value
-    return {"doc": owner[pos], "h": value.view(np.int64), "c": c.view(np.int64), "first": first - starts[owner[pos]] if len(pos) else first, "size": size}
+    c = mix(stretches(x.h, first, first + size - 1 + WINDOW) + shape * np.uint64(0xD6E8FEB86659FD93))
+    doc = np.searchsorted(x.first + x.count, pos, "right")
+    return {"doc": doc, "h": value.view(np.int64), "c": c.view(np.int64), "first": first - x.first[doc], "size": size}
 
 
 def _tag(text: bytes) -> int:
@@ -76,7 +63,7 @@ def _scan(full: bool):
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in slices(batches):
             ids = np.array(rows.column(0))
-            x = seeds([t.split() for t in texts])
+            x = seeds(texts)
             cols = [pa.array(x["h"]), pa.array(ids[x["doc"]], pa.int64())]
             if full:
                 tags = np.fromiter(map(_tag, texts), np.int64, len(texts))
@@ -89,62 +76,75 @@ def _scan(full: bool):
 def _unroll(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with their representative anchors: a row for each window of each."""
     for rows, texts in slices(batches):
-        ids, reps = rows.column(0).to_pylist(), rows.column(2).to_pylist()
-        out: list[tuple[np.ndarray, ...]] = []
-        for i, text in enumerate(texts):
-            h = grams(word_hashes(text.split()), WINDOW).view(np.int64)
-            first, size, c, key = (np.array([r[n] for r in reps[i]], np.int64) for n in ("first", "size", "c", "h"))
-            j = np.repeat(np.arange(len(first)), size)
-            step = np.arange(len(j)) - np.repeat(np.cumsum(size) - size, size)
-            at = first[j] + (_tag(text) << 32)
-            out.append((key[j], h[first[j] + step], c[j], np.full(len(j), ids[i]), at, step))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], ["h", "w", "c", "doc", "at", "step"])
+        ids, reps = np.array(rows.column(0).to_pylist(), np.int64), rows.column(2)
+        x = Words(texts)
+        g = grams(x.h, WINDOW).view(np.int64)
+        doc = np.repeat(np.arange(len(texts)), np.diff(np.array(reps.offsets)))
+        rep = reps.flatten()
+        first, size, c, key = (np.array(rep.field(n), np.int64) for n in ("first", "size", "c", "h"))
+        j = np.repeat(np.arange(len(first)), size)
+        step = np.arange(len(j)) - np.repeat(np.cumsum(size) - size, size)
+        tags = np.fromiter(map(_tag, texts), np.int64, len(texts))
+        at = first[j] + (tags[doc[j]] << 32)
+        out = (key[j], g[x.first[doc[j]] + first[j] + step], c[j], ids[doc[j]], at, step)
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out], ["h", "w", "c", "doc", "at", "step"])
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc, tag, spans)``: spans, in words, that windows of smaller documents cover; a row a document that has some."""
     spark = session(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.col("doc").isNotNull())
-    shared = texts.mapInArrow(_scan(False), "h long, doc long").groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
-    shared = save(shared.select("h"), "anchors")
+    shared = texts.mapInArrow(_scan(False), "h long, doc long").groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n"))
+    shared = save(shared.where("low < high").select("h", "n"), "anchors")
     release(spark)
-    seen = save(texts.mapInArrow(_scan(True), "h long, doc long, c long, at long, size tinyint").join(shared, "h"), "occurrences")
+    seen = texts.mapInArrow(_scan(True), "h long, doc long, c long, at long, size tinyint")
+    seen = save(spread_join(seen, shared, ["h"], ["doc", "at"]), "occurrences")
     drop(shared)
     release(spark)
-    alike = save(seen.groupBy("h", "c").agg(F.min(F.struct("doc", "at", "size")).alias("first")), "contexts")
+    alike = seen.groupBy("h", "c").agg(F.min(F.struct("doc", "at", "size")).alias("first"), F.count("*").alias("n"))
+    alike = save(alike.select("h", "c", "first", "n"), "contexts")
     release(spark)
     # occurrences after the first document of their context: every window of theirs is known from there; and those in
     # the first document itself, but at another place, which keep the names of their anchor and context
-    both = seen.join(alike.select("h", "c", F.col("first.doc").alias("low"), F.col("first.at").alias("first_at")), ["h", "c"])
+    both = spread_join(seen, alike.select("h", "c", F.col("first.doc").alias("low"), F.col("first.at").alias("first_at"), "n"), ["h", "c"], ["doc", "at"])
     named = lambda c: F.when(F.col("doc") == F.col("low"), F.col(c)).alias(c)
     others = save(both.where("doc > low or at <> first_at").select("doc", "at", "size", named("h"), named("c")), "others")
     drop(seen)
     release(spark)
     # anchors with several contexts: one occurrence of each, window by window
-    several = save(alike.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "branching")
+    several = save(alike.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "branching")
     parts = F.struct(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("first"), F.col("size").cast("long").alias("size"), "c", "h")
-    reps = alike.join(several, "h").select("first.*", "h", "c").groupBy("doc", F.shiftright("at", 32).alias("tag")).agg(F.collect_list(parts).alias("reps"))
+    reps = spread_join(alike.drop("n"), several, ["h"], ["c"]).select("first.*", "h", "c").groupBy("doc", F.shiftright("at", 32).alias("tag")).agg(F.collect_list(parts).alias("reps"))
     reps = save(reps, "representatives")
-    drop(alike)
+    drop(alike, several)
     release(spark)
-    rows = texts.withColumn("tag", tag_column("text")).join(reps, ["doc", "tag"]).select("doc", "text", "reps")
+    # of repeated rows one is enough, and one is all that the shuffle gets
+    mine = texts.withColumn("tag", tag_column("text"))
+    often = save(mine.groupBy("doc", "tag").agg(F.count("*").alias("n")).where("n > 1"), "repeated-rows")
+    again = not often.isEmpty()
+    if again:
+        twice = mine.join(often.drop("n"), ["doc", "tag"], "left_semi").groupBy("doc", "tag").agg(F.first("text").alias("text"))
+        mine = mine.join(often.drop("n"), ["doc", "tag"], "left_anti").unionByName(twice.select("doc", "text", "tag"))
+    rows = mine.join(reps, ["doc", "tag"]).select("doc", "text", "reps")
     windows = save(rows.mapInArrow(_unroll, "h long, w long, c long, doc long, at long, step long"), "windows")
-    drop(reps)
+    drop(reps, often)
     release(spark)
-    lows = save(windows.groupBy("h", "w").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("h", "w", "low"), "window-lows")
-    known = windows.join(lows, ["h", "w"]).where("low < doc").select("h", "c", "doc", "at", F.col("step").cast("int").alias("step")).distinct()
+    lows = windows.groupBy("h", "w").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n"))
+    lows = save(lows.where("low < high").select("h", "w", "low", "n"), "window-lows")
+    known = spread_join(windows, lows, ["h", "w"], ["doc", "at"]).where("low < doc").select("h", "c", "doc", "at", F.col("step").cast("int").alias("step")).distinct()
     known = save(known, "known-windows")
-    drop(windows)
+    drop(windows, lows)
     later = others.where("h is null").select("doc", "at", F.lit(0).alias("step"), F.col("size").cast("int").alias("n"))
     edge = known.select("doc", "at", "step", F.lit(1).alias("n"))
-    again = others.where("h is not null").select("h", "c", "doc", "at").join(known.select("h", "c", "step").distinct(), ["h", "c"]).select("doc", "at", "step", F.lit(1).alias("n"))
-    every = later.unionByName(edge).unionByName(again)
+    named = others.where("h is not null").select("h", "c", "doc", "at")
+    steps = known.select("h", "c", "step").distinct().join(named.groupBy("h", "c").agg(F.count("*").alias("n")), ["h", "c"])
+    steps = save(steps, "steps")
+    more = spread_join(named, steps, ["h", "c"], ["doc", "at"]).select("doc", "at", "step", F.lit(1).alias("n"))
+    every = later.unionByName(edge).unionByName(more)
     start = (F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)) + F.col("step")).cast("int")
     every = every.select("doc", F.shiftright("at", 32).alias("tag"), F.struct(start.alias("start"), (start + F.col("n") - 1 + WINDOW).alias("stop")).alias("span"))
     out = save(every.groupBy("doc", "tag").agg(F.collect_set("span").alias("spans")), "repeats")
-    for x in (others, several, lows, known):
-        drop(x)
+    drop(others, known, steps)
     release(spark)
     return out
 
@@ -159,10 +159,12 @@ def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     return out
 
 
-def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    found = repeats(docs, id_col, text_col).withColumnRenamed("doc", "_doc").withColumnRenamed("tag", "_tag").withColumnRenamed("spans", "_spans")
-    tagged = docs.withColumn("_at", tag_column(text_col))
-    return tagged.join(found, (F.col(id_col).cast("long") == F.col("_doc")) & (F.col("_at") == F.col("_tag")), "left").drop("_doc", "_tag", "_at")
+def _with_spans(docs: DataFrame, id_col: str, text_col: str, spans: str) -> DataFrame:
+    """``docs`` with a column ``spans`` of that name."""
+    at, doc, tag = (fresh(docs, c) for c in ("_at", "_doc", "_tag"))
+    found = repeats(docs, id_col, text_col).select(F.col("doc").alias(doc), F.col("tag").alias(tag), F.col("spans").alias(spans))
+    tagged = docs.withColumn(at, tag_column(text_col))
+    return tagged.join(found, (F.col(id_col).cast("long") == F.col(doc)) & (F.col(at) == F.col(tag)), "left").drop(doc, tag, at)
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,9 +184,9 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             a, b, c = zip(*out)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c)], ["id", "n_words", "n_removed", "kept_sha256"])
 
-    x = _with_spans(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col)
+    x = _with_spans(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", "spans")
     kind = docs.schema[id_col].dataType.simpleString()
-    return x.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), "_spans").mapInArrow(apply, f"id {kind}, n_words long, n_removed long, kept_sha256 string")
+    return x.mapInArrow(apply, f"id {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
 def without(text: bytes, spans: list[dict] | None) -> bytes:
@@ -202,22 +204,33 @@ def without(text: bytes, spans: list[dict] | None) -> bytes:
 
 def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
     """Documents with their repeats cut out of the text, all columns kept; ``size_col``, if there, gets the new length."""
+    extra = fresh(docs, "_spans")
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in slices(batches, text_col):
             names = rows.schema.names
-            spans = rows.column(names.index("_spans")).to_pylist()
+            spans = rows.column(names.index(extra)).to_pylist()
             new = pa.array([without(t, s) for t, s in zip(texts, spans)], pa.binary()).cast(pa.string())
             old = rows.column(names.index(text_col))
             new = pa.compute.if_else(pa.compute.is_null(old), pa.scalar(None, pa.string()), new)
-            keep = [i for i, n in enumerate(names) if n != "_spans"]
+            keep = [i for i, n in enumerate(names) if n != extra]
             yield pa.RecordBatch.from_arrays([new if names[i] == text_col else rows.column(i) for i in keep], [names[i] for i in keep])
 
-    out = _with_spans(docs, id_col, text_col).mapInArrow(apply, docs.schema)
+    out = _with_spans(docs, id_col, text_col, extra).mapInArrow(apply, docs.schema)
     if size_col in docs.columns:
         out = out.withColumn(size_col, F.length(text_col).cast(docs.schema[size_col].dataType))
     return out
 
 
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, doc_id, s, array_to_string(w[s : s + 12], ' ') AS k FROM d, unnest(range(1, len(w) - 11)) AS t(s)),
+low AS (SELECT k, min(doc_id) AS low FROM win GROUP BY k),
+gone AS (SELECT DISTINCT r, p FROM (SELECT r, s FROM win JOIN low USING (k) WHERE low < doc_id), unnest(range(s, s + 13)) AS t(p)),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS kept, count(*) AS n FROM (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d) ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

@@ -77,10 +77,6 @@ def test_faults_are_found():
             warc.parse(x)
 
 
-def full_alignment(template, words):
-    return licenses.align(template, words)
-
-
 def test_licenses(spark, docs, no_docs):
     rng = random.Random(2)
     word = lambda: "w%d" % rng.randrange(500)
@@ -107,4 +103,47 @@ def test_band_equals_the_full_alignment():
         template = [b"%d" % rng.randrange(30) for _ in range(20)]
         noisy = [w if rng.random() > 0.1 else b"z" for w in template if rng.random() > 0.1]
         words = [b"p"] * 15 + noisy + [b"q"] * 15
-        assert licenses.align(template, words, 15, 12)[0] == licenses.align(template, words)[0]
+        assert licenses.align(template, words, 3, 27)[0] == licenses.align(template, words)[0]
+
+
+def test_index_finds_what_aligning_every_template_finds():
+    """Recall of the index against an alignment of each template with each whole text."""
+    rng = random.Random(8)
+    templates = {n: t for n, t in licenses.TEMPLATES.items() if len(words_of(t.encode())) < 130}
+    names, wanted, texts = list(templates), [], []
+    for _ in range(120):
+        name = rng.choice(names)
+        words = [w.decode() for w in words_of(templates[name].encode())]
+        if len(words) > 20 and rng.random() < 0.5:  # several words inserted near the middle
+            at = len(words) // 2 + rng.randrange(-5, 5)
+            words[at:at] = ["x%d" % rng.randrange(99) for _ in range(rng.randrange(1, 12))]
+        words = [w if len(words) < 12 or rng.random() > 0.04 else "changed" for w in words]
+        texts.append(" ".join(["p%d" % rng.randrange(50) for _ in range(20)] + words + ["q%d" % rng.randrange(50) for _ in range(20)]).encode())
+    index = licenses.Index(templates)
+    got = {}
+    for d, name, m, share, start, stop in index.reports(texts):
+        got.setdefault(d, []).append((name, m, start, stop))
+    hit = total = 0
+    for d, t in enumerate(texts):
+        every = [(m, n) for n in names for m, _, _ in [licenses.align(words_of(templates[n].encode()), words_of(t))] if m / len(words_of(templates[n].encode())) >= licenses.COVERAGE]
+        if every:
+            total += 1
+            hit += max(every)[0] in {m for _, m, _, _ in got.get(d, [])}
+    assert total > 100 and hit >= 0.98 * total
+
+
+def test_many_reports_and_templates_from_a_table(spark):
+    import time
+
+    index = licenses.Index(licenses.TEMPLATES)
+    took = []
+    for n in (1000, 4000):
+        began = time.time()
+        assert len(list(index.reports([b"all rights reserved " * n]))) == n
+        took.append(time.time() - began)
+    assert took[1] < 12 * took[0] + 0.5
+    rows = spark.createDataFrame([("b", "one two three", 1), ("a", "four five six seven eight nine ten", 2), (None, "x", 3), ("c", None, 4)], "license string, text string, n int")
+    templates = licenses.templates_of(rows)
+    assert list(templates) == ["a", "b"]
+    docs = spark.createDataFrame([(1, "x one two three y"), (2, "four five CHANGED seven eight nine ten")], "doc_id long, text string")
+    assert sorted((r.id, r.license, r.matched) for r in licenses.scan(docs, templates).collect()) == [(1, "b", 3), (2, "a", 6)]

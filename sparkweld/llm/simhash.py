@@ -66,30 +66,32 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(scan, f"id {kind}, fp long")
 
 
-def planes_of(fps: list[int]) -> list[int]:
+def planes_of(fps: list[int], size: int = 64) -> list[int]:
     """Bit planes: the i-th number holds bit i of every fingerprint, one fingerprint a lane."""
-    bits = np.unpackbits(np.array(fps, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return [int.from_bytes(np.packbits(bits[:, i], bitorder="little").tobytes(), "little") for i in range(64)]
+    rows = np.frombuffer(b"".join(f.to_bytes(size // 8, "little") for f in fps), np.uint8).reshape(-1, size // 8)
+    bits = np.unpackbits(rows, axis=1, bitorder="little")
+    return [int.from_bytes(np.packbits(bits[:, i], bitorder="little").tobytes(), "little") for i in range(size)]
 
 
 def near_lanes(planes: list[int], lanes: int, probe: int, radius: int = RADIUS) -> int:
-    """Lanes within ``radius`` (0 to 3) of ``probe``, as a bit mask.
+    """Lanes within ``radius`` of ``probe``, as a bit mask.
 
-    ``ones`` and ``twos`` are the carry-save counter's digits and ``over`` has the lanes that have passed the radius.
+    A carry-save counter adds the differing bits of all lanes at once, a plane a step; it begins so high that a lane's
+    last digit overflows when its distance passes the radius. Once all lanes have, the block is abandoned.
     """
-    full = (1 << lanes) - 1
-    ones = twos = over = 0
+    full, width = (1 << lanes) - 1, radius.bit_length()
+    start = (1 << width) - 1 - radius
+    digits, over = [full if start >> k & 1 else 0 for k in range(width)], 0
     for i, plane in enumerate(planes):
-        differ = plane ^ full if probe >> i & 1 else plane
-        carry = ones & differ
-        ones ^= differ
-        over |= twos & carry
-        twos ^= carry
-        past = over | ((ones & twos) if radius == 2 else twos if radius == 1 else (ones | twos) if radius == 0 else 0)
-        if past == full:
-            return 0
-        if radius < 3:
-            over = past
+        carry = plane ^ full if probe >> i & 1 else plane
+        for k in range(width):
+            digits[k], carry = digits[k] ^ carry, digits[k] & carry
+            if not carry:
+                break
+        else:
+            over |= carry
+            if over == full:
+                return 0
     return full & ~over
 
 
@@ -172,20 +174,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null ids have a fingerprint and a component as others do; a component without any id has a null one.
     """
-    rows = save(fingerprints(docs, id_col, text_col), "simhash")
+    rows = save(fingerprints(docs, id_col, text_col).withColumn("seat", F.monotonically_increasing_id()), "simhash")
     nodes = rows.groupBy("fp").agg(F.min("id").alias("low"))
     roots = save(components(links(nodes.select("fp"))), "simhash-roots")
     lows = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = save(lows, "simhash-lows")
     least = lows.groupBy("root").agg(F.min("low").alias("component"))
     by_fp = salted_join(lows.select("fp", "root"), least, ["root"], ["fp"]).select("fp", "component")
-    return salted_join(rows, by_fp, ["fp"], ["id"])
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents without those that have a near copy with a smaller id; of rows with equal ids in a group all stay."""
-    gone = near_duplicates(docs, id_col, text_col).where("component < id").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    return salted_join(rows, by_fp, ["fp"], ["seat"]).select("id", "fp", "component")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

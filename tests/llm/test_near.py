@@ -58,9 +58,9 @@ def test_groups_are_those_of_brute_force(spark):
 def test_small_chunks_and_buckets_lose_no_link(spark):
     texts = corpus()
     docs = frame(spark, texts)
-    sizes = near.classes(docs, "doc_id", "text").groupBy("fp").agg({"m": "max"}).toDF("fp", "m")
+    sizes = near.classes(docs, "doc_id", "text").groupBy("fp").agg({"m": "max", "sim": "max"}).toDF("fp", "sim", "m")
     e = {tuple(r) for r in near.links(docs, sizes, "text", chunk=7, bucket=500).collect()}
-    names = [near._name(near.shingle_set((t or "").encode())) for t in texts]
+    names = [near._name(x) for x in near.shingle_sets([(t or "").encode() for t in texts])]
     fps = [x - (1 << 64) if x >> 63 else x for x in names]
     root = {f: f for f in fps}
     find = lambda x: x if root[x] == x else find(root[x])
@@ -70,6 +70,24 @@ def test_small_chunks_and_buckets_lose_no_link(spark):
     assert len(set(zip(want, mine))) == len(set(want)) == len(set(mine))
 
 
+def test_the_radius_holds_all_near_pairs():
+    """Of sets that are alike to 0.8 the bits that differ stay far below the radius; those of unlike sets pass it."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    far, unlike, n = 0, 0, 4000
+    for _ in range(n):
+        m = int(rng.integers(4, 40))
+        h = rng.integers(0, 1 << 63, 2 * m, dtype=np.uint64)
+        cut = m // 9  # of both sides: 8 in 10 are shared
+        a, b = (h[:m], h[: m - m // 5]) if rng.random() < 0.5 else (h[cut : m + cut], h[: m + cut][: m])
+        f = [int.from_bytes(near.fingerprint(np.unique(x)), "little") for x in (a, b, h[m:])]
+        assert 5 * len(set(a.tolist()) & set(b.tolist())) >= 4 * len(set(a.tolist()) | set(b.tolist()))
+        far = max(far, (f[0] ^ f[1]).bit_count())
+        unlike += (f[1] ^ f[2]).bit_count() > near.RADIUS if cut == 0 else 1
+    assert far <= near.RADIUS - 6 and unlike > 0.95 * n
+
+
 def test_pipeline_stage_drops_edited_copies(spark):
     import corpus_pipeline
 

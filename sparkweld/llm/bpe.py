@@ -1,16 +1,19 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
-Texts are split into pre-tokens. Documents are taken in blocks of some megabytes; a block keeps the positions of its
-pre-tokens as numbers into its own list of distinct words. The words alone are shuffled, by hash, so that every
-occurrence of a word from all blocks meets in one task, which encodes it once. The ids go back to their block, meet
-the positions there and give each document's ids; decoding looks up the ids of each distinct word in the token-byte
-table and reassembles by the same positions. A very common word costs one entry a block and not one an occurrence.
+Texts are split into pre-tokens once. Documents are taken in blocks of some megabytes; a block keeps the positions of its
+pre-tokens as numbers into its own list of distinct words, the commonest first, and both are written to one table under
+the block's own name. From there the words alone are shuffled, by hash, so that every occurrence of a word from all blocks
+meets in one task, which encodes it once. The ids go back to their block, meet the positions there and give each
+document's ids; decoding looks up the ids of each distinct word in the token-byte table and reassembles by the same
+positions. A very common word costs one entry a block and not one an occurrence.
 
-Words and positions travel as packed columns. Blocks are cut alike in both reads of the documents, as a partition
-always yields the same rows; a block whose two halves don't fit stops the job instead of giving wrong ids.
+Words and positions travel as packed columns. A long text is split in pieces, cut where the pattern begins a token
+whatever comes before (known for the pattern in ``PLAIN``; for others a text is one piece), so a worker holds four bytes
+for each of its pre-tokens beside the text and not an object.
 
 Defined cases: a null text encodes as the empty one, which has no ids; texts that hold the names of special tokens are
-ordinary text; repeated rows keep their rows; extra columns are ignored unless named in ``keep``.
+ordinary text; repeated rows keep their rows; extra columns are ignored unless named in ``keep``; a result whose name is
+a kept column's gets a trailing underscore.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,12 +32,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkweld.llm.common import session, slices, table
+from sparkweld.llm.common import fresh, save, session, slices, table
 
-#: Bytes of text in a block; its memory in a worker is some thirty times that.
-BLOCK = 8 << 20
-#: Words that are this frequent in a block get the low numbers, which pack better.
-FREQUENT = 8
+#: Bytes of text in a block, and of a piece of a longer text that is split at once.
+BLOCK, PIECE = 8 << 20, 1 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -65,6 +66,9 @@ PLAIN = {
 class Splitter:
     """Splits texts by a pattern, through the faster of two engines where both give the same."""
 
+    #: Where a pattern of ``PLAIN`` begins a token: a blank between letters.
+    SEAM = re.compile(rb"[A-Za-z](?= [A-Za-z])")
+
     def __init__(self, pattern: str) -> None:
         self.full = regex.compile(pattern).findall
         self.plain = re.compile(PLAIN[pattern]).findall if pattern in PLAIN else None
@@ -80,78 +84,89 @@ class Splitter:
                     return self.full(text)
         return self.plain(text)
 
+    def pieces(self, text: bytes) -> Iterator[list[str]]:
+        at = 0
+        while self.plain is not None and len(text) - at > PIECE and (seam := self.SEAM.search(text, at + PIECE)):
+            yield self(text[at : seam.end()].decode("utf-8"))
+            at = seam.end()
+        yield self((text[at:] if at else text).decode("utf-8"))
+
     def is_letter(self, ch: str) -> bool:
         if (known := self.letters.get(ch)) is None:
             known = self.letters[ch] = ch.isalpha() and self.letter(ch) is not None
         return known
 
 
-class _Blocks:
-    """Cuts a partition's rows into blocks and numbers each block's words."""
+WORDS, SEATS, DOCUMENTS = 0, 1, 2
+_SHAPE = "block long, kind int, bucket int, start int, sizes binary, data binary"
+_KIND = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("start", pa.int32()), ("sizes", pa.binary()), ("data", pa.binary())])
 
-    def __init__(self, pattern: str, buckets: int) -> None:
-        self.split = Splitter(pattern)
-        self.buckets = buckets
 
-    def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
-        held, texts, size = [], [], 0
-        for rows, some in slices(batches):
-            held.append(rows)
-            texts += some
-            size += sum(map(len, some))
-            if size >= BLOCK:
-                yield self.block(held, texts)
-                held, texts, size = [], [], 0
-        if held:
-            yield self.block(held, texts)
+def _blocks(pattern: str, buckets: int):
+    """Rows of blocks: the words of each bucket, numbered from ``start`` on; the number of each word by its rank; and
+    documents, their columns as an Arrow message and the rank of the word at each position."""
 
-    def block(self, held: list[pa.RecordBatch], texts: list[bytes]) -> tuple:
-        """The block's name, its rows, each text's words, and the distinct words in order with their kind and bucket."""
-        h = xxhash.xxh3_64()
-        for rows in held:
-            h.update(repr(rows.column(0).to_pylist()).encode())
-        for t in texts:
-            h.update(len(t).to_bytes(8, "little") + t)
-        tokens = [self.split(t.decode("utf-8")) for t in texts]
-        counts: Counter[str] = Counter()
-        for d in tokens:
-            counts.update(d)
-        words = list(counts)
+    def rows_of(block: int, held: list[pa.RecordBatch], ranks: list[np.ndarray], number: dict[str, int]) -> pa.RecordBatch:
+        words = list(number)
         hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in words), np.uint64, len(words))
-        rare = np.fromiter(counts.values(), np.int64, len(words)) < FREQUENT
-        bucket = (hashes % np.uint64(self.buckets)).astype(np.int64)
-        order = np.lexsort((hashes, bucket, rare))
-        return h.intdigest() >> 1, held, tokens, [words[i] for i in order.tolist()], rare[order] * self.buckets + bucket[order]
-
-
-def _words(pattern: str, buckets: int):
-    """Rows ``(bucket, block, start, words)``: the words of one bucket, numbered from ``start`` on."""
+        bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+        counts = np.zeros(len(words), np.int64)
+        for r in ranks:
+            counts += np.bincount(r, minlength=len(words))
+        by_count = np.argsort(-counts, kind="stable")
+        rank = np.empty(len(words), np.uint32)
+        rank[by_count] = np.arange(len(words), dtype=np.uint32)
+        laid = np.array(sorted(range(len(words)), key=lambda i: (bucket[i], words[i])), np.int64)
+        seat = np.empty(len(words), np.int64)
+        seat[laid] = np.arange(len(words))
+        out, kind = [], bucket[laid]
+        edges = [0, *(np.flatnonzero(np.diff(kind)) + 1).tolist(), len(words)] if words else []
+        for at, stop in zip(edges, edges[1:]):
+            some = [words[i].encode() for i in laid[at:stop].tolist()]
+            out.append((block, WORDS, int(kind[at]), at, pack(np.array([len(w) for w in some])), zstandard.compress(b"".join(some), 3)))
+        out.append((block, SEATS, -1, len(words), pack(seat[by_count]), b""))
+        d = 0
+        for rows in held:
+            mine = ranks[d : d + len(rows)]
+            d += len(rows)
+            head = rows.select([n for n in rows.schema.names if n != "text"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, head.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_batch(head)
+            sizes = pack(np.array([len(r) for r in mine]))
+            body = len(sizes).to_bytes(4, "little") + sizes + pack(rank[np.concatenate(mine)])
+            out.append((block, DOCUMENTS, -1, 0, sink.getvalue().to_pybytes(), body))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _KIND)], schema=_KIND)
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, _, words, kind in _Blocks(pattern, buckets)(batches):
-            edges = [0, *(np.flatnonzero(kind[1:] != kind[:-1]) + 1).tolist(), len(words)]
-            out = []
-            for at, stop in zip(edges, edges[1:]):
-                some = [w.encode() for w in words[at:stop]]
-                if some:
-                    sizes = pack(np.array([len(w) for w in some]))
-                    out.append((int(kind[at]) % buckets, block, at, len(sizes).to_bytes(4, "little") + sizes + zstandard.compress(b"".join(some), 3)))
-            if out:
-                a, b, c, d = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int64()), pa.array(c, pa.int32()), pa.array(d, pa.binary())], ["bucket", "block", "start", "words"])
+        from pyspark import TaskContext
+
+        split, block = Splitter(pattern), TaskContext.get().partitionId() << 32
+        held, ranks, size, number = [], [], 0, defaultdict(int)
+        number.default_factory = number.__len__
+        for rows, texts in slices(batches):
+            held.append(rows)
+            for t in texts:
+                size += len(t)
+                parts = [np.fromiter(map(number.__getitem__, p), np.uint32, len(p)) for p in split.pieces(t)]
+                ranks.append(parts[0] if len(parts) == 1 else np.concatenate(parts))
+            if size >= BLOCK:
+                yield rows_of(block, held, ranks, number)
+                held, ranks, size, block = [], [], 0, block + 1
+                number.clear()
+        if held:
+            yield rows_of(block, held, ranks, number)
 
     return scan
 
 
-def _split(data: bytes) -> list[bytes]:
-    n = int.from_bytes(data[:4], "little")
-    ends = np.cumsum(unpack(data[4 : 4 + n]).astype(np.int64)).tolist()
-    text = zstandard.decompress(data[4 + n :])
-    return [text[a:b] for a, b in zip([0, *ends], ends)]
+def _cut(data: bytes, sizes: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(sizes.astype(np.int64)).tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends)]
 
 
 def _encode(ranks, pattern: str):
-    """Rows of words become rows ``(block, kind, start, sizes, data)`` of ids, every distinct word encoded once a task."""
+    """Rows of words become rows of ids, every distinct word encoded once a task."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
@@ -160,9 +175,9 @@ def _encode(ranks, pattern: str):
         known: dict[bytes, list[int]] = {}
         for b in batches:
             sizes, data = [], []
-            for packed in b.column(3).to_pylist():
+            for lens, packed in zip(b.column(4).to_pylist(), b.column(5).to_pylist()):
                 ids = []
-                for w in _split(packed):
+                for w in _cut(zstandard.decompress(packed), unpack(lens)):
                     if (x := known.get(w)) is None:
                         if len(known) >= 1_000_000:  # a task's words can outgrow memory: those seen last stay
                             known.clear()
@@ -170,97 +185,76 @@ def _encode(ranks, pattern: str):
                     ids.append(x)
                 sizes.append(pack(np.fromiter(map(len, ids), np.int64, len(ids))))
                 data.append(pack(np.array([i for x in ids for i in x], np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([0] * len(b), pa.int32()), b.column(2), pa.array(sizes, pa.binary()), pa.array(data, pa.binary())], ["block", "kind", "start", "sizes", "data"])
-
-    return scan
-
-
-def _positions(pattern: str, buckets: int):
-    """Rows ``(block, kind, start, sizes, data)`` of documents: their columns as an Arrow message and the word at each position."""
-
-    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, held, tokens, words, _ in _Blocks(pattern, buckets)(batches):
-            at = {w: i for i, w in enumerate(words)}
-            d = 0
-            for rows in held:
-                mine = tokens[d : d + len(rows)]
-                d += len(rows)
-                flat = np.array([i for t in mine for i in map(at.__getitem__, t)], np.int64)
-                head = rows.select([n for n in rows.schema.names if n != "text"])
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, head.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                    w.write_batch(head)
-                sizes = pack(np.array([len(t) for t in mine]))
-                body = len(sizes).to_bytes(4, "little") + sizes + pack(flat)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block], pa.int64()), pa.array([1], pa.int32()), pa.array([len(words)], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([body], pa.binary())],
-                    ["block", "kind", "start", "sizes", "data"],
-                )
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(sizes, pa.binary()), pa.array(data, pa.binary())], schema=_KIND)
 
     return scan
 
 
-def _assemble(token_bytes, digest: bool):
-    """Sorted rows of a block: first its words' ids, then its documents."""
+def _assemble(token_bytes, want_ids: bool, digest: bool):
+    """Sorted rows of a block: first its words' ids, then these by rank, then its documents."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, parts, ready = None, [], None
+        parts, ready = [], None
         for b in batches:
-            for blk, kind, start, first, data in zip(*(c.to_pylist() for c in b.columns)):
-                if blk != block:
-                    block, parts, ready = blk, [], None
-                if kind == 0:
+            for _, kind, _, start, first, data in zip(*(c.to_pylist() for c in b.columns)):
+                if kind == WORDS:
                     parts.append((start, unpack(first), unpack(data)))
-                    continue
-                if ready is None:
+                elif kind == SEATS:
                     parts.sort(key=lambda p: p[0])
-                    n = sum(len(p[1]) for p in parts)
-                    if n != start:
-                        raise RuntimeError(f"block {blk} has {n} of its {start} words: its documents were cut differently in the two reads")
-                    ready = _tables(parts, token_bytes.value, digest)
-                    parts = []
-                yield _documents(first, data, ready, digest)
+                    if sum(len(p[1]) for p in parts) != start:
+                        raise RuntimeError("a block lacks words")
+                    ready, parts = _tables(parts, unpack(first).astype(np.int64), token_bytes.value, digest), []
+                else:
+                    yield _documents(first, data, ready, want_ids, digest)
 
     return scan
 
 
-def _tables(parts: list, token_bytes: list[bytes], digest: bool) -> tuple:
-    sizes = np.concatenate([p[1] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
-    ids = np.concatenate([p[2] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
-    ends = np.cumsum(sizes)
+def _tables(parts: list, seat: np.ndarray, token_bytes: list[bytes], digest: bool) -> tuple:
+    """By rank: the number of ids, where they begin in the list of all, that list, and with ``digest`` their decimal text and bytes."""
+    sizes = np.concatenate([np.zeros(0, np.int64), *(p[1].astype(np.int64) for p in parts)])
+    ids = np.concatenate([np.zeros(0, np.int64), *(p[2].astype(np.int64) for p in parts)])
+    begins = np.cumsum(sizes) - sizes
+    sizes, begins = sizes[seat], begins[seat]
     if not digest:
-        return sizes, ids, ends - sizes
-    flat, ends = ids.tolist(), ends.tolist()
-    text = list(map(str, flat))
+        return sizes, begins, ids, None, None
+    flat = ids.tolist()
+    text = [b"%d" % i for i in flat]
     raw = [token_bytes[i] for i in flat]  # the join with the token-byte table, once a distinct word
-    spans = list(zip([0, *ends], ends))
-    return sizes, [" ".join(text[a:b]) for a, b in spans], [b"".join(raw[a:b]) for a, b in spans]
+    spans = list(zip(begins.tolist(), (begins + sizes).tolist()))
+    return sizes, begins, ids, [b" ".join(text[a:b]) for a, b in spans], [b"".join(raw[a:b]) for a, b in spans]
 
 
-def _documents(head: bytes, data: bytes, ready: tuple, digest: bool) -> pa.RecordBatch:
+def _sha(parts: list[bytes], own: np.ndarray, gap: bytes) -> str:
+    """SHA-256 of the words' parts with a gap between, some at a time."""
+    out, step = hashlib.sha256(), 1 << 16
+    for i in range(0, len(own), step):
+        out.update((gap if i else b"") + gap.join(map(parts.__getitem__, own[i : i + step].tolist())))
+    return out.hexdigest()
+
+
+def _documents(head: bytes, data: bytes, ready: tuple, want_ids: bool, digest: bool) -> pa.RecordBatch:
     rows = pa.ipc.open_stream(head).read_all().combine_chunks().to_batches()
     n = int.from_bytes(data[:4], "little")
-    sizes, at = unpack(data[4 : 4 + n]).astype(np.int64), unpack(data[4 + n :]).astype(np.int64)
+    sizes, at = unpack(data[4 : 4 + n]).astype(np.int64), unpack(data[4 + n :])
+    lens, begins, ids, text, raw = ready
     ends = np.cumsum(sizes)
-    total = np.concatenate(([0], np.cumsum(ready[0][at])))
-    n_tokens = total[ends] - total[ends - sizes]
-    cols, names = list(rows[0].columns), list(rows[0].schema.names)
-    if not digest:
-        lens = ready[0][at]
-        index = np.repeat(ready[2][at] - total[:-1], lens) + np.arange(total[-1])
-        ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], total[ends])).astype(np.int32)), pa.array(ready[1][index].astype(np.int32)))
-        return pa.RecordBatch.from_arrays([*cols, pa.array(n_tokens), ids], [*names, "n_tokens", "ids"])
-    flat, a, b = at.tolist(), [], []
-    for x, y in zip((ends - sizes).tolist(), ends.tolist()):
-        own = flat[x:y]
-        a.append(hashlib.sha256(" ".join(map(ready[1].__getitem__, own)).encode()).hexdigest())
-        b.append(hashlib.sha256(b"".join(map(ready[2].__getitem__, own))).hexdigest())
-    return pa.RecordBatch.from_arrays([*cols, pa.array(n_tokens), pa.array(a, pa.string()), pa.array(b, pa.string())], [*names, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", digest: bool = False) -> DataFrame:
-    """``keep`` columns, ``n_tokens`` and ``ids`` of each document; with ``digest`` SHA-256 of the ids' decimal text
-    (``ids_sha256``) and of the decoded bytes (``decoded_sha256``) instead of the ids."""
+    total = np.concatenate(([0], np.cumsum(lens[at])))
+    cols = [*rows[0].columns, pa.array(total[ends] - total[ends - sizes])]
+    if want_ids:
+        index = np.repeat(begins[at] - total[:-1], lens[at]) + np.arange(total[-1])
+        cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], total[ends])).astype(np.int32)), pa.array(ids[index].astype(np.int32))))
+    if digest:
+        each = [at[x:y] for x, y in zip((ends - sizes).tolist(), ends.tolist())]
+        cols += [pa.array([_sha(text, own, b" ") for own in each], pa.string()), pa.array([_sha(raw, own, b"") for own in each], pa.string())]
+    return pa.RecordBatch.from_arrays(cols, [f"c{i}" for i in range(len(cols))])
+
+
+def encode(
+    docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", ids: bool = True, digest: bool = False
+) -> DataFrame:
+    """``keep`` columns and ``n_tokens`` of each document, with ``ids`` its ids, and with ``digest`` SHA-256 of the ids'
+    decimal text (``ids_sha256``) and of the decoded bytes (``decoded_sha256``)."""
     spark = session(docs.sparkSession)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sc = spark.sparkContext
@@ -269,22 +263,25 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: tuple[s
     for token, i in ranks.items():
         names[i] = token
     token_bytes = sc.broadcast(names)
-    rows = docs.select(*keep, F.col(text_col).alias("text"))
-    words = rows.mapInArrow(_words(pattern, buckets), "bucket int, block long, start int, words binary")
-    shape = "block long, kind int, start int, sizes binary, data binary"
-    ids = words.repartition(buckets, "bucket").mapInArrow(_encode(sent, pattern), shape)
-    at = rows.mapInArrow(_positions(pattern, buckets), shape)
-    met = ids.unionByName(at).repartition(buckets, "block").sortWithinPartitions("block", "kind")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields]
-    more = ["n_tokens long", *(["ids_sha256 string", "decoded_sha256 string"] if digest else ["ids array<int>"])]
-    return met.mapInArrow(_assemble(token_bytes, digest), ", ".join(fields + more))
+    kept = docs.select(*keep)
+    rows = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(text_col).alias("text"))
+    blocks = save(rows.mapInArrow(_blocks(pattern, buckets), _SHAPE), "blocks", "kind")
+    cols = _KIND.names
+    words = blocks.where(F.col("kind") == WORDS).select(*cols).repartition(buckets, "bucket").mapInArrow(_encode(sent, pattern), _SHAPE)
+    met = words.unionByName(blocks.where(F.col("kind") != WORDS).select(*cols)).repartition(buckets, "block").sortWithinPartitions("block", "kind")
+    more = [("n_tokens", "long")] + ([("ids", "array<int>")] if ids else []) + ([("ids_sha256", "string"), ("decoded_sha256", "string")] if digest else [])
+    kinds = [f.dataType.simpleString() for f in kept.schema.fields] + [t for _, t in more]
+    out = met.mapInArrow(_assemble(token_bytes, ids, digest), ", ".join(f"c{i} {t}" for i, t in enumerate(kinds)))
+    return out.toDF(*keep, *(fresh(kept, n) for n, _ in more))
 
 
 def decode(rows: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") -> DataFrame:
     """``rows`` with a binary column ``decoded``: the bytes of their ids, by a join with the token-byte table.
 
-    A null list decodes to null; an id that the table lacks is left out, as a table join would.
+    A null list decodes to null; an id that the table lacks is left out, as a table join would; where ``rows`` have a
+    column ``decoded`` the new one gets a trailing underscore.
     """
+    name = fresh(rows, "decoded")
     spark = session(rows.sparkSession)
     names = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, i in ranks.items():
@@ -296,14 +293,14 @@ def decode(rows: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") -> Da
         for b in batches:
             lists = b.column(b.schema.names.index(ids_col)).to_pylist()
             out = [None if x is None else b"".join(known[i] for i in x if i is not None and 0 <= i < len(known)) for x in lists]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, name])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(join, f"{fields}, decoded binary")
+    return rows.mapInArrow(join, f"{fields}, `{name}` binary")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, digest=True)
+    return encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, ids=False, digest=True)

@@ -1,97 +1,103 @@
 """Document fingerprints: invertible Bloom lookup sketches, in DataFrame operations only.
 
-A text is cut into paragraphs: lines, long ones in runs of sixteen words. The set of the
-paragraphs' 64-bit digests goes into a sketch: each digest is added to one cell of each of three subtables, a cell being
-a count, the XOR of its digests and the XOR of their check hashes. Sketches of two versions with equal sizes subtract cell
-by cell, here by adding their entries with opposite signs. Peeling then recovers the digests in which the versions differ:
-a cell that holds a single digest, which its check hash shows, gives the digest up, and it is taken out of its other
-cells. A step peels one subtable, where a digest has just one cell, so that nothing is taken out twice. Where cells remain
-the pair is retried with a larger sketch and other hashes. Likeness is the Jaccard index of the two digest sets, as the
-sizes and the recovered digests give it.
-
-``fingerprint`` is the sketch at its base size (3 x 4 cells) in hexadecimal, after the number of digests.
-
-Rows are dealt by ranges of ids, whose bounds are approximate quantiles, so that a document and the next one meet;
-each range also gets the first document of the range after it. All steps from the sketch to the last peeling keep that
-dealing and need no further shuffle.
+A text is cut into paragraphs: runs of at most eight words that end with their sentence or line. The first sixteen words
+give runs of two words beside, so that short texts have several too. Each distinct run is a 64-bit digest. The set of
+digests goes into a sketch: each digest is added to one cell of each of three subtables, a cell being a count, the XOR of
+its digests and the XOR of their check hashes. Sketches of equal size subtract cell by cell. Peeling then recovers the
+digests in which two sets differ: a cell that holds a single digest, which its check hash shows, gives the digest up, and
+it is taken out of its other cells. A step peels one subtable, where a digest has just one cell, so that nothing is taken
+out twice.
+
+* ``fingerprint`` is the number of digests and the sketch of ``BASE`` cells a subtable, its cells that aren't empty
+  written out. It is bounded, whatever the text's length.
+* The likeness of two fingerprints is a function of the two strings (``likeness``): the sketches subtract and are peeled.
+  Where nothing is left, the number of differing digests is exact; else what is left is estimated from the squares of the
+  remaining counts. The likeness is the Jaccard index that follows from both sizes and that number.
+* The digests in which a text and its edited version differ are recovered for every document: from the fingerprints where
+  these can be peeled, else from larger sketches that are sized for the estimated difference, and retried twice as large
+  with other hashes on failure (``differences``).
+
+A document's next one is found from the order of ids and text hashes alone, sorted by range; only the head of the next
+text that the edit needs moves to the document. Nothing depends on the number of rows with one id or none, and rows that
+are equal in id and text are one class.
 
 Defined cases: a null text is the empty text; two texts without paragraphs are alike (1.0), one without and one with are
-not (0.0); the paragraphs' order, repeats and blank space do not count; rows with equal ids are ordered by text; rows
-without an id come last; the only row is its own next document; an empty table gives an empty one; extra columns are
-ignored.
+not (0.0); the paragraphs' order, repeats and blank space between them do not count; rows with equal ids are ordered by
+a hash of the text; rows without an id come last; of rows equal in id and text each but the last is followed by its
+equal; the only row is its own next document; an empty table gives an empty one; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkweld.llm.common import release, save, table
+from sparkweld.llm.common import drop, release, save, table
 
-#: A run of at most sixteen words of one line.
-PARAGRAPH = r"\S+(?:[^\S\n]+\S+){0,15}"
-BASE = 4
-STEPS = 12
-#: Cells of a subtable for each digest of both versions, and beside these.
+#: A run of at most eight words of one line, which ends with a sentence; the first sixteen words; and two words.
+PARAGRAPH = r"(?:\S*[^\s.!?][^\S\n]+){0,7}\S+"
+OPENING, PAIR = r"^\s*(?:\S+\s+){0,15}\S+", r"\S+(?:\s+\S+)?"
+#: Cells of a fingerprint's subtable, and steps of a peeling.
+BASE, STEPS = 16, 12
+#: Cells of a larger subtable for each differing digest, and beside these.
 CELLS, MORE_CELLS = 0.75, 8
-#: Characters of text in a range of ids, ranges at most (their bounds travel with the plan), and ranges in a task.
-RANGE_CHARS, RANGES, RANGES_A_TASK = 800_000, 65_536, 6
+#: Digests that a task takes, about.
+TASK_DIGESTS = 250_000
 ATTEMPTS = 12
+#: Equal rows that are written out together.
+REPEATS = 4096
 
 
 def digests(text: str | Column) -> Column:
-    """The digests of a text's paragraphs, in order and with repeats."""
+    """The distinct digests of a text."""
     col = F.col(text) if isinstance(text, str) else text
-    return F.transform(F.regexp_extract_all(col, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(p))
-
-
-def _range_of(docs: DataFrame) -> tuple[Column, int]:
-    """Number of a row's range of ids, -1 without an id, and the number of ranges: quantile bounds, searched in two steps."""
-    chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
-    n = min(RANGES, max(2, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // RANGE_CHARS)))
-    bounds = docs.agg(F.percentile_approx("doc_id", F.lit([i / n for i in range(1, n)]), F.lit(max(10_000, 4 * n))).alias("x")).first().x
-    bounds = sorted(set(bounds or [0]))
-    step = math.isqrt(len(bounds)) + 1
-    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    count = lambda xs: F.size(F.filter(xs, lambda x: x < F.col("doc_id")))
-    group = count(F.lit([g[-1] for g in groups]))
-    within = count(F.try_element_at(F.array(*(F.lit(g) for g in groups)), group + 1))
-    # past the last bound there is no group, and size(null) is not a count
-    return F.when(F.col("doc_id").isNull(), -1).when(group == len(groups), len(bounds)).otherwise(group * step + within).cast("int"), n
-
-
-def versions(docs: DataFrame) -> tuple[DataFrame, int]:
-    """``(part, place, guest, doc_id, n_chars, edited_sha256, own, kept, tail)``: digests of every text and its edit; and
-    the number of ranges.
-
-    The edited text's digests are the first ``kept`` of ``own``, then ``tail``. A guest stands at the end of a range
-    for the next document of the range's last one.
-    """
+    runs = F.transform(F.regexp_extract_all(col, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(p))
+    first = F.regexp_extract_all(F.regexp_extract(col, OPENING, 0), F.lit(PAIR), F.lit(0))
+    return F.array_distinct(F.concat(runs, F.transform(first, lambda p: F.xxhash64(p, F.lit(2)))))
+
+
+_KEY, _NEXT = ["k1", "k2"], ["j1", "j2"]
+
+
+def order(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, k1, k2, size)``, the keys being 128 bits of id and text; returns ``(doc_id, k1, k2, size, n, j1, j2)``,
+    one row a class of equal rows with the class that comes next, by descending id; after the last comes the first."""
+    classes = docs.groupBy("doc_id", *_KEY, "size").agg(F.count("*").alias("n"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    down = [F.desc_nulls_last("doc_id"), *_KEY]
+    x = save(classes.repartitionByRange(parts, *down).withColumn("part", F.spark_partition_id()), "order")
+    key = F.struct(*_KEY)
+    # the first class of each part follows the last one of the part before: one row a part
+    first = F.min_by(key, F.struct(F.col("doc_id").isNull().alias("a"), F.bitwise_not("doc_id").alias("b"), *_KEY)).alias("first")
+    whole = Window.partitionBy(F.lit(0)).orderBy("part")
+    ends = x.groupBy("part").agg(first)
+    ends = ends.select("part", F.coalesce(F.lead("first").over(whole), F.first("first").over(whole)).alias("beyond"))
+    inside = F.lead(key).over(Window.partitionBy("part").orderBy(*down))
+    x = x.withColumn("inside", inside).join(F.broadcast(ends), "part").withColumn("next", F.coalesce("inside", "beyond"))
+    return x.select("doc_id", *_KEY, "size", "n", F.col("next.k1").alias("j1"), F.col("next.k2").alias("j2"))
+
+
+def versions(docs: DataFrame) -> DataFrame:
+    """``(row, doc_id, times, k1, k2, j1, j2, n_chars, edited_sha256, own, edited)``: each class of equal rows with the
+    digests of its text and of the edited text; of several equal rows all but one are a second row with themselves next."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    part, ranges = _range_of(rows)
-    rows = rows.withColumn("part", part)
-    first = {r.part: r.id for r in rows.groupBy("part").agg(F.max("doc_id").alias("id")).collect()}  # at most RANGES + 1
-    order = sorted(first, reverse=True)
-    guests = rows.where(F.col("doc_id").isin([i for i in first.values() if i is not None]) | (F.lit(-1 in first) & F.col("doc_id").isNull()))
-    guests = guests.groupBy("part").agg(F.min("text").alias("text"))
-    if order:
-        hosts = F.map_from_arrays(F.lit(order), F.lit([order[-1], *order[:-1]]))
-        guests = guests.select(F.lit(None).cast("long").alias("doc_id"), "text", F.element_at(hosts, F.col("part")).alias("part"))
-    else:
-        guests = guests.select(F.lit(None).cast("long").alias("doc_id"), "text", "part")
-    both = rows.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
-    w = Window.partitionBy("part").orderBy("guest", F.desc_nulls_last("doc_id"), "text")
-    x = both.select("part", "guest", "doc_id", "text", F.row_number().over(w).alias("place"), F.lead("text").over(w).alias("next"))
-    n = F.length("text")
-    head = F.left("text", n - F.floor(n / 3).cast("int"))
-    x = x.withColumn("head", head).withColumn("edited", F.concat("head", F.left("next", F.floor(n / 3).cast("int"))))
-    # all paragraphs of the untouched head but its last one are paragraphs of both texts
-    kept = F.greatest(F.lit(0), F.size(F.regexp_extract_all("head", F.lit(PARAGRAPH), F.lit(0))) - 1)
-    x = x.select("part", "place", "guest", "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), digests("text").alias("own"), kept.alias("kept"), digests("edited").alias("new"))
-    tail = F.slice("new", F.col("kept") + 1, F.greatest(F.lit(0), F.size("new") - F.col("kept")))
-    return x.select("part", "place", "guest", "doc_id", "n_chars", "edited_sha256", "own", "kept", tail.alias("tail")), ranges
+    rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", F.lit(7), "doc_id").alias("k2"), "text")
+    known = save(order(rows.select("doc_id", *_KEY, F.length("text").alias("size"))), "next")
+    release(docs.sparkSession)
+    third = F.floor(F.col("size") / 3).cast("int")
+    before = known.select(F.col("j1").alias("k1"), F.col("j2").alias("k2"), F.col("k1").alias("i1"), F.col("k2").alias("i2"), third.alias("want"))
+    # every distinct text moves to its class, and from there the head that the class before it needs
+    texts = rows.select(*_KEY, "text").dropDuplicates(_KEY)
+    heads = texts.join(before, _KEY).select(F.col("i1").alias("k1"), F.col("i2").alias("k2"), F.left("text", F.col("want")).alias("piece"))
+    x = texts.join(known, _KEY).join(heads, _KEY)
+    head = F.left("text", F.col("size") - third)
+    then = F.struct(F.lit(1).cast("long").alias("times"), F.concat(head, "piece").alias("edited"), "j1", "j2")
+    same = F.struct((F.col("n") - 1).alias("times"), F.concat(head, F.left("text", third)).alias("edited"), F.col("k1").alias("j1"), F.col("k2").alias("j2"))
+    x = x.select("doc_id", *_KEY, "size", "text", F.explode(F.when(F.col("n") > 1, F.array(then, same)).otherwise(F.array(then))).alias("v"))
+    return x.select(
+        F.monotonically_increasing_id().alias("row"), "doc_id", "v.times", *_KEY, "v.j1", "v.j2", F.col("size").cast("long").alias("n_chars"),
+        F.sha2("v.edited", 256).alias("edited_sha256"), digests("text").alias("own"), digests("v.edited").alias("edited"),
+    )
 
 
 def _cell(key: Column | str, sub: int, size: Column | str, seed: int) -> Column:
@@ -100,118 +106,117 @@ def _cell(key: Column | str, sub: int, size: Column | str, seed: int) -> Column:
 
 
 def _check(key: Column | str) -> Column:
-    return F.xxhash64(key, F.lit(-1))
+    return F.shiftrightunsigned(F.xxhash64(key, F.lit(-1)), 32)
 
 
 def _added(rows: DataFrame) -> DataFrame:
-    x = rows.groupBy("part", "place", "pair", "size", "cell").agg(F.sum("n").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("check").alias("check"))
+    """Cells of equal place added up; empty ones drop out."""
+    x = rows.groupBy("row", "pair", "size", "cell").agg(F.sum("n").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("check").alias("check"))
     return x.where("n <> 0 or key <> 0 or check <> 0")
 
 
-def sketches(rows: DataFrame, growth: int, seed: int, base: bool) -> DataFrame:
-    """``rows(part, place, own, edited, next)``, sets of digests. Cells ``(part, place, pair, size, cell, n, key, check)``:
-    pair 0 is own less edited, pair 1 own less next, and with ``base`` 2 and 3 are the base sketches of own and edited."""
-    size = lambda a, b: (F.ceil((F.size(a) + F.size(b)) * CELLS) + MORE_CELLS) * growth
-    entry = lambda pair, sign, n, keys: F.struct(F.lit(pair).alias("pair"), F.lit(sign).cast("long").alias("n"), n.cast("long").alias("size"), F.col(keys).alias("keys"))
-    e, x = size("own", "edited"), size("own", "next")
-    entries = [entry(0, 1, e, "own"), entry(0, -1, e, "edited"), entry(1, 1, x, "own"), entry(1, -1, x, "next")]
-    if base:
-        entries += [entry(2, 1, F.lit(BASE), "own"), entry(3, 1, F.lit(BASE), "edited")]
-    out = rows.select("part", "place", F.explode(F.array(*entries)).alias("e")).select("part", "place", "e.pair", "e.n", "e.size", F.explode("e.keys").alias("key"))
-    out = out.select("part", "place", "pair", "n", "size", "key", _check("key").alias("check"), F.explode(F.array(*(_cell("key", s, "size", seed) for s in range(3)))).alias("cell"))
-    return _added(out)
-
-
-def peel(cells: DataFrame, seed: int, steps: int = STEPS, recover: bool = False) -> DataFrame:
-    """Peels pairs 0 and 1. What is recovered is rows of pair 10 or 11: a row a digest, its cell and key being the digest,
-    where ``recover`` is set, else one row for each version that has digests of its own (cells 1 and -1) with their number
-    and their XOR."""
+def sketch(sets: DataFrame, seed: int = 0) -> DataFrame:
+    """``sets(row, pair, n, size, keys)``: digests, each counted ``n`` (1, or -1 to subtract), in subtables of ``size``
+    cells; returns cells ``(row, pair, size, cell, n, key, check)``. Sets of one row and pair add up."""
+    x = sets.select("row", "pair", F.col("n").cast("long").alias("n"), F.col("size").cast("long").alias("size"), F.explode("keys").alias("key"))
+    at = F.explode(F.array(*(_cell("key", s, "size", seed) for s in range(3)))).alias("cell")
+    return _added(x.select("row", "pair", "n", "size", "key", _check("key").alias("check"), at))
+
+
+#: Pairs from this number on hold digests that were recovered, a cell being one digest.
+FOUND = 10
+
+
+def peel(cells: DataFrame, seed: int = 0, steps: int = STEPS) -> DataFrame:
+    """Cells that can't be peeled, and a row for each recovered digest: its pair is raised by ``FOUND``, ``key`` is the
+    digest and ``n`` the side that has it (1 or -1)."""
     for i in range(steps):
         sub = i % 3
-        pure = (F.col("pair") < 2) & (F.abs("n") == 1) & (F.col("check") == _check("key")) & (F.col("cell") == _cell("key", sub, "size", seed))
+        pure = (F.col("pair") < FOUND) & (F.abs("n") == 1) & (F.col("check") == _check("key")) & (F.col("cell") == _cell("key", sub, "size", seed))
         row = lambda pair, cell, n, key, check: F.struct(pair.alias("pair"), cell.alias("cell"), n.alias("n"), key.alias("key"), check.alias("check"))
         same = row(*(F.col(c) for c in ("pair", "cell", "n", "key", "check")))
         taken = [row(F.col("pair"), _cell("key", s, "size", seed), -F.col("n"), F.col("key"), F.col("check")) for s in range(3) if s != sub]
-        found = row(F.col("pair") + 10, F.col("key" if recover else "n"), F.col("n"), F.col("key"), F.lit(0).cast("long"))
-        x = cells.select("part", "place", "size", F.explode(F.when(pure, F.array(found, *taken)).otherwise(F.array(same))).alias("e"))
-        cells = _added(x.select("part", "place", "size", "e.*"))
+        found = row(F.col("pair") + FOUND, F.col("key"), F.col("n"), F.col("key"), F.col("check"))
+        x = cells.select("row", "size", F.explode(F.when(pure, F.array(found, *taken)).otherwise(F.array(same))).alias("e"))
+        cells = _added(x.select("row", "size", "e.*"))
     return cells
 
 
-def _outcome(cells: DataFrame) -> DataFrame:
-    """Of each document and its pairs: how many digests only the one or the other has, and whether cells remain."""
-    count = lambda c: F.count(F.when(c, 1))
-    at = F.col("pair")
-    parts = []
-    for p in (0, 1):
-        own = lambda sign, p=p: F.sum(F.when((at == p + 10) & (F.col("n") * sign > 0), F.abs("n")).otherwise(0))
-        parts += [own(1).alias(f"more{p}"), own(-1).alias(f"less{p}"), count(at == p).alias(f"left{p}")]
-    for p in (2, 3):
-        held = F.array_sort(F.collect_list(F.when(at == p, F.struct("cell", "n", "key", "check"))))
-        text = F.transform(held, lambda c: F.concat(F.hex(c["cell"]), F.lit("."), F.hex(c["n"]), F.lit("."), F.hex(c["key"]), F.lit("."), F.hex(F.shiftrightunsigned(c["check"], 32))))
-        total = F.sum(F.when(at == p, F.col("n")).otherwise(0))
-        parts += [(total / 3).cast("long").alias(f"size{p}"), F.lower(F.concat_ws(":", (total / 3).cast("long").cast("string"), F.array_join(text, ":"))).alias(f"sketch{p}")]
-    return cells.groupBy("part", "place").agg(*parts)
+def written(cells: DataFrame) -> DataFrame:
+    """``(row, fingerprint, edited_fingerprint)`` of the cells of pairs 0 and 1."""
+    out = []
+    for p, name in ((0, "fingerprint"), (1, "edited_fingerprint")):
+        held = F.array_sort(F.collect_list(F.when(F.col("pair") == p, F.struct("cell", "n", "key", "check"))))
+        text = F.transform(held, lambda c: F.concat_ws(".", F.hex(c["cell"]), F.hex(c["n"]), F.hex(c["key"]), F.hex(c["check"])))
+        total = F.coalesce(F.sum(F.when(F.col("pair") == p, F.col("n"))), F.lit(0))
+        out.append(F.lower(F.concat_ws(":", (total / 3).cast("long").cast("string"), F.array_join(text, ":"))).alias(name))
+    return cells.groupBy("row").agg(*out)
 
 
-def _sets(rows: DataFrame) -> DataFrame:
-    """Own, edited and next digest sets of all rows but guests."""
-    w = Window.partitionBy("part").orderBy("place")
-    x = rows.select("part", "place", "guest", "own", "kept", "tail", F.lead("own").over(w).alias("next")).where("not guest")
-    edited = F.array_distinct(F.concat(F.slice("own", F.lit(1), F.col("kept")), "tail"))
-    return x.select("part", "place", F.array_distinct("own").alias("own"), edited.alias("edited"), F.array_distinct("next").alias("next"))
+EMPTY = "0:"
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)`` for each row of
-    ``docs(doc_id, text)``."""
-    spark = docs.sparkSession
-    rows, ranges = versions(docs)
-    rows = save(rows, "versions")
-    release(spark)
-    # a task's cells fit in its memory: tasks follow the amount of text and not the session's setting
-    tasks = -(-ranges // RANGES_A_TASK)
-    first = save(_outcome(peel(sketches(_sets(rows.repartition(tasks, "part")), 1, 0, True), 0)), "sketches")
-    release(spark)
-    results, failed = [first], first.where("left0 > 0 or left1 > 0").select("part", "place")
+def _number(fingerprint: Column) -> Column:
+    return F.substring_index(fingerprint, ":", 1).cast("long")
+
+
+def _read(fingerprint: Column, sign: int) -> Column:
+    """The cells of a fingerprint's text."""
+    number = lambda x: F.conv(x, 16, -10).cast("long")
+
+    def cell(c: Column) -> Column:
+        p = F.split(c, r"\.")
+        return F.struct(number(p[0]).alias("cell"), (number(p[1]) * sign).alias("n"), number(p[2]).alias("key"), number(p[3]).alias("check"))
+
+    return F.transform(F.filter(F.split(fingerprint, ":"), lambda c: F.contains(c, F.lit("."))), cell)
+
+
+def compared(pairs: DataFrame) -> DataFrame:
+    """``pairs(row, pair, a, b)``, two fingerprints; their difference, peeled: cells that are left and recovered digests.
+
+    Equal fingerprints have none. The rows must be dealt by ``row`` for this to need no shuffle.
+    """
+    both = F.explode(F.concat(_read(F.col("a"), 1), _read(F.col("b"), -1))).alias("c")
+    cells = pairs.where("a <> b").select("row", "pair", both).select("row", "pair", F.lit(BASE).cast("long").alias("size"), "c.*")
+    return peel(_added(cells))
+
+
+def differing(peeled: DataFrame) -> DataFrame:
+    """``(row, pair, differ, left)``: how many digests of a pair differ, and whether that is an estimate.
+
+    Of ``left`` cells the counts' squares add up to the remaining digests, in each subtable and but for those that meet.
+    """
+    of = F.when(F.col("pair") >= FOUND, F.col("pair") - FOUND).otherwise(F.col("pair"))
+    cell, n = F.col("pair") < FOUND, F.col("n")
+    total = lambda x: F.coalesce(F.sum(F.when(cell, x)), F.lit(0))
+    x = peeled.groupBy("row", of.alias("pair")).agg(F.count(F.when(~cell, 1)).alias("found"), F.count(F.when(cell, 1)).alias("left"), total(n * n).alias("squares"), (total(n) / 3).alias("net"))
+    rest = (F.col("squares") - 3 * F.col("net") * F.col("net") / BASE) / (3 * (1 - 1 / BASE))
+    rest = F.greatest(F.round(rest), F.abs("net"), F.lit(1.0))
+    return x.select("row", "pair", (F.col("found") + F.when(F.col("left") > 0, rest).otherwise(0.0)).alias("differ"), (F.col("left") > 0).alias("left"))
+
+
+def likeness(a: Column, b: Column, differ: Column) -> Column:
+    """Jaccard index of two fingerprints that differ in so many digests."""
+    both = (_number(a) + _number(b)).cast("double")
+    d = F.least(F.coalesce(differ, F.lit(0.0)), both)
+    return F.when(both == 0, 1.0).otherwise((both - d) / F.greatest(both + d, F.lit(1.0)))
+
+
+def differences(sets: DataFrame) -> DataFrame:
+    """``sets(row, own, edited, differ)``, digest sets and the expected number of differing ones; returns ``(row, key, n)``:
+    the digests that only the first (n 1) or only the second set (-1) has, each row's sketch being decoded whole."""
+    out, rest, spent = [], sets, []
     for attempt in range(1, ATTEMPTS + 1):
+        size = F.ceil(F.col("differ") * CELLS * 2 ** (attempt - 1)) + MORE_CELLS
+        entry = lambda n, keys: F.struct(F.lit(n).alias("n"), F.col(keys).alias("keys"))
+        x = rest.select("row", F.lit(0).alias("pair"), size.alias("size"), F.explode(F.array(entry(1, "own"), entry(-1, "edited"))).alias("e")).select("row", "pair", "size", "e.*")
+        peeled = save(peel(sketch(x, attempt), attempt), "peeled")
+        failed = save(peeled.where(F.col("pair") < FOUND).select("row").distinct(), "failed")
+        spent.append(failed)
+        out.append(peeled.where(F.col("pair") >= FOUND).join(failed, "row", "left_anti").select("row", "key", "n"))
         if failed.isEmpty():
             break
-        if attempt == ATTEMPTS:
-            raise RuntimeError("sketches can't be decoded")
-        wanted = failed.unionByName(failed.withColumn("place", F.col("place") + 1)).distinct()
-        again = _sets(rows.join(wanted, ["part", "place"])).join(failed, ["part", "place"])
-        result = save(_outcome(peel(sketches(again, 2**attempt, attempt, False), attempt)), "sketches")
-        results.append(result)
-        failed = result.where("left0 > 0 or left1 > 0").select("part", "place")
-    every = results[0]
-    for r in results[1:]:
-        every = every.unionByName(r)
-    picked = [F.max(F.when(F.col(f"left{p}") == 0, F.col(f"{c}{p}"))).alias(f"{c}{p}") for p in (0, 1) for c in ("more", "less")]
-    every = every.groupBy("part", "place").agg(*picked, *(F.max(c).alias(c) for c in ("size2", "size3", "sketch2", "sketch3")))
-    out = rows.where("not guest").select("part", "place", "doc_id", "n_chars", "edited_sha256").join(every, ["part", "place"], "left")
-    own = F.coalesce("size2", F.lit(0))
-
-    def likeness(p: int) -> Column:
-        shared, union = own - F.coalesce(f"more{p}", F.lit(0)), own + F.coalesce(f"less{p}", F.lit(0))
-        return F.when(union == 0, F.lit(1.0)).otherwise(shared / F.greatest(union, F.lit(1)))
-
-    name = lambda c: F.coalesce(c, F.lit("0:"))
-    return out.select("doc_id", "n_chars", "edited_sha256", name("sketch2").alias("fingerprint"), name("sketch3").alias("edited_fingerprint"), likeness(0).alias("near_edited"), likeness(1).alias("near_next"))
-
-
-def differences(rows: DataFrame) -> DataFrame:
-    """``rows(part, place, own, edited, next)``, digest sets; returns ``(part, place, pair, digest, side)`` for pair 0 (own
-    and edited) and 1 (own and next): digests that only the first (side 1) or only the second version (side -1) has. Pairs
-    that a sketch of the first size can't decode are retried as in ``fingerprints``."""
-    out, left = [], rows
-    for attempt in range(ATTEMPTS):
-        cells = save(peel(sketches(left, 2**attempt, attempt, False), attempt, recover=True), "differences")
-        failed = cells.where("pair < 2").select("part", "place").distinct()
-        out.append(cells.where("pair >= 10").join(failed, ["part", "place"], "left_anti").select("part", "place", (F.col("pair") - 10).alias("pair"), F.col("key").alias("digest"), F.col("n").cast("int").alias("side")))
-        if failed.isEmpty():
-            break
-        left = left.join(failed, ["part", "place"], "left_semi")
+        rest = rest.join(failed, "row", "left_semi")
     else:
         raise RuntimeError("sketches can't be decoded")
     every = out[0]
@@ -220,5 +225,53 @@ def differences(rows: DataFrame) -> DataFrame:
     return every
 
 
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """``(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, gone, come)`` for each
+    row of ``docs(doc_id, text)``; ``gone`` and ``come``: the recovered digests that only the text or only the edited text has."""
+    spark = docs.sparkSession
+    rows = save(versions(docs), "versions")
+    release(spark)
+    # a task's cells fit in its memory: tasks follow the number of digests and not the session's setting
+    total = rows.agg(F.sum(F.size("own") + F.size("edited")).alias("n")).first().n or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_DIGESTS))
+    entry = lambda pair, keys: F.struct(F.lit(pair).alias("pair"), F.col(keys).alias("keys"))
+    dealt = rows.select("row", "own", "edited").repartition(tasks, "row")
+    sets = dealt.select("row", F.lit(1).alias("n"), F.lit(BASE).alias("size"), F.explode(F.array(entry(0, "own"), entry(1, "edited"))).alias("e")).select("row", "n", "size", "e.*")
+    prints = save(written(sketch(sets)), "prints")
+    release(spark)
+    name = lambda c: F.coalesce(c, F.lit(EMPTY)).alias(c)
+    facts = rows.drop("own", "edited").join(prints, "row", "left").withColumns({c: name(c) for c in ("fingerprint", "edited_fingerprint")})
+    facts = save(facts, "facts")
+    drop(prints)
+    release(spark)
+    # of a class's rows the one whose next is another class, or the only one there is
+    own = facts.where("times = 1").groupBy(*_KEY).agg(F.first("fingerprint").alias("b"))
+    following = facts.select("row", F.col("j1").alias("k1"), F.col("j2").alias("k2"), "fingerprint", "edited_fingerprint").join(own, _KEY).repartition(tasks, "row")
+    pair = lambda p, b: F.struct(F.lit(p).alias("pair"), F.col("fingerprint").alias("a"), F.col(b).alias("b"))
+    pairs = following.select("row", F.explode(F.array(pair(0, "edited_fingerprint"), pair(1, "b"))).alias("p")).select("row", "p.*")
+    peeled = save(compared(pairs), "peeled")
+    release(spark)
+    counts = save(differing(peeled), "differing")
+    first = peeled.where(F.col("pair") == FOUND).join(counts.where("pair = 0 and left").select("row"), "row", "left_anti").select("row", "key", "n")
+    hard = counts.where("pair = 0 and left").select("row", "differ")
+    found = first.unionByName(differences(rows.select("row", "own", "edited").join(hard, "row")))
+    side = lambda n, c: F.array_sort(F.collect_list(F.when(F.col("n") == n, F.col("key")))).alias(c)
+    recovered = found.groupBy("row").agg(side(1, "gone"), side(-1, "come"))
+    numbers = counts.groupBy("row").agg(*(F.max(F.when(F.col("pair") == p, F.col("differ"))).alias(f"differ{p}") for p in (0, 1)))
+    sizes = own.select(F.col("k1").alias("j1"), F.col("k2").alias("j2"), F.concat(F.substring_index("b", ":", 1), F.lit(":")).alias("next_size"))
+    out = facts.join(sizes, _NEXT).join(numbers, "row", "left").join(recovered, "row", "left")
+    none = F.array().cast("array<long>")
+    out = out.select(
+        "doc_id", "times", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        likeness(F.col("fingerprint"), F.col("edited_fingerprint"), F.col("differ0")).alias("near_edited"),
+        likeness(F.col("fingerprint"), F.col("next_size"), F.col("differ1")).alias("near_next"), F.coalesce("gone", none).alias("gone"), F.coalesce("come", none).alias("come"),
+    )
+    if not facts.where("times > 1").isEmpty():  # equal rows are written out by several tasks where they are many
+        step = F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1, F.lit(REPEATS).cast("long"))).alias("at")
+        out = out.select("*", step).repartition(tasks)
+        out = out.select("*", F.explode(F.sequence(F.col("at"), F.least(F.col("at") + REPEATS, F.col("times")) - 1)).alias("copy"))
+    return out.drop("times", "at", "copy")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))

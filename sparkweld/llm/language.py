@@ -7,7 +7,8 @@ the text as ambiguous.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is every text where nothing could be
 learned. Rows without an id are training rows of fold null, hence never used for learning and never held out. Equal
-texts get equal predictions; ties go to the language that sorts first; extra columns are ignored.
+texts get equal predictions; ties go to the language that sorts first; over ``LANGUAGES`` languages are refused, none is
+dropped; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkweld.llm.common import fold, session, slices, table
+from sparkweld.llm.common import drop, fold, save, session, slices, table
 
 FOLDS, HELD_OUT = 3, 1
 #: Buckets of hashed n-grams, and the lengths of these in bytes.
 BUCKETS = 4096
 ORDERS = (2, 3, 4)
-#: Languages up to which all splits in two are bits; beyond, random splits.
-EXHAUSTIVE = 6
+#: Languages at most: their counts, a row a bucket, reach the driver.
+LANGUAGES = 1000
 AMBIGUOUS = 0.1
 #: Documents whose count vectors a worker holds at once.
 GROUP = 256
@@ -58,20 +59,17 @@ def counts(texts: list[bytes], buckets: int = BUCKETS) -> np.ndarray:
     return out.reshape(len(texts), buckets)
 
 
-def codewords(n: int, seed: int = 7) -> np.ndarray:
-    """A matrix of n rows of +1 and -1: every split of few languages, else the best of random codes."""
-    if n <= 1:
-        return np.ones((n, 1))
-    if n <= EXHAUSTIVE:
-        return np.array([[1 if i == 0 or not k >> (i - 1) & 1 else -1 for k in range(1, 2 ** (n - 1))] for i in range(n)], float)
-    rng, best, apart = np.random.default_rng(seed), None, -1
-    for _ in range(50):
-        code = rng.choice([-1.0, 1.0], (n, int(np.ceil(10 * np.log2(n)))))
-        code = code[:, np.abs(code.sum(axis=0)) < n]
-        d = (code.shape[1] - code @ code.T) / 2 + np.eye(n) * 1e9
-        if d.min() > apart:
-            best, apart = code, d.min()
-    return best
+def codewords(n: int) -> np.ndarray:
+    """A row of +1 and -1 for each of n languages, two of which differ in half of the bits: rows of a Hadamard matrix.
+
+    The matrix is twice as large as it need be, at least 16, so that a few wrong bits leave the nearest row the right one;
+    a column that is the same for all languages is no bit.
+    """
+    code = np.ones((1, 1))
+    while len(code) < max(16, 2 * n):
+        code = np.block([[code, code], [code, -code]])
+    code = code[1 : n + 1]
+    return code[:, np.abs(code.sum(axis=0)) < n] if n > 1 else np.ones((n, 1))
 
 
 @dataclass(frozen=True)
@@ -114,11 +112,15 @@ def train(docs: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(x[at])], ["lang", "bucket", "n"])
 
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).where(fold("doc_id", FOLDS) != HELD_OUT)
-    rows = known.select("lang", "text").mapInArrow(tally, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
-    names = sorted({r.lang for r in rows})
-    x = np.zeros((len(names), BUCKETS))
-    for r in rows:
-        x[names.index(r.lang), r.bucket] = r.n
+    rows = known.select("lang", "text").mapInArrow(tally, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    rows = save(rows, "n-grams")
+    names = sorted(r.lang for r in rows.select("lang").distinct().limit(LANGUAGES + 1).collect())
+    if len(names) > LANGUAGES:
+        raise ValueError(f"over {LANGUAGES} languages")
+    x, at = np.zeros((len(names), BUCKETS)), {lang: i for i, lang in enumerate(names)}
+    for r in rows.collect():
+        x[at[r.lang], r.bucket] = r.n
+    drop(rows)
     return model_of(names, x)
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkweld.llm.common import fold, hashed_sample, save, session, slices, table
+from sparkweld.llm.common import drop, fold, hashed_sample, save, session, slices, table
 
 #: Labelled rows that the fit takes, about at most.
 SAMPLE = 20_000
@@ -121,6 +121,72 @@ def featurise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(scan, f"id {kind}, x array<double>")
 
 
+def train(stats: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
+    """``stats(id, x)`` and ``labels(doc_id, <label>)``: the fit of the rows outside the held-out fold.
+
+    Of rows with one id one is taken, and of its labels the greatest, so that repeats can't pass the sample's bound.
+    """
+    named = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y")).where("y in (0, 1)").where(fold("id", FOLDS) != HELD_OUT)
+    named = save(named.groupBy("id").agg(F.max("y").alias("y")), "quality-labels")
+    taken = hashed_sample(named, "id", sample).join(stats, "id").groupBy("id", "y").agg(F.min("x").alias("x")).collect()
+    drop(named)
+    taken.sort(key=lambda r: r.id)
+    return fit(np.array([r.x for r in taken]).reshape(-1, len(NAMES)), np.array([r.y for r in taken], dtype=int))
+
+
+def score(self, x: np.ndarray) -> np.ndarray:
+        z = self.slope * np.arcsinh(self.difference(x)) + self.offset
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:
+    """Coefficients (the last is the offset) of a ridge logistic regression, by Newton's method."""
+    x = np.column_stack([x, np.ones(len(x))])
+    b = np.zeros(x.shape[1])
+    penalty = ridge * np.eye(len(b))
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ b)
+        b = b + step
+        if np.abs(step).max() < 1e-8:
+            break
+    return b
+
+
+def fit(x: np.ndarray, y: np.ndarray, shrink: float = SHRINK) -> Model:
+    """``x``: statistics, ``y``: labels 0 and 1. With one class only, the score is a constant."""
+    d = len(NAMES)
+    if len(set(y.tolist())) < 2:
+        p = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
+        return Model(np.zeros((2, d)), np.stack([np.eye(d)] * 2), np.zeros(2), 0.0, float(np.log(p / (1 - p))))
+    pooled = np.diag(x.var(axis=0) + 1e-6)
+    means, inverses, constants = [], [], []
+    for k in (0, 1):
+        own = x[y == k]
+        cov = (1 - shrink) * np.cov(own, rowvar=False, bias=True) + shrink * pooled
+        chol = np.linalg.cholesky(cov)
+        means.append(own.mean(axis=0))
+        inverses.append(np.linalg.inv(chol))
+        constants.append(np.log(len(own) / len(y)) - np.log(np.diag(chol)).sum())
+    raw = Model(np.array(means), np.array(inverses), np.array(constants), 1.0, 0.0)
+    slope, offset = logistic(np.arcsinh(raw.difference(x))[:, None], y.astype(float))
+    return Model(raw.mean, raw.inverse, raw.constant, max(float(slope), 0.0), float(offset))
+
+
+def featurise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, x)``: the statistics of every document."""
+    session(docs.sparkSession)
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in slices(batches):
+            x = statistics(texts)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, len(NAMES), dtype=np.int32)), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([rows.column(0), flat], ["id", "x"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(scan, f"id {kind}, x array<double>")
+
+
 def train(stats: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
     """``stats(id, x)`` and ``labels(doc_id, <label>)``: the fit of the rows outside the held-out fold."""
     named = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y")).where("y in (0, 1)").where(fold("id", FOLDS) != HELD_OUT)
@@ -145,7 +211,9 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Documents that the classifier accepts, with all their columns. Text is read twice and never shuffled."""
-    model = train(save(featurise(docs), "quality"), labels)
+    stats = save(featurise(docs), "quality")
+    model = train(stats, labels)
+    drop(stats)
 
     def choose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in slices(batches):

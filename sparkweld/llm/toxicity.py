@@ -1,11 +1,14 @@
 """Toxicity by compression distance: two zstandard dictionaries, one of toxic and one of ordinary text.
 
 Training texts of each class give a dictionary: the stretches whose byte n-grams are over-represented in that class,
-beside the same common text in both, so that a window which holds neither compresses alike with both. A text is cut into short windows at blanks; a window's
+beside the same common text in both, so that a window which holds neither compresses alike with both. The content is
+picked that way and not by zstandard's own trainer: what parts the classes is a few words a text, which the trainer,
+going by frequency alone, leaves out (the README has the figures). A text is cut into short windows at blanks; a window's
 gain is its compressed length with the ordinary dictionary less that with the toxic one. Counts of windows whose gain
 passes each threshold, and the greatest gain, go through a logistic calibration fitted on other training rows.
 
-The fit takes a bounded sample of labelled rows (about ``SAMPLE`` of each class at most, those with the lowest hash of the id).
+The fit takes a bounded sample of labelled rows: about ``SAMPLE`` of each class at most, those with the lowest hash of the
+id, one row an id, and none whose text has over ``LONGEST`` bytes. Scores take whole texts of any length.
 
 Defined cases: null and empty texts have no window and get the calibration's score for that; without labelled rows of
 both classes every score is the share of label 1 (0 without any label); repeated rows keep their rows; rows without an
@@ -25,17 +28,19 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkweld.llm.common import fold, hashed_sample, session, slices, table
+from sparkweld.llm.common import drop, fold, hashed_sample, save, session, slices, table
 from sparkweld.llm.quality import logistic
 from sparkweld.llm.winnow import grams, word_hashes
 
 #: Labelled rows of each class that the fit takes, about at most.
 SAMPLE = 3000
+#: Bytes of a text in the sample, at most: 192 MB of texts reach the driver in the worst case.
+LONGEST = 32 << 10
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 #: Bytes of a window at least (it ends at the next blank), and of each half of a dictionary.
 WINDOW, CONTENT = 32, 8 << 10
-GRAM, BUCKETS, EXCESS = 5, 1 << 20, 5.0
+GRAM, BUCKETS, EXCESS = 7, 1 << 20, 5.0
 GAINS = (2, 3, 4, 5, 6, 8)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -188,6 +193,59 @@ def fit(texts: list[bytes], labels: list[int]) -> Scorer:
     return Scorer(draft.toxic, draft.ordinary, logistic(x, y, ridge=0.3))
 
 
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Scorer:
+    """Of rows with one id that with the least text is taken, and of its labels the greatest."""
+    named = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y")).where("y in (0, 1)").where(fold("id", FOLDS) != HELD_OUT)
+    named = save(named.groupBy("id").agg(F.max("y").alias("y")), "toxic-labels")
+    ids = [r for y in (0, 1) for r in hashed_sample(named.where(f"y = {y}"), "id", sample).collect()]
+    drop(named)
+    if not ids:
+        return fit([], [])
+    # about twice SAMPLE short rows: a bounded broadcast
+    few = docs.sparkSession.createDataFrame(ids, named.schema)
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").alias("id"), text.alias("text")).where(F.octet_length("text") <= LONGEST).join(F.broadcast(few), "id")
+    rows = rows.groupBy("id", "y").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: r.id)
+    return fit([r.text.encode() for r in rows], [r.y for r in rows])
+
+
+def score(self, texts: list[bytes]) -> np.ndarray:
+        if self.weights is None:
+            return np.full(len(texts), self.constant)
+        x = np.array([self.features(t) for t in texts]).reshape(len(texts), -1)
+        return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -500, 500)))
+
+
+def unlike(texts: list[bytes]) -> list[bytes]:
+    """One text of each group of copies: those whose least hash of five words in a row is equal."""
+    out: dict[bytes | int, bytes] = {}
+    for t in texts:
+        g = grams(word_hashes(t.split()), 5)
+        out.setdefault(int(g.min()) if len(g) else t, t)
+    return list(out.values())
+
+
+def fit(texts: list[bytes], labels: list[int]) -> Scorer:
+    """Even rows train the dictionaries and odd ones the calibration, within each class.
+
+    Copies count once: a passage that is copied often would pass for a sign of its class.
+    """
+    by = {k: unlike([t for t, y in zip(texts, labels) if y == k]) for k in (0, 1)}
+    if not by[0] or not by[1]:
+        return Scorer(b"", b"", None, float(len(by[1]) > 0))
+    own = {k: [b" ".join(t.translate(_LOWER).split()) for t in (v[::2] if len(v) > 1 else v)] for k, v in by.items()}
+    df, n = [_shares(own[k]) for k in (0, 1)], [len(own[k]) for k in (0, 1)]
+    plain = [w for t in own[0] for w in windows(t)]
+    common = _content(plain[:: max(1, len(plain) // 1000)], CONTENT)
+    special = {k: _content(_marked(own[k], _excess(df[k], n[k], df[1 - k], n[1 - k])), CONTENT // 2) for k in (0, 1)}
+    draft = Scorer(common + b" " + special[1], special[0] + b" " + common, None)
+    rest = [(t, k) for k, v in by.items() for t in (v[1::2] if len(v) > 1 else v)]
+    x = np.array([draft.features(t) for t, _ in rest])
+    y = np.array([k for _, k in rest], float)
+    return Scorer(draft.toxic, draft.ordinary, logistic(x, y, ridge=0.3))
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Scorer:
     named = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y")).where("y in (0, 1)").where(fold("id", FOLDS) != HELD_OUT)
     ids = [r for y in (0, 1) for r in hashed_sample(named.where(f"y = {y}"), "id", sample).collect()]

@@ -256,6 +256,15 @@ def read(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
     return files.select("path", "content").mapInArrow(get, schema)
 
 
+ORACLE = """
+WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS digest, strlen(coalesce(html, '')) AS n FROM pages),
+f AS (SELECT digest, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY digest)
+SELECT page_id, n AS payload_bytes, p.digest AS payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.digest = f.digest AND n >= 100
+"""
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(table(spark, sf_dir, "pages"), folder)

@@ -2,11 +2,12 @@
 
 1. ``quality``: documents that the quality classifier rejects go.
 2. ``near_duplicates``: of each group of texts with a five-word-shingle Jaccard index of 0.8 or more the document with the
-   smallest id stays.
+   smallest id stays (bit-sliced SimHash, then the sets themselves).
 3. ``substrings``: word runs of 13 or more that a document with a smaller id has are cut out of the text, and
    ``n_chars`` follows; a document that is left without words stays, as an empty text.
 4. ``decontamination``: documents that hold a window of a benchmark item go.
-5. ``tokens``: what is left becomes token ids, one row a document.
+5. ``tokens``: what is left becomes token ids, one row a document, which are decoded again: ``decoded_sha256`` is that of
+   the stage's text.
 
 All stages but the last return the columns of ``documents``, unchanged but for that. Rows without an id stay where a
 stage's decision needs an id; decisions about texts hold for a row, not for all rows of its id. Labels and benchmark items are read from ``sf_dir``.
@@ -41,8 +42,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``(doc_id, lang, source, n_tokens, ids)``."""
-    return bpe.encode(docs, bpe.load_ranks(RANKS), public_tokenizers.PATTERN, keep=("doc_id", "lang", "source"))
+    """``(doc_id, lang, source, n_tokens, ids, ids_sha256, decoded_sha256)``."""
+    return bpe.encode(docs, bpe.load_ranks(RANKS), public_tokenizers.PATTERN, keep=("doc_id", "lang", "source"), digest=True)
 
 
 STAGES = [

@@ -94,6 +94,9 @@ class Profile:
             "*", prefix(key, 6).alias("prefix6"), prefix(key, 4).alias("prefix4"), suffix(key, 4).alias("suffix4"), first_token(tokens).alias("first4"),
             last_token(tokens).alias("last4"), self.postal("business_address").alias("postal"), token_set(tokens).alias("tokens"),
         )
+        hashes = lambda xs: F.array_distinct(F.transform(xs, lambda w: F.xxhash64(w)))
+        for what in ("name", "address"):  # sets that pairs compare, made once a record
+            x = x.withColumn(f"{what}_words", hashes(token_set(f"{what}_canon"))).withColumn(f"{what}_grams", hashes(char_grams(f"{what}_canon")))
         both = (F.col("name_canon") != "") & (F.col("address_canon") != "")
         return x.withColumn("name_address", F.when(both, F.concat_ws(" | ", "name_canon", "address_canon")).otherwise(""))
 

@@ -21,9 +21,9 @@ def levenshtein_ratio(a: Column, b: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column, scale: float = 100.0) -> Column:
-    """Jaccard index of two arrays taken as sets; 0 where one is empty."""
+    """Jaccard index of two arrays without repeats; 0 where one is empty."""
     both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.lit(scale) * both / F.greatest(F.size(F.array_union(a, b)), F.lit(1)))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.lit(scale) * both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1)))
 
 
 def token_jaccard(a: Column, b: Column) -> Column:
@@ -82,16 +82,37 @@ def partial(a: str, b: str) -> float:
         a, b = b, a
     if not a:
         return 100.0 if not b else 0.0
-    n = len(a)
-    best = max(indel(a, b[max(0, i) : i + n]) for i in range(1 - n, len(b)))
-    if len(b) == n:
-        best = max(best, *(indel(b, a[max(0, i) : i + n]) for i in range(1 - n, n)))
+    best = _best_stretch(a, b)
+    return max(best, _best_stretch(b, a)) if len(a) == len(b) else best
+
+
+def _best_stretch(a: str, b: str) -> float:
+    """Stretches that begin or end with a character that ``a`` lacks are no better than shorter ones and are left out."""
+    n, at = len(a), {}
+    for i, ch in enumerate(a):
+        at[ch] = at.get(ch, 0) | 1 << i
+    full, best = (1 << n) - 1, 0.0
+    for start in range(1 - n, len(b)):
+        x, y = max(0, start), min(len(b), start + n)
+        if 200.0 * min(n, y - x) / (n + y - x) <= best or b[y - 1 if start <= 0 else x] not in at:
+            continue
+        rest = full
+        for ch in b[x:y]:
+            hit = rest & at.get(ch, 0)
+            rest = ((rest + hit) | (rest - hit)) & full
+        best = max(best, 200.0 * (n - rest.bit_count()) / (n + y - x))
     return best
 
 
 def _pairwise(f):
     def apply(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([f(x, y) for x, y in zip(a, b)], dtype="float64")
+        known: dict[tuple[str, str], float] = {}  # of one batch: values repeat, as an S1 record has many candidates
+        out = []
+        for pair in zip(a, b):
+            if (v := known.get(pair)) is None:
+                v = known[pair] = f(*pair)
+            out.append(v)
+        return pd.Series(out, dtype="float64")
 
     # the UDF is made when it is used: workers import this module without a session
     return lambda a, b: F.pandas_udf(apply, "double")(t.col(a), t.col(b))
@@ -112,37 +133,48 @@ def composite(names: list[Column], addresses: list[Column], postal: Column, coun
     return 0.60 * F.greatest(*names) + 0.30 * F.greatest(*addresses) + 8.0 * postal + 2.0 * country
 
 
-def features(pairs: DataFrame, scale: str = "percent") -> DataFrame:
-    """FEAT-A and FEAT-B: ``pairs`` has the prepared columns of both sides as ``a_*`` and ``b_*``.
+def _once(rows: DataFrame, columns: list[Column]) -> DataFrame:
+    """``rows`` with more columns, computed in this place and once: a filter or an expression that uses them can't take
+    them along to where it stands."""
+    return rows.withColumn("_f", F.explode(F.array(F.struct(*columns)))).select("*", "_f.*").drop("_f")
+
+
+def features(pairs: DataFrame, scale: str = "percent", least_name: float | None = None) -> DataFrame:
+    """FEAT-A and FEAT-B: ``pairs`` has the prepared columns of both sides as ``a_*`` and ``b_*``; words and n-grams come
+    as sets of hashes that were made once a record.
 
     ``scale="patched"`` gives Levenshtein and token similarity as 0 to 1 (the latter as token set ratio), grams as they
-    are; the composite follows.
+    are; the composite follows. ``least_name``: pairs whose names are less alike by all three go before addresses are compared.
     """
     if scale not in ("percent", "patched"):
         raise ValueError(f"scale: {scale}")
     c = lambda side, name: F.col(f"{side}_{name}")
-    cols = []
-    for what in ("name", "address"):
+
+    def alike(what: str) -> list[Column]:
         a, b = c("a", f"{what}_canon"), c("b", f"{what}_canon")
         if scale == "percent":
-            lev, tok = levenshtein_ratio(a, b), token_jaccard(a, b)
+            lev, tok = levenshtein_ratio(a, b), jaccard(c("a", f"{what}_words"), c("b", f"{what}_words"))
         else:
             lev = levenshtein_ratio(a, b) / 100
             tok = F.when((a == "") & (b == ""), 1.0).otherwise(token_set_ratio(a, b) / 100)
-        cols += [lev.alias(f"{what}_lev"), tok.alias(f"{what}_tok"), gram_jaccard(a, b).alias(f"{what}_char")]
-    cols += [_same(c("a", "postal"), c("b", "postal")).alias("postal_match"), _same(c("a", "country_norm"), c("b", "country_norm")).alias("country_match")]
-    cols += [F.abs(F.length(c("a", f"{w}_canon")) - F.length(c("b", f"{w}_canon"))).alias(f"{w}_len_diff") for w in ("name", "address")]
-    cols.append(_same(c("a", "name_canon"), c("b", "name_canon")).alias("exact_name"))
-    x = pairs.select("*", *cols)
+        return [lev.alias(f"{what}_lev"), tok.alias(f"{what}_tok"), jaccard(c("a", f"{what}_grams"), c("b", f"{what}_grams")).alias(f"{what}_char")]
+
     sims = lambda w: [F.col(f"{w}_{s}") for s in ("lev", "tok", "char")]
+    more = [_same(c("a", "postal"), c("b", "postal")).alias("postal_match"), _same(c("a", "country_norm"), c("b", "country_norm")).alias("country_match")]
+    more += [F.abs(F.length(c("a", f"{w}_canon")) - F.length(c("b", f"{w}_canon"))).alias(f"{w}_len_diff") for w in ("name", "address")]
+    more.append(_same(c("a", "name_canon"), c("b", "name_canon")).alias("exact_name"))
+    x = _once(pairs, alike("name"))
+    if least_name is not None:
+        x = x.where(F.greatest(*sims("name")) >= least_name)
+    x = _once(x, alike("address") + more)
     return x.withColumn("score", composite(sims("name"), sims("address"), F.col("postal_match"), F.col("country_match")))
 
 
 FEATURES_A = ("name_lev", "name_tok", "name_char", "address_lev", "address_tok", "address_char", "postal_match", "country_match", "score")
 FEATURES_B = (*FEATURES_A, "name_len_diff", "address_len_diff", "exact_name")
 FEATURES_C = (
-    "name_ratio", "name_token", "name_partial", "addr_ratio", "addr_token", "country_equal", "postal_equal", "name_exact", "address_exact",
-    "name_prefix", "name_token_overlap", "address_present_both",
+    "name_indel", "name_words", "name_stretch", "address_indel", "address_words", "same_country", "same_postal", "same_name", "same_address",
+    "same_start", "word_overlap", "both_addresses",
 )
 
 
@@ -150,9 +182,9 @@ def features_fuzzy(pairs: DataFrame) -> DataFrame:
     """FEAT-C: twelve columns over cleaned names and addresses."""
     n1, n2, a1, a2 = (F.col(c) for c in ("a_name_norm", "b_name_norm", "a_address_norm", "b_address_norm"))
     return pairs.select(
-        "*", indel_ratio(n1, n2).alias("name_ratio"), token_set_ratio(n1, n2).alias("name_token"), partial_ratio(n1, n2).alias("name_partial"),
-        indel_ratio(a1, a2).alias("addr_ratio"), token_set_ratio(a1, a2).alias("addr_token"), _same(F.col("a_country_norm"), F.col("b_country_norm")).alias("country_equal"),
-        _same(F.col("a_postal"), F.col("b_postal")).alias("postal_equal"), _same(n1, n2).alias("name_exact"), _same(a1, a2).alias("address_exact"),
-        ((n1 != "") & (n2 != "") & (F.left(n1, F.lit(8)) == F.left(n2, F.lit(8)))).cast("int").alias("name_prefix"),
-        word_jaccard(n1, n2).alias("name_token_overlap"), ((a1 != "") & (a2 != "")).cast("int").alias("address_present_both"),
+        "*", indel_ratio(n1, n2).alias("name_indel"), token_set_ratio(n1, n2).alias("name_words"), partial_ratio(n1, n2).alias("name_stretch"),
+        indel_ratio(a1, a2).alias("address_indel"), token_set_ratio(a1, a2).alias("address_words"), _same(F.col("a_country_norm"), F.col("b_country_norm")).alias("same_country"),
+        _same(F.col("a_postal"), F.col("b_postal")).alias("same_postal"), _same(n1, n2).alias("same_name"), _same(a1, a2).alias("same_address"),
+        ((n1 != "") & (n2 != "") & (F.left(n1, F.lit(8)) == F.left(n2, F.lit(8)))).cast("int").alias("same_start"),
+        word_jaccard(n1, n2).alias("word_overlap"), ((a1 != "") & (a2 != "")).cast("int").alias("both_addresses"),
     )

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Abbreviations and legal words that the canonical forms are defined by.
+# Abbreviations, legal words and stopwords that the canonical forms and tokens are defined by.
 NAME_WORDS = {
     "pvt": "private",
     "ltd": "limited",
@@ -53,19 +53,21 @@ def col(c: Column | str) -> Column:
 
 
 def unicode_form(c: Column | str, form: str = "NFKC", drop_marks: bool = False) -> Column:
-    """Unicode normalisation; ``drop_marks`` leaves combining characters out afterwards. ASCII values pass as they are."""
+    """Unicode normalisation; ``drop_marks`` leaves combining characters out afterwards. ASCII values pass as they are
+    and only as nulls go through Python."""
 
     @F.pandas_udf("string")
     def apply(s: pd.Series) -> pd.Series:
-        def one(x: str) -> str:
-            if x.isascii():
-                return x
+        def one(x: str | None) -> str | None:
+            if x is None:
+                return None
             x = unicodedata.normalize(form, x)
             return "".join(ch for ch in x if not unicodedata.combining(ch)) if drop_marks else x
 
-        return s.map(one)
+        return s.map(one, na_action="ignore")
 
-    return apply(col(c))
+    value = col(c)
+    return F.coalesce(apply(F.when(F.octet_length(value) > F.length(value), value)), value)
 
 
 def _runs_to_blank(c: Column, keep: str) -> Column:

@@ -1,19 +1,22 @@
 """Candidate generation: equi-joins on derived keys, their unions, and caps.
 
-Passes are data. Joins carry ids and keys only; texts are fetched for what is left (``fetch``). A pass that has a cap cuts
-the reference side to that many rows a key before the join, so that a hot key cannot multiply: with the order
-``(pass, ord)`` the rows cut there could not have survived the cap. Both sides of a pass are plain exchanges on the key,
-which adaptive execution splits where a key is skewed.
+Passes are data. Both sides of any number of passes become rows ``(pass, key, scope)``, so that they are one exchange a
+side and one join, which carries ids and keys only; texts are fetched for what is left (``fetch``). A country condition
+is part of the key: a blank country that fits all is a second row and no OR. Passes that have a cap cut the reference
+side to that many rows a key before the join, so that a hot key cannot multiply: with the order ``(pass, ord)`` the rows
+cut there could not have survived the cap. Keys that very many S1 records have are dealt over several tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkweld.functions import keys as k
+from sparkweld.storage import spread_join
 
 
 @dataclass(frozen=True)
@@ -51,54 +54,57 @@ TOKEN_FREQUENCY, TOKENS_PER_RECORD = 500, 5
 COUNTRY = ("none", "equal", "nonempty", "wildcard")
 
 
-def block(s1: DataFrame, refs: DataFrame, p: Pass, country: str = "none", ref_limit: int | None = None, sub_key: str | None = None) -> DataFrame:
-    """Candidate rows ``(s1_id, ref_id, pass_no, ord)`` of one pass.
+_KEY = ["pass_no", "key", "scope"]
 
-    ``country``: no condition, equal, equal and not empty, or ``wildcard`` (an empty one on either side fits all).
-    ``ref_limit``: keep the first so many references of a key by ``ord``; with ``sub_key`` of each of its values.
-    """
+
+def keyed(records: DataFrame, passes: Iterable[Pass], country: str, refs: bool) -> DataFrame:
+    """``(id, ord, pass_no, key, scope)``: a row for each pass whose keys a record has; wildcard countries give two."""
     if country not in COUNTRY:
         raise ValueError(f"country: {country}")
-    there = F.lit(True)
-    for key in p.keys:
-        there = there & (F.col(key) != "")
-    extra = [sub_key] if sub_key else []
-    cols = list(dict.fromkeys([*p.keys, *extra]))
-    a = s1.where(there).select(F.col("entity_id").alias("s1_id"), F.col("country_norm").alias("a_country"), *(F.col(c).alias(f"a_{c}") for c in cols))
-    b = refs.where(there).select(F.col("entity_id").alias("ref_id"), "ord", F.col("country_norm").alias("b_country"), *(F.col(c).alias(f"b_{c}") for c in cols))
+    rows = []
+    for p in passes:
+        there = F.lit(True)
+        for key in p.keys:
+            there = there & (F.col(key) != "")
+        value = F.col(p.keys[0]) if len(p.keys) == 1 else F.concat_ws("\u001f", *p.keys)
+        rows.append(F.struct(F.lit(p.number).alias("pass_no"), F.when(there, value).alias("key")))
+    c = F.col("country_norm")
+    # the scope * has every reference; an S1 record with a country meets its own and the blank ones
+    wild = F.array(c, F.lit("*")) if refs else F.when(c == "", F.array(F.lit("*"))).otherwise(F.array(c, F.lit("")))
+    scope = {"none": F.array(F.lit("")), "equal": F.array(c), "nonempty": F.when(c != "", F.array(c)), "wildcard": wild}[country]
+    x = records.select(F.col("entity_id").alias("id"), "ord", scope.alias("scopes"), F.explode(F.array(*rows)).alias("p")).where("p.key is not null")
+    return x.select("id", "ord", "p.pass_no", "p.key", F.explode("scopes").alias("scope"))
+
+
+def candidates(s1: DataFrame, refs: DataFrame, passes: Iterable[Pass], country: str = "none", ref_limit: int | None = None) -> DataFrame:
+    """Candidate rows ``(s1_id, ref_id, pass_no, ord)`` of several passes by one join.
+
+    ``country``: no condition, equal, equal and not empty, or ``wildcard`` (an empty one on either side fits all).
+    ``ref_limit``: keep the first so many references of a key by ``ord``; None: all, where a pass has no cap.
+    """
+    passes = list(passes)
+    a = keyed(s1, passes, country, False).drop("ord").withColumnRenamed("id", "s1_id")
+    b = keyed(refs, passes, country, True).withColumnRenamed("id", "ref_id")
     if ref_limit is not None:
-        w = Window.partitionBy(*(f"b_{c}" for c in cols), *(["b_country"] if country in ("equal", "nonempty") else [])).orderBy("ord", "ref_id")
+        w = Window.partitionBy(*_KEY).orderBy("ord", "ref_id")
         b = b.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= ref_limit).drop("_n")
-    on = F.lit(True)
-    for key in p.keys:
-        on = on & (F.col(f"a_{key}") == F.col(f"b_{key}"))
-    if country in ("equal", "nonempty"):
-        on = on & (F.col("a_country") == F.col("b_country"))
-        if country == "nonempty":
-            a = a.where("a_country <> ''")
-    elif country == "wildcard":
-        on = on & ((F.col("a_country") == F.col("b_country")) | (F.col("a_country") == "") | (F.col("b_country") == ""))
-    number = F.lit(p.number)
-    if sub_key:  # the finer pass has the number before
-        number = F.when((F.col(f"a_{sub_key}") == F.col(f"b_{sub_key}")) & (F.col(f"a_{sub_key}") != ""), p.number - 1).otherwise(p.number)
-    return a.join(b, on).select("s1_id", "ref_id", number.cast("int").alias("pass_no"), "ord")
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
-
-
-def union_distinct(parts: list[DataFrame]) -> DataFrame:
+    met = spread_join(a, b, _KEY, ["s1_id"]) if ref_limit is not None else a.join(b, _KEY)
+    return met.select("s1_id", "ref_id", F.col("pass_no").cast("int").alias("pass_no"), "ord")
+
+
+def block(s1: DataFrame, refs: DataFrame, p: Pass, country: str = "none", ref_limit: int | None = None) -> DataFrame:
+    """``candidates`` of one pass."""
+    return candidates(s1, refs, [p], country, ref_limit)
+
+
+def union_distinct(pairs: DataFrame) -> DataFrame:
     """SET-2: distinct ``(s1_id, ref_id)`` of several passes."""
-    return union_all([x.select("s1_id", "ref_id") for x in parts]).distinct()
+    return pairs.select("s1_id", "ref_id").distinct()
 
 
-def union_ordered(parts: list[DataFrame]) -> DataFrame:
+def union_ordered(pairs: DataFrame) -> DataFrame:
     """SET-3: each pair with its first pass."""
-    first = union_all(parts).groupBy("s1_id", "ref_id").agg(F.min(F.struct("pass_no", "ord")).alias("f"))
+    first = pairs.groupBy("s1_id", "ref_id").agg(F.min(F.struct("pass_no", "ord")).alias("f"))
     return first.select("s1_id", "ref_id", "f.pass_no", "f.ord")
 
 
@@ -109,18 +115,11 @@ def cap(pairs: DataFrame, n: int = CAP) -> DataFrame:
 
 
 def ordered_union(s1: DataFrame, refs: DataFrame, n: int | None = None) -> DataFrame:
-    """BLK-34..43, SET-3: pairs of the ten ordered passes without country, each with its first pass, from seven joins.
+    """BLK-34..43, SET-3: pairs of the ten ordered passes without country, each with its first pass.
 
-    ``n``: references of a key beyond it are cut before the join; without it the union is whole. An equal cleaned name implies an equal canonical one, equal name and address too, and an equal six-character prefix
-    an equal four-character one; so these passes ride on the wider join and get their number from a condition.
+    ``n``: references of a key and pass beyond it are cut before the join; without it the union is whole.
     """
-    parts = [
-        block(s1, refs, BY_NAME["canonical"], ref_limit=n, sub_key="name_norm"),
-        block(s1, refs, BY_NAME["address"], ref_limit=n),
-        block(s1, refs, BY_NAME["prefix4"], ref_limit=n, sub_key="prefix6"),
-        *(block(s1, refs, BY_NAME[p], ref_limit=n) for p in ("suffix4", "first4", "last4", "postal")),
-    ]
-    return union_ordered(parts)
+    return union_ordered(candidates(s1, refs, PASSES, ref_limit=n))
 
 
 def ordered_candidates(s1: DataFrame, refs: DataFrame, n: int = CAP) -> DataFrame:
@@ -129,13 +128,13 @@ def ordered_candidates(s1: DataFrame, refs: DataFrame, n: int = CAP) -> DataFram
 
 
 def limited_candidates(s1: DataFrame, refs: DataFrame, per_pass: int = PASS_LIMIT, final: int = FINAL_CAP, country: str = "wildcard") -> DataFrame:
-    """BLK-24..33, TOP-2, TOP-3: every pass cut to ``per_pass`` rows of each S1 record, then the union to ``final``."""
-    parts = []
-    for i, name in enumerate(SHARED_ORDER):
-        x = block(s1, refs, Pass(name, BY_NAME[name].keys, i + 1), country)
-        w = Window.partitionBy("s1_id").orderBy("ord", "ref_id")
-        parts.append(x.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_pass).drop("_n"))
-    return cap(union_ordered(parts), final)
+    """BLK-24..33, TOP-2, TOP-3: every pass cut to ``per_pass`` rows of each S1 record, then the union to ``final``.
+
+    The first ``per_pass`` of an S1 record are among the first of each key and scope that it meets, which is cut before.
+    """
+    x = candidates(s1, refs, [Pass(n, BY_NAME[n].keys, i + 1) for i, n in enumerate(SHARED_ORDER)], country, per_pass)
+    w = Window.partitionBy("s1_id", "pass_no").orderBy("ord", "ref_id")
+    return cap(union_ordered(x.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_pass)), final)
 
 
 def rare_token_candidates(s1: DataFrame, refs: DataFrame, most: int = TOKEN_FREQUENCY, per_record: int = TOKENS_PER_RECORD) -> DataFrame:
@@ -162,22 +161,22 @@ def token_candidates(s1: DataFrame, refs: DataFrame, capped: DataFrame, n: int =
     w = Window.partitionBy("token").orderBy("ord", "ref_id")
     b = refs.select(F.col("entity_id").alias("ref_id"), "ord", F.explode("tokens").alias("token")).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n)
     more = a.join(b.drop("_n"), "token").select("s1_id", "ref_id", (F.lit(after) + F.col("at")).cast("int").alias("pass_no"), "ord")
-    return cap(union_ordered([capped.select("s1_id", "ref_id", "pass_no", "ord"), more]), n)
+    return cap(union_ordered(capped.select("s1_id", "ref_id", "pass_no", "ord").unionByName(more)), n)
 
 
 def exact_candidates(s1: DataFrame, refs: DataFrame) -> DataFrame:
     """BLK-21..23, RULE-2: ``(s1_id, ref_id, is_match)``; equal canonical names alone are candidates, not matches."""
-    parts = [block(s1, refs, BY_NAME[p]).withColumn("m", F.lit(m)) for p, m in (("name", True), ("canonical", False), ("name_address", True))]
-    return union_all(parts).groupBy("s1_id", "ref_id").agg(F.max("m").alias("is_match"))
+    x = candidates(s1, refs, [BY_NAME[p] for p in ("name", "canonical", "name_address")])
+    return x.groupBy("s1_id", "ref_id").agg(F.max(F.col("pass_no") != BY_NAME["canonical"].number).alias("is_match"))
 
 
 def scoped_candidates(s1: DataFrame, refs: DataFrame) -> DataFrame:
     """BLK-16..20, SET-2: cleaned name, canonical name, name with address, and postal word or name start within a country."""
     start = lambda x: x.withColumn("start8", F.when(F.length("name_norm") >= 8, F.left("name_norm", F.lit(8))).otherwise(""))
     a, b = start(s1), start(refs)
-    plain = [block(a, b, Pass(n, keys, i)) for i, (n, keys) in enumerate((("n", ("name_norm",)), ("cn", ("name_canon",)), ("na", ("name_canon", "address_norm"))))]
-    within = [block(a, b, Pass(n, keys, 9), "nonempty") for n, keys in (("cp", ("postal",)), ("nt", ("start8",)))]
-    return union_distinct([*plain, *within])
+    anywhere = [Pass("name", ("name_norm",), 1), Pass("canonical", ("name_canon",), 2), Pass("name_address", ("name_canon", "address_norm"), 3)]
+    within = [Pass("postal", ("postal",), 4), Pass("start", ("start8",), 5)]
+    return union_distinct(candidates(a, b, anywhere).unionByName(candidates(a, b, within, "nonempty")))
 
 
 def rank_capped(pairs: DataFrame, n: int = CAP) -> DataFrame:
@@ -189,7 +188,7 @@ def rank_capped(pairs: DataFrame, n: int = CAP) -> DataFrame:
 
 def fetch(pairs: DataFrame, s1: DataFrame, refs: DataFrame) -> DataFrame:
     """JN-1: pairs with the prepared columns of both records as ``a_*`` and ``b_*``; ids that are missing drop out."""
-    cols = ("country_norm", "name_norm", "name_canon", "address_norm", "address_canon", "postal")
+    cols = ("country_norm", "name_norm", "name_canon", "address_norm", "address_canon", "postal", "name_words", "name_grams", "address_words", "address_grams")
     a = s1.select(F.col("entity_id").alias("s1_id"), *(F.col(c).alias(f"a_{c}") for c in cols))
     b = refs.select(F.col("entity_id").alias("ref_id"), *(F.col(c).alias(f"b_{c}") for c in cols))
     return pairs.join(a, "s1_id").join(b, "ref_id")

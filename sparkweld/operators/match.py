@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkweld.functions.similarity import FEATURES_B
@@ -49,8 +49,17 @@ def sample(df: DataFrame, n: int, id_col: str = "entity_id", seed: int = 42) ->
     return df.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(n)
 
 
-def train(pairs: DataFrame, columns: tuple[str, ...] = FEATURES_B, trees: int = 40, depth: int = 5, step: float = 0.1, seed: int = 42):
-    """ML-1, ML-2: gradient-boosted trees over feature columns; positives weigh as much as negatives in total."""
+def first_records(s1: DataFrame, n: int) -> DataFrame:
+    """LIM-1: the first ``n`` records by their order; of the leading rows of each task only, so none takes all."""
+    return s1.orderBy("ord", "entity_id").limit(n)
+
+
+def train(pairs: DataFrame, columns: tuple[str, ...] = FEATURES_B, trees: int = 40, depth: int = 5, step: float = 0.1, seed: int = 42, refit_on: DataFrame | None = None):
+    """ML-1, ML-2: gradient-boosted trees over feature columns; positives weigh as much as negatives in total.
+
+    ``refit_on``: fit on these pairs instead, once the threshold is tuned, with the same settings.
+    """
+    pairs = pairs if refit_on is None else refit_on
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -73,13 +82,16 @@ def probability(model, pairs: DataFrame) -> DataFrame:
 def threshold_curve(scored: DataFrame, truth: DataFrame, ids: DataFrame, grid: tuple[float, ...] = GRID_FINE, score: str = "probability") -> DataFrame:
     """ML-4: macro F0.5 of ``scored(s1_id, ref_id, <score>, label)`` at each threshold over all ``ids(s1_id)``.
 
-    One aggregation over all thresholds: a pair counts at those that it reaches.
+    Pairs are counted by the number of thresholds that they reach, and only these counts, at most one a threshold and S1
+    record, are added up for the lower ones: no pair is repeated.
     """
+    grid = tuple(sorted(grid))
     expected = ids.select("s1_id").distinct().join(truth.groupBy("s1_id").agg(F.countDistinct("ref_id").alias("t")), "s1_id", "left").select("s1_id", F.coalesce("t", F.lit(0)).alias("t"))
-    at = F.explode(F.array(*(F.lit(float(g)) for g in grid))).alias("threshold")
-    reached = scored.select("s1_id", "label", score, at).where(F.col(score) >= F.col("threshold"))
-    counts = reached.groupBy("s1_id", "threshold").agg(F.count("*").alias("p"), F.sum("label").alias("tp"))
-    every = expected.select("s1_id", "t", at).join(counts, ["s1_id", "threshold"], "left")
+    steps = F.array(*(F.lit(float(g)) for g in grid))
+    reached = F.size(F.filter(steps, lambda g: g <= F.col(score)))
+    counts = scored.select("s1_id", "label", reached.alias("reached")).where("reached > 0").groupBy("s1_id", "reached").agg(F.count("*").alias("p"), F.sum("label").alias("tp"))
+    counts = counts.select("s1_id", "p", "tp", F.explode(F.sequence(F.lit(1), F.col("reached"))).alias("at")).groupBy("s1_id", "at").agg(F.sum("p").alias("p"), F.sum("tp").alias("tp"))
+    every = expected.select("s1_id", "t", F.posexplode(steps).alias("at", "threshold")).withColumn("at", F.col("at") + 1).join(counts, ["s1_id", "at"], "left")
     p, tp, t = F.coalesce("p", F.lit(0)), F.coalesce("tp", F.lit(0)), F.col("t")
     low = 1.25 * tp + 0.25 * (t - tp) + (p - tp)
     f = F.when(low == 0, 1.0).otherwise(1.25 * tp / F.when(low == 0, 1.0).otherwise(low))
@@ -95,8 +107,7 @@ def best_threshold(curve: DataFrame) -> tuple[float, float]:
 def save_model(model, threshold: float, path: str) -> None:
     """SNK-8."""
     model.write().overwrite().save(f"{path}/model")
-    spark = model.stages[0]._java_obj and __import__("pyspark").sql.SparkSession.active()
-    spark.createDataFrame([(json.dumps({"threshold": threshold}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/threshold")
+    SparkSession.active().createDataFrame([(json.dumps({"threshold": threshold}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/threshold")
 
 
 def load_model(spark, path: str):

@@ -49,11 +49,14 @@ def overall(per_entity: DataFrame) -> DataFrame:
     return x.withColumn("f05", F.when(low == 0, 0.0).otherwise(1.25 * F.col("precision") * F.col("recall") / F.when(low == 0, 1.0).otherwise(low)))
 
 
-def recall(pairs: DataFrame, truth: DataFrame, by: str = "pass_no") -> DataFrame:
-    """AGG-3: retrieved true pairs and their share, by a column of the candidates."""
+def recall(pairs: DataFrame, truth: DataFrame, by: str = "pass_no", every: DataFrame | None = None) -> DataFrame:
+    """AGG-3: retrieved true pairs and their share, by a column of the candidates.
+
+    ``every``: all values of that column, so that one without candidates shows 0.
+    """
     true = truth.select("s1_id", "ref_id").distinct()
     hit = pairs.select("s1_id", "ref_id", by).distinct().join(true, ["s1_id", "ref_id"], "left_semi").groupBy(by).agg(F.count("*").alias("retrieved"))
-    every = pairs.select(by).distinct().join(hit, by, "left").crossJoin(F.broadcast(true.agg(F.count("*").alias("n_true"))))
+    every = (pairs.select(by).distinct() if every is None else every).join(hit, by, "left").crossJoin(F.broadcast(true.agg(F.count("*").alias("n_true"))))
     got = F.coalesce("retrieved", F.lit(0))
     return every.select(by, got.alias("retrieved"), "n_true", F.when(F.col("n_true") == 0, 0.0).otherwise(got / F.greatest("n_true", F.lit(1))).alias("recall"))
 
@@ -100,9 +103,9 @@ def match_histogram(ids: DataFrame, truth: DataFrame, most: int = 30) -> DataFra
 
 
 def match_summary(ids: DataFrame, truth: DataFrame) -> DataFrame:
-    """AGG-8: count, mean, sample deviation and extremes of matches a record."""
+    """AGG-8: count, mean, sample deviation, extremes and quartiles (interpolated) of matches a record."""
     x = per_entity_counts(ids, truth.select("s1_id", "ref_id").distinct())
-    return x.agg(F.count("*").alias("count"), F.avg("n").alias("mean"), F.stddev_samp("n").alias("std"), F.min("n").alias("min"), F.max("n").alias("max"))
+    return x.agg(F.count("*").alias("count"), F.avg("n").alias("mean"), F.stddev_samp("n").alias("std"), F.min("n").alias("min"), *(F.percentile("n", q).alias(f"q{int(100 * q)}") for q in (0.25, 0.5, 0.75)), F.max("n").alias("max"))
 
 
 def source_split(ids: DataFrame, truth: DataFrame) -> DataFrame:
@@ -121,6 +124,11 @@ def null_profile(df: DataFrame) -> DataFrame:
     return one.select("n", F.explode(cells).alias("x")).select("x.column", F.col("n").alias("n_rows"), F.col("x.nulls").alias("nulls"))
 
 
+def shape(df: DataFrame) -> DataFrame:
+    """AGG-10: rows, columns and their names."""
+    return df.agg(F.count("*").alias("n_rows")).select("n_rows", F.lit(len(df.columns)).cast("long").alias("n_columns"), F.lit(", ".join(df.columns)).alias("columns"))
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """AGG-10: rows that repeat an earlier one."""
     return df.groupBy(*df.columns).agg(F.count("*").alias("_c")).agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).alias("duplicates"))

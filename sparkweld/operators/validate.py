@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkweld.storage import numbered
+
 MATCHES = ("source1_entity_id", "matched_entity_ids")
 CANDIDATES = ("source1_entity_id", "candidate_entity_ids")
 EXAMPLES = 5
@@ -35,8 +37,8 @@ RULES = {
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(line, number)``: lines of one file in order; the number is unique and grows with the position."""
-    return spark.read.text(path).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("number"))
+    """``(line, number)``: lines of one file with their numbers, from 1 on."""
+    return numbered(spark.read.text(path).select(F.col("value").alias("line")))
 
 
 def rows_of(lines: DataFrame, header: str) -> DataFrame:
@@ -103,7 +105,7 @@ def file_findings(spark: SparkSession, path: str, expected: tuple[str, str], req
     if head is None:
         return fatal("VAL-01", path)
     header = head.line
-    if not lines.where(F.contains("line", F.lit("�"))).isEmpty():
+    if not lines.where(~F.is_valid_utf8("line")).isEmpty():
         return fatal("VAL-16", path)
     plain = header.lstrip("﻿")
     if "," in plain and "\t" not in plain:
@@ -111,7 +113,7 @@ def file_findings(spark: SparkSession, path: str, expected: tuple[str, str], req
     if tuple(c.strip().lower() for c in plain.split("\t")) != expected:
         return fatal("VAL-03", plain)
     rows = rows_of(lines, header)
-    bad = lines.where((F.trim("line") != "") & ~F.contains("line", F.lit("\t"))).select(F.lit("VAL-04").alias("rule"), F.lit(ERROR).alias("severity"), F.concat(F.col("number") + 1, F.lit(": "), F.left("line", F.lit(80))).alias("item"))
+    bad = lines.where((F.trim("line") != "") & ~F.contains("line", F.lit("\t"))).select(F.lit("VAL-04").alias("rule"), F.lit(ERROR).alias("severity"), F.concat("number", F.lit(": "), F.left("line", F.lit(80))).alias("item"))
     return rows, bad.unionByName(row_findings(rows, required, valid))
 
 
@@ -144,5 +146,10 @@ def report(findings: DataFrame) -> DataFrame:
     return items.groupBy("rule", "severity").agg(F.count("*").alias("n")).join(first, ["rule", "severity"])
 
 
+def status(findings: DataFrame) -> int:
+    """VAL-17: the exit status, 0 or 1; warnings never fail."""
+    return 0 if passed(findings) else 1
+
+
 def passed(findings: DataFrame) -> bool:
     return findings.where(F.col("severity") != WARNING).isEmpty()

@@ -1,8 +1,11 @@
 """The star-schema tables as entity records.
 
-``documents``: id ``S<doc_id mod 3 + 1>-<doc_id>``, words 1 to 6 as name, 7 to 16 as address, ``lang`` as country; equal
-words 17 to 40 of one language are true matches. ``part``: ``p_name`` as name, brand and type as address: few distinct
-names, so its keys are hot.
+``documents``: id ``S<doc_id mod 3 + 1>-<doc_id>``; words 1 to 6 and a legal form as name; words 7 to 16, a kind of street
+and a postal code as address; ``lang`` as country. The number of the document picks the forms and leaves every fourth
+postal code and every tenth country out, so copies of one text are noisy records of one entity. Words 17 to 40 of one
+language tell entities apart: the first S1 record of an entity is its own, and all S2 and S3 records of it match that one.
+Records use these forty words; the rest of a text is no part of them. ``part``: ``p_name`` as name, brand and type as
+address: few distinct names, so its keys are hot.
 """
 
 from __future__ import annotations
@@ -12,6 +15,10 @@ from pyspark.sql import functions as F
 
 from sparkweld.functions.keys import PROFILES
 from sparkweld.sources.tsv import with_source
+from sparkweld.storage import save
+
+LEGAL = ("", " Pvt. Ltd.", " Private Limited", " & Co.", " and Company", " Inc", " Incorporated", " Corp.", " Corporation", " LLC", " Ltd", " Limited")
+STREETS = ("", " St.", " Street", " Rd", " Road", " Ave.", " Avenue", " Hwy", " Highway", " Lane", " Building", " Sector")
 
 
 def _words(c: str):
@@ -20,11 +27,17 @@ def _words(c: str):
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(entity_id, business_name, business_address, country, rest)``."""
-    x = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", _words("text").alias("w"))
+    lang = F.coalesce("lang", F.lit(""))
+    x = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", lang.alias("lang"), F.coalesce("n_chars", F.lit(0)).cast("long").alias("n_chars"), _words("text").alias("w"))
     part = lambda a, n: F.array_join(F.slice("w", a, n), " ")
+    # the divisors part the forms from the sources, which go by the remainder of three
+    form = lambda xs, by: F.element_at(F.array(*map(F.lit, xs)), (F.floor(F.col("doc_id") / by) % len(xs) + 1).cast("int"))
+    postal = F.when(F.col("doc_id") % 4 == 3, "").otherwise(F.concat(F.lit(", "), (10000 + F.col("n_chars") * 7919 % 90000).cast("string")))
+    rest = F.when(F.size("w") < 17, "").otherwise(F.concat("lang", F.lit(":"), part(17, 24)))
     return x.select(
         F.concat(F.lit("S"), (F.col("doc_id") % 3 + 1).cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("entity_id"),
-        part(1, 6).alias("business_name"), part(7, 10).alias("business_address"), F.coalesce("lang", F.lit("")).alias("country"), part(17, 24).alias("rest"),
+        F.trim(F.concat(part(1, 6), form(LEGAL, 3))).alias("business_name"), F.trim(F.concat(part(7, 10), form(STREETS, 5), postal)).alias("business_address"),
+        F.when(F.col("doc_id") % 10 == 9, "").otherwise(F.col("lang")).alias("country"), rest.alias("rest"),
     )
 
 
@@ -36,18 +49,18 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sides(records: DataFrame, profile: str = "ascii") -> tuple[DataFrame, DataFrame]:
-    """Prepared S1 and reference (S2, S3) records."""
-    x = PROFILES[profile].prepare(with_source(records))
-    return x.where("source = 'S1'"), x.where("source <> 'S1'")
+def sides(records: DataFrame, profile: str = "ascii", name: str = "prepared") -> tuple[DataFrame, DataFrame]:
+    """Prepared S1 and reference (S2, S3) records, written once: what follows reads keys and no raw record."""
+    x = PROFILES[profile].prepare(with_source(records)).withColumn("own", F.col("source") == "S1")
+    x = save(x, name, "own")
+    return x.where("own").drop("own"), x.where("not own").drop("own")
 
 
 def truth(records: DataFrame) -> DataFrame:
-    """``(s1_id, ref_id)``."""
-    x = with_source(records).where("rest <> ''").select("entity_id", "source", "country", "rest")
-    a = x.where("source = 'S1'").select(F.col("entity_id").alias("s1_id"), "country", "rest")
-    b = x.where("source <> 'S1'").select(F.col("entity_id").alias("ref_id"), "country", "rest")
-    return a.join(b, ["country", "rest"]).select("s1_id", "ref_id")
+    """``(s1_id, ref_id)``: S1 has one record an entity, the first; so a group of copies gives a row each and no pairs."""
+    x = with_source(records).where("rest <> ''").select("entity_id", "source", "ord", "rest")
+    first = x.where("source = 'S1'").groupBy("rest").agg(F.min_by("entity_id", "ord").alias("s1_id"))
+    return x.where("source <> 'S1'").select("rest", F.col("entity_id").alias("ref_id")).join(first, "rest").select("s1_id", "ref_id")
 
 
 def ids(s1: DataFrame) -> DataFrame:

@@ -1,7 +1,5 @@
-"""Registered queries of the matching engine, each over whole tables, with DuckDB SQL where SQL can say it.
-
-Queries with SQL use the ASCII profile, as DuckDB has no compatibility normalisation and counts bytes in ``levenshtein``.
-"""
+"""Registered queries of the matching engine, each over whole tables with the engine's own limits, with DuckDB SQL where
+SQL can say it (``plans/sql.py``)."""
 
 from __future__ import annotations
 
@@ -16,108 +14,25 @@ from sparkweld.functions import text as t
 from sparkweld.operators import blocking as b
 from sparkweld.operators import match, metrics, validate
 from sparkweld.plans import fixtures as fx
+from sparkweld.plans import sql
 from sparkweld.session import ship
 from sparkweld.sources import tsv
+from sparkweld.storage import save
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-#: The cap that queries with SQL share with it. Production limits are those of the operators: see the ``*_full`` queries.
-CAP = 50
-Sql = str
 
 
-def query(name: str, sql: Sql | None = None):
+def query(name: str, oracle: str | None = None):
     def add(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: f(ship(spark), sf_dir)
-        if sql is not None:
-            ORACLES[name] = sql
+        if oracle is not None:
+            ORACLES[name] = oracle
         return f
 
     return add
 
 
-# --- SQL of the shared parts -------------------------------------------------------------------------------------
-
-
-def _case(c: str, table: dict[str, str]) -> str:
-    return f"CASE {c} " + " ".join(f"WHEN '{a}' THEN '{v}'" for a, v in table.items()) + f" ELSE {c} END"
-
-
-def _swap(c: str, table: dict[str, str]) -> str:
-    return f"array_to_string(list_transform(string_split({c}, ' '), lambda x: {_case('x', table)}), ' ')"
-
-
-def _list(xs) -> str:
-    return "(" + ", ".join(f"'{x}'" for x in xs) + ")"
-
-
-_CLEAN = "trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'))"
-_INFORMATIVE = "list_filter(string_split({c}, ' '), lambda x: length(x) >= 3 AND x NOT IN " + _list(t.STOPWORDS) + ")"
-_DOCS = r"""w AS (SELECT doc_id, coalesce(lang, '') AS country, string_split(trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')), ' ') AS w FROM documents),
-rec AS (SELECT 'S' || (doc_id % 3 + 1) || '-' || doc_id AS entity_id, doc_id % 3 + 1 AS src, doc_id AS num, array_to_string(w[1:6], ' ') AS name,
-  array_to_string(w[7:16], ' ') AS address, country, array_to_string(w[17:40], ' ') AS rest FROM w)"""
-_PARTS = """rec AS (SELECT 'S' || (p_partkey % 3 + 1) || '-' || p_partkey AS entity_id, p_partkey % 3 + 1 AS src, p_partkey AS num, p_name AS name,
-  p_brand || ' ' || p_type AS address, '' AS country FROM part)"""
-_POSTAL = r"coalesce(regexp_extract_all(' ' || regexp_replace({c}, '[^\p{{L}}\p{{N}}_]', '  ', 'g') || ' ', ' (\p{{Nd}}{{{n}}}) ', 1)[-1], '')"
-_PREP = f"""n0 AS (SELECT *, {_CLEAN.format(c='name')} AS name_norm, {_CLEAN.format(c='address')} AS address_norm, lower(trim(country)) AS country_norm FROM rec),
-n1 AS (SELECT *, {_swap('name_norm', t.NAME_WORDS)} AS name_canon, {_swap('address_norm', t.ADDRESS_WORDS)} AS address_canon FROM n0),
-n2 AS (SELECT *, {_INFORMATIVE.format(c='name_canon')} AS toks, replace(name_canon, ' ', '') AS packed, {_POSTAL.format(c='address', n='4,10')} AS postal FROM n1),
-p AS (SELECT entity_id, src, num, src * 1099511627776 + num AS ord, country_norm, name_norm, name_canon, address_norm, address_canon, postal, list_distinct(toks) AS tokens, toks,
-  packed[1:6] AS prefix6, packed[1:4] AS prefix4, right(packed, 4) AS suffix4, coalesce(toks[1], '')[1:4] AS first4, coalesce(toks[-1], '')[1:4] AS last4 FROM n2),
-a AS (SELECT * FROM p WHERE src = 1), r AS (SELECT * FROM p WHERE src <> 1)"""
-_TRUTH = """truth AS (SELECT x.entity_id AS s1_id, y.entity_id AS ref_id FROM rec x JOIN rec y ON x.rest = y.rest AND x.country = y.country AND x.rest <> '' AND x.src = 1 AND y.src <> 1)"""
-_HEAD = f"WITH {_DOCS},\n{_PREP}"
-
-
-def _join_sql(keys: tuple[str, ...], country: str = "none", number: int = 0) -> str:
-    on = " AND ".join(f"a.{x} = r.{x} AND a.{x} <> ''" for x in keys)
-    on += {"none": "", "equal": " AND a.country_norm = r.country_norm", "nonempty": " AND a.country_norm = r.country_norm AND a.country_norm <> ''"}.get(
-        country, " AND (a.country_norm = r.country_norm OR a.country_norm = '' OR r.country_norm = '')"
-    )
-    return f"SELECT a.entity_id AS s1_id, r.entity_id AS ref_id, {number} AS pass_no, r.ord FROM a JOIN r ON {on}"
-
-
-def _passes_sql(country: str = "none", order: tuple[str, ...] = tuple(p.name for p in b.PASSES)) -> str:
-    return "passes AS (" + " UNION ALL ".join(_join_sql(b.BY_NAME[n].keys, country, i + 1) for i, n in enumerate(order)) + ")"
-
-
-_FIRST = "firsts AS (SELECT s1_id, ref_id, min(pass_no) AS pass_no, any_value(ord) AS ord FROM passes GROUP BY ALL)".replace("GROUP BY ALL", "GROUP BY s1_id, ref_id")
-_CAPPED = f"capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY pass_no, ord, ref_id) AS position FROM firsts) WHERE position <= {CAP})"
-
-
-def _lev(x: str, y: str) -> str:
-    return f"CASE WHEN {x} = {y} THEN 100.0::DOUBLE WHEN {x} = '' OR {y} = '' THEN 0.0::DOUBLE ELSE 100.0::DOUBLE * (1 - levenshtein({x}, {y})::DOUBLE / greatest(length({x}), length({y}))) END"
-
-
-def _jac(x: str, y: str) -> str:
-    return f"CASE WHEN len({x}) = 0 OR len({y}) = 0 THEN 0.0::DOUBLE ELSE 100.0::DOUBLE * len(list_intersect({x}, {y})) / len(list_distinct(list_concat({x}, {y}))) END"
-
-
-def _grams(c: str) -> str:
-    x = f"replace({c}, ' ', '')"
-    return f"CASE WHEN {x} = '' THEN []::VARCHAR[] WHEN length({x}) < 3 THEN [{x}] ELSE list_distinct(list_transform(range(1, length({x}) - 1), lambda i: substr({x}, i, 3))) END"
-
-
-_SIDES = ", ".join(f"{s}.{c} AS {s}_{c}" for s, u in (("a", "a"), ("b", "b")) for c in ("name_canon", "address_canon", "postal", "country_norm"))
-_FEATURES = f"""f0 AS (SELECT c.s1_id, c.ref_id, c.pass_no, c.ord, {_SIDES} FROM capped c JOIN a ON a.entity_id = c.s1_id JOIN r b ON b.entity_id = c.ref_id),
-f1 AS (SELECT *, {", ".join(f"list_distinct({_INFORMATIVE.format(c=f'{s}_{w}_canon')}) AS {s}_{w}_t, {_grams(f'{s}_{w}_canon')} AS {s}_{w}_g" for s in "ab" for w in ("name", "address"))} FROM f0),
-f2 AS (SELECT *, {", ".join(f"{_lev(f'a_{w}_canon', f'b_{w}_canon')} AS {w}_lev, {_jac(f'a_{w}_t', f'b_{w}_t')} AS {w}_tok, {_jac(f'a_{w}_g', f'b_{w}_g')} AS {w}_char" for w in ("name", "address"))},
-  CAST(a_postal <> '' AND a_postal = b_postal AS INTEGER) AS postal_match, CAST(a_country_norm <> '' AND a_country_norm = b_country_norm AS INTEGER) AS country_match,
-  abs(length(a_name_canon) - length(b_name_canon)) AS name_len_diff, abs(length(a_address_canon) - length(b_address_canon)) AS address_len_diff,
-  CAST(a_name_canon <> '' AND a_name_canon = b_name_canon AS INTEGER) AS exact_name FROM f1),
-feats AS (SELECT *, greatest(name_lev, name_tok, name_char) AS best_name, greatest(address_lev, address_tok, address_char) AS best_address,
-  0.6::DOUBLE * greatest(name_lev, name_tok, name_char) + 0.3::DOUBLE * greatest(address_lev, address_tok, address_char) + 8 * postal_match + 2 * country_match AS score FROM f2),
-ruled AS (SELECT * FROM feats WHERE best_name >= 95 OR (best_name >= 88 AND best_address >= 70) OR (best_name >= 85 AND postal_match = 1))"""
-_CAND = f"{_HEAD},\n{_passes_sql()},\n{_FIRST},\n{_CAPPED}"
-_FULL = f"{_CAND},\n{_FEATURES},\n{_TRUTH}"
-_ENT = """tp AS (SELECT u.s1_id, count(*) AS tp FROM ruled u JOIN (SELECT DISTINCT * FROM truth) t USING (s1_id, ref_id) GROUP BY 1),
-np AS (SELECT s1_id, count(*) AS np FROM ruled GROUP BY 1), nt AS (SELECT s1_id, count(DISTINCT ref_id) AS nt FROM truth GROUP BY 1),
-ent AS (SELECT a.entity_id AS s1_id, coalesce(tp, 0) AS tp, coalesce(np, 0) - coalesce(tp, 0) AS fp, coalesce(nt, 0) - coalesce(tp, 0) AS fn,
-  CASE WHEN coalesce(np, 0) + coalesce(nt, 0) = 0 THEN 1.0::DOUBLE WHEN coalesce(tp, 0) = 0 THEN 0.0::DOUBLE
-    ELSE 1.25::DOUBLE * tp / (1.25::DOUBLE * tp + 0.25::DOUBLE * (nt - tp) + (np - tp)) END AS f05
-  FROM a LEFT JOIN tp ON tp.s1_id = a.entity_id LEFT JOIN np ON np.s1_id = a.entity_id LEFT JOIN nt ON nt.s1_id = a.entity_id)"""
-
-
 # --- text and keys -----------------------------------------------------------------------------------------------
 
 
@@ -125,72 +40,58 @@ def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.documents(spark, sf_dir).select("entity_id", "business_name", "business_address", "country")
 
 
-def _text(name: str, f: Callable[[], list], sql: Sql | None) -> None:
-    query(name, sql)(lambda spark, sf_dir: _names(spark, sf_dir).select("entity_id", *f()))
+def _text(name: str, f: Callable[[], list], columns: str | None) -> None:
+    oracle = None if columns is None else f"WITH {sql.DOCS} SELECT entity_id, {columns} FROM rec"
+    query(name, oracle)(lambda spark, sf_dir: _names(spark, sf_dir).select("entity_id", *f()))
 
 
-_G = _CLEAN.format(c="replace(lower({c}), '&', ' and ')")
-_text("norm_ascii", lambda: [t.clean_ascii("business_name").alias("name"), t.clean_ascii("business_address").alias("address")], f"WITH {_DOCS} SELECT entity_id, {_CLEAN.format(c='name')} AS name, {_CLEAN.format(c='address')} AS address FROM rec")
-_text("norm_and", lambda: [t.clean_and("business_name").alias("name")], f"WITH {_DOCS} SELECT entity_id, {_G.format(c='name')} AS name FROM rec")
-_text("norm_country", lambda: [t.country_plain("country").alias("country")], f"WITH {_DOCS} SELECT entity_id, lower(trim(country)) AS country FROM rec")
+_text("norm_ascii", lambda: [t.clean_ascii("business_name").alias("name"), t.clean_ascii("business_address").alias("address")], f"{sql.clean('name')} AS name, {sql.clean('address')} AS address")
+_text("norm_and", lambda: [t.clean_and("business_name").alias("name")], f"{sql.clean_and('name')} AS name")
+_text("norm_country", lambda: [t.country_plain("country").alias("country")], "lower(trim(country)) AS country")
 _text("norm_unicode", lambda: [t.clean_unicode("business_name").alias("name"), t.clean_unicode("business_address").alias("address")], None)
 _text("norm_fold", lambda: [t.clean_folded("business_name").alias("name")], None)
 _text("norm_tail", lambda: [t.clean_tail("business_name").alias("name"), t.name_chained(t.clean_tail("business_name")).alias("canonical"), k.postal_word(t.clean_tail("business_address")).alias("postal")], None)
 _text("norm_devanagari", lambda: [t.clean_devanagari("business_name").alias("name")], None)
-_text(
-    "canon_expand",
-    lambda: [t.name_expanded(t.clean_ascii("business_name")).alias("name"), t.address_expanded(t.clean_ascii("business_address")).alias("address")],
-    f"WITH {_DOCS},\n{_PREP} SELECT entity_id, name_canon AS name, address_canon AS address FROM p",
-)
-_SHARED = _swap(_CLEAN.format(c="{c}"), t.SHARED_WORDS)
 _text(
     "canon_remove_legal",
     lambda: [t.shared_expanded(t.clean_ascii("business_name")).alias("expanded"), t.without_legal(t.shared_expanded(t.clean_ascii("business_name"))).alias("name"), t.compact(F.lower("business_name")).alias("packed")],
-    f"WITH {_DOCS}, x AS (SELECT entity_id, name AS raw, {_SHARED.format(c='name')} AS expanded FROM rec) SELECT entity_id, expanded, array_to_string(list_filter(string_split(expanded, ' '), lambda x: x NOT IN {_list(t.LEGAL_WORDS)}), ' ') AS name, regexp_replace(lower(raw), '[^a-z0-9]', '', 'g') AS packed FROM x",
+    f"{sql.shared('name')} AS expanded, {sql.without_legal(sql.shared('name'))} AS name, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS packed",
 )
+_text("canon_strip_suffix", lambda: [t.without_ending(t.clean_and("business_name")).alias("name")], f"{sql.without_ending(sql.clean_and('name'))} AS name")
+_text("addr_abbrev", lambda: [t.address_shortened(t.clean_and("business_address")).alias("address")], f"{sql.shortened('address')} AS address")
+_text("keys_postal", lambda: [k.postal("business_address").alias("postal"), k.postal("business_address", 5, 6).alias("postal_narrow")], f"{sql.postal('address', 4, 10)} AS postal, {sql.postal('address', 5, 6)} AS postal_narrow")
 _text(
-    "canon_strip_suffix",
-    lambda: [t.without_ending(t.clean_and("business_name")).alias("name")],
-    f"WITH {_DOCS} SELECT entity_id, regexp_replace({_G.format(c='name')}, '( ({'|'.join(t.LEGAL_ENDINGS)}))+$', '') AS name FROM rec",
+    "canon_expand",
+    lambda: [t.name_expanded(t.clean_ascii("business_name")).alias("name"), t.address_expanded(t.clean_ascii("business_address")).alias("address")],
+    None,
 )
-
-
-def _abbrev_sql() -> str:
-    c = "' ' || " + _G.format(c="address") + " || ' '"
-    for full, short in t.ADDRESS_SHORT.items():
-        c = f"replace({c}, ' {full} ', ' {short} ')"
-    return f"WITH {_DOCS} SELECT entity_id, trim(regexp_replace({c}, ' +', ' ', 'g')) AS address FROM rec"
-
-
-_text("addr_abbrev", lambda: [t.address_shortened(t.clean_and("business_address")).alias("address")], _abbrev_sql())
+ORACLES["canon_expand"] = f"{sql.HEAD} SELECT entity_id, name_canon AS name, address_canon AS address FROM p"
 
 
 def _prepared(spark: SparkSession, sf_dir: str, profile: str = "ascii") -> DataFrame:
     return k.PROFILES[profile].prepare(tsv.with_source(fx.documents(spark, sf_dir)))
 
 
-@query("keys_prefix_suffix", f"{_HEAD} SELECT entity_id, prefix6, prefix4, suffix4 FROM p")
+@query("keys_prefix_suffix", f"{sql.HEAD} SELECT entity_id, prefix6, prefix4, suffix4 FROM p")
 def _q(spark, sf_dir):
     return _prepared(spark, sf_dir).select("entity_id", "prefix6", "prefix4", "suffix4")
 
 
-@query("keys_tokens", f"{_HEAD} SELECT entity_id, first4, last4, len(toks) AS n_tokens, len(tokens) AS n_distinct, array_to_string(list_sort(tokens), ' ') AS tokens FROM p")
+@query("keys_tokens", f"{sql.HEAD} SELECT entity_id, first4, last4, len(toks) AS n_tokens, len(tokens) AS n_distinct, array_to_string(list_sort(tokens), ' ') AS tokens FROM p")
 def _q(spark, sf_dir):
     x = _prepared(spark, sf_dir)
     return x.select("entity_id", "first4", "last4", F.size(k.informative("name_canon")).cast("long").alias("n_tokens"), F.size("tokens").cast("long").alias("n_distinct"), F.array_join(F.array_sort("tokens"), " ").alias("tokens"))
 
 
-@query("keys_postal", f"WITH {_DOCS} SELECT entity_id, {_POSTAL.format(c='address', n='4,10')} AS postal, {_POSTAL.format(c='address', n='5,6')} AS postal_narrow FROM rec")
-def _q(spark, sf_dir):
-    return _names(spark, sf_dir).select("entity_id", k.postal("business_address").alias("postal"), k.postal("business_address", 5, 6).alias("postal_narrow"))
+_KEYS = ("country_norm", "name_norm", "name_canon", "address_norm", "prefix6", "prefix4", "suffix4", "first4", "last4", "postal", "name_address")
 
 
-@query("keys_shared")
+@query("keys_shared", f"WITH {sql.DOCS},\n{sql.prepared('shared')} SELECT entity_id, {', '.join(_KEYS)} FROM p")
 def _q(spark, sf_dir):
-    return _prepared(spark, sf_dir, "shared").drop("tokens")
+    return _prepared(spark, sf_dir, "shared").select("entity_id", *_KEYS)
 
 
-@query("keys_grams", f"{_HEAD} SELECT entity_id, len({_grams('name_canon')}) AS n_grams, array_to_string(list_sort({_grams('name_canon')}), ',') AS grams FROM p")
+@query("keys_grams", f"{sql.HEAD} SELECT entity_id, len({sql.grams('name_canon')}) AS n_grams, array_to_string(list_sort({sql.grams('name_canon')}), ',') AS grams FROM p")
 def _q(spark, sf_dir):
     g = k.char_grams("name_canon")
     return _prepared(spark, sf_dir).select("entity_id", F.size(g).cast("long").alias("n_grams"), F.array_join(F.array_sort(g), ",").alias("grams"))
@@ -203,83 +104,82 @@ def _sides(spark: SparkSession, sf_dir: str, profile: str = "ascii") -> tuple[Da
     return fx.sides(fx.documents(spark, sf_dir), profile)
 
 
-def _block(p: b.Pass, country: str, name: str) -> None:
-    sql = f"{_HEAD} SELECT s1_id, ref_id FROM ({_join_sql(p.keys, country)})"
-    query(name, sql)(lambda spark, sf_dir: b.block(*_sides(spark, sf_dir), p, country).select("s1_id", "ref_id"))
+def _position(x: DataFrame) -> DataFrame:
+    return x.select("s1_id", "ref_id", F.col("pass_no").cast("long").alias("pass_no"), F.col("position").cast("long").alias("position"))
 
 
-for _p in b.PASSES:
-    _block(_p, "nonempty" if _p.name in ("name", "canonical", "address", "name_address") else "none", f"block_{_p.name}")
-_block(b.BY_NAME["name"], "none", "block_name_anywhere")
-_block(b.BY_NAME["canonical"], "equal", "block_canonical_scoped")
-_block(b.BY_NAME["prefix4"], "wildcard", "block_country_wildcard")
+def _block(p: b.Pass, country: str, name: str, limit: int | None = None) -> None:
+    r = "" if limit is None else f", r0 AS (SELECT * FROM r), r1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {', '.join(p.keys)} ORDER BY ord, entity_id) AS n FROM r0) WHERE n <= {limit})"
+    pairs = sql.join(sql.KEYS[p.name], country)
+    oracle = f"{sql.HEAD}{r} SELECT s1_id, ref_id FROM ({pairs if limit is None else pairs.replace('JOIN r ON', 'JOIN r1 r ON')})"
+    query(name, oracle)(lambda spark, sf_dir: b.block(*_sides(spark, sf_dir), p, country, limit).select("s1_id", "ref_id"))
 
 
-@query("block_union", f"{_HEAD}, {_passes_sql('nonempty', ('name', 'canonical', 'address', 'name_address'))} SELECT DISTINCT s1_id, ref_id FROM passes")
-def _q(spark, sf_dir):
-    s1, refs = _sides(spark, sf_dir)
-    return b.union_distinct([b.block(s1, refs, b.BY_NAME[p], "nonempty") for p in ("name", "canonical", "address", "name_address")])
-
-
-def _ordered(spark: SparkSession, sf_dir: str, n: int = CAP) -> DataFrame:
-    return b.ordered_candidates(*_sides(spark, sf_dir), n)
+# the four exact passes are whole; the six partial ones never run without a cap of references a key
+for _p in b.PASSES[:4]:
+    for _mode, _suffix in (("nonempty", ""), ("equal", "_equal")):
+        _block(_p, _mode, f"block_{_p.name}{_suffix}")
+for _p in b.PASSES[4:]:
+    _block(_p, "none", f"block_{_p.name}", b.CAP)
+_block(b.BY_NAME["name"], "none", "block_name_anywhere")
 
 
-@query("block_union_ordered_cap", f"{_CAND} SELECT s1_id, ref_id, pass_no, position FROM capped")
+@query("block_country_wildcard", f"{sql.HEAD} SELECT s1_id, ref_id FROM ({sql.join(('name_canon',), 'wildcard')})")
 def _q(spark, sf_dir):
-    return _ordered(spark, sf_dir).select("s1_id", "ref_id", "pass_no", F.col("position").cast("long").alias("position"))
+    return b.block(*_sides(spark, sf_dir), b.BY_NAME["canonical"], "wildcard").select("s1_id", "ref_id")
 
 
-@query("block_hot_keys_cap", f"WITH {_PARTS},\n{_PREP},\n{_passes_sql()},\n{_FIRST},\n{_CAPPED} SELECT s1_id, ref_id, pass_no, position FROM capped")
+@query("block_union", f"{sql.HEAD}, {sql.passes('nonempty', ('name', 'canonical', 'address', 'name_address'))} SELECT DISTINCT s1_id, ref_id FROM passes")
 def _q(spark, sf_dir):
-    x = b.ordered_candidates(*fx.sides(fx.parts(spark, sf_dir)), CAP)
-    return x.select("s1_id", "ref_id", "pass_no", F.col("position").cast("long").alias("position"))
+    return b.union_distinct(b.candidates(*_sides(spark, sf_dir), [b.BY_NAME[p] for p in ("name", "canonical", "address", "name_address")], "nonempty"))
 
 
-_LIMIT = 20
+@query("block_union_ordered_cap", f"{sql.CAND} SELECT s1_id, ref_id, pass_no, position FROM capped")
+def _q(spark, sf_dir):
+    return _position(b.ordered_candidates(*_sides(spark, sf_dir)))
 
 
-@query(
-    "block_limit_per_pass",
-    f"{_HEAD}, {_passes_sql('wildcard', b.SHARED_ORDER)}, cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s1_id, pass_no ORDER BY ord, ref_id) AS n FROM passes) WHERE n <= {_LIMIT}),"
-    f" firsts AS (SELECT s1_id, ref_id, min(pass_no) AS pass_no, any_value(ord) AS ord FROM cut GROUP BY 1, 2), {_CAPPED.replace(str(CAP), '40')} SELECT s1_id, ref_id, pass_no, position FROM capped",
-)
+@query("block_hot_keys_cap", f"{sql.candidates(records=sql.PARTS)} SELECT s1_id, ref_id, pass_no, position FROM capped")
 def _q(spark, sf_dir):
-    x = b.limited_candidates(*_sides(spark, sf_dir), _LIMIT, 40)
-    return x.select("s1_id", "ref_id", "pass_no", F.col("position").cast("long").alias("position"))
+    return _position(b.ordered_candidates(*fx.sides(fx.parts(spark, sf_dir))))
 
 
-_RARE = f"""tk AS (SELECT entity_id, src, country_norm AS c, unnest(tokens) AS token FROM p),
-freq AS (SELECT c, token, count(*) AS f FROM tk WHERE src <> 1 GROUP BY 1, 2 HAVING count(*) <= {b.TOKEN_FREQUENCY}),
-rare AS (SELECT * FROM (SELECT tk.*, row_number() OVER (PARTITION BY entity_id ORDER BY f, token) AS n FROM tk JOIN freq USING (c, token)) WHERE n <= {b.TOKENS_PER_RECORD})"""
+@query("block_limit_per_pass", sql.limited())
+def _q(spark, sf_dir):
+    return _position(b.limited_candidates(*_sides(spark, sf_dir, "shared")))
 
 
-@query("block_rare_token", f"{_HEAD}, {_RARE} SELECT DISTINCT x.entity_id AS s1_id, y.entity_id AS ref_id FROM rare x JOIN rare y USING (c, token) WHERE x.src = 1 AND y.src <> 1")
+@query("block_rare_token", f"{sql.HEAD}, {sql.RARE} SELECT DISTINCT x.entity_id AS s1_id, y.entity_id AS ref_id FROM rare x JOIN rare y USING (c, token) WHERE x.src = 1 AND y.src <> 1")
 def _q(spark, sf_dir):
     return b.rare_token_candidates(*_sides(spark, sf_dir))
 
 
 @query(
     "block_token_pass",
-    f"{_CAND}, tk0 AS (SELECT entity_id AS s1_id, unnest(toks) AS token, generate_subscripts(toks, 1) - 1 AS seat FROM a), tk1 AS (SELECT s1_id, token, min(seat) AS seat FROM tk0 GROUP BY 1, 2),"
+    f"{sql.CAND}, tk0 AS (SELECT entity_id AS s1_id, unnest(toks) AS token, generate_subscripts(toks, 1) - 1 AS seat FROM a), tk1 AS (SELECT s1_id, token, min(seat) AS seat FROM tk0 GROUP BY 1, 2),"
     f" rt AS (SELECT entity_id AS ref_id, ord, unnest(tokens) AS token FROM r), more AS (SELECT s1_id, ref_id, 11 + seat AS pass_no, ord FROM tk1 JOIN rt USING (token)),"
     f" every AS (SELECT s1_id, ref_id, pass_no, ord FROM capped UNION ALL SELECT * FROM more), f2 AS (SELECT s1_id, ref_id, min(pass_no) AS pass_no, any_value(ord) AS ord FROM every GROUP BY 1, 2)"
-    f" SELECT s1_id, ref_id, pass_no, position FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY pass_no, ord, ref_id) AS position FROM f2) WHERE position <= {CAP}",
+    f" SELECT s1_id, ref_id, pass_no, position FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY pass_no, ord, ref_id) AS position FROM f2) WHERE position <= {sql.FINAL_CAP}",
 )
 def _q(spark, sf_dir):
     s1, refs = _sides(spark, sf_dir)
-    x = b.token_candidates(s1, refs, b.ordered_candidates(s1, refs, CAP), CAP)
-    return x.select("s1_id", "ref_id", F.col("pass_no").cast("long").alias("pass_no"), F.col("position").cast("long").alias("position"))
+    return _position(b.token_candidates(s1, refs, b.ordered_candidates(s1, refs)))
 
 
-@query("block_scoped")
+@query("block_scoped", f"{sql.HEAD}, {sql.SCOPED} SELECT s1_id, ref_id FROM start")
+def _q(spark, sf_dir):
+    s1, refs = _sides(spark, sf_dir)
+    return b.scoped_candidates(s1, refs)
+
+
+@query("block_scoped_tail")
 def _q(spark, sf_dir):
     return b.scoped_candidates(*_sides(spark, sf_dir, "tail"))
 
 
 @query("block_unicode_cap")
 def _q(spark, sf_dir):
-    return b.ordered_candidates(*_sides(spark, sf_dir, "unicode")).select("s1_id", "ref_id", "pass_no", "position")
+    return _position(b.ordered_candidates(*_sides(spark, sf_dir, "unicode")))
 
 
 @query("block_devanagari_name")
@@ -290,204 +190,217 @@ def _q(spark, sf_dir):
 # --- recall and candidate statistics ------------------------------------------------------------------------------
 
 
-def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.truth(fx.documents(spark, sf_dir))
+class Run:
+    """What the queries share: records prepared once, candidates, and their features computed once."""
 
+    def __init__(self, spark: SparkSession, sf_dir: str, profile: str = "ascii") -> None:
+        self.records = fx.documents(spark, sf_dir)
+        self.s1, self.refs = fx.sides(self.records, profile)
+        self.ids = fx.ids(self.s1)
 
-def _ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.ids(_sides(spark, sf_dir)[0])
+    def truth(self) -> DataFrame:
+        return fx.truth(self.records)
+
+    def ordered(self) -> DataFrame:
+        return b.ordered_candidates(self.s1, self.refs)
+
+    def features(self, scale: str = "percent", least_name: float | None = None) -> DataFrame:
+        return sim.features(b.fetch(self.ordered(), self.s1, self.refs), scale, least_name)
+
+    def matches(self) -> DataFrame:
+        return match.rule_matches(self.features(least_name=match.WITH_POSTAL)).select("s1_id", "ref_id")
+
+    def labelled(self) -> DataFrame:
+        return match.label(self.features(), self.truth())
+
+    def entities(self) -> DataFrame:
+        return metrics.entities(self.ids, self.truth(), self.matches())
+
+    def scoped(self) -> DataFrame:
+        return b.fetch(b.scoped_candidates(self.s1, self.refs), self.s1, self.refs)
 
 
 @query(
     "recall_by_pass",
-    f"{_CAND}, {_TRUTH}, ps AS (SELECT DISTINCT pass_no FROM capped) SELECT ps.pass_no, count(t.s1_id) AS retrieved, (SELECT count(*) FROM truth) AS n_true,"
+    f"{sql.CAND}, {sql.TRUTH}, ps AS (SELECT unnest(range(1, 11)) AS pass_no) SELECT CAST(ps.pass_no AS INTEGER) AS pass_no, count(t.s1_id) AS retrieved, (SELECT count(*) FROM truth) AS n_true,"
     " round(coalesce(count(t.s1_id)::DOUBLE / nullif((SELECT count(*) FROM truth), 0), 0), 6) AS recall FROM ps LEFT JOIN capped c ON c.pass_no = ps.pass_no LEFT JOIN truth t ON t.s1_id = c.s1_id AND t.ref_id = c.ref_id GROUP BY ps.pass_no",
 )
 def _q(spark, sf_dir):
-    x = metrics.recall(_ordered(spark, sf_dir), _truth(spark, sf_dir))
+    run = Run(spark, sf_dir)
+    passes = spark.range(1, len(b.PASSES) + 1).select(F.col("id").cast("int").alias("pass_no"))
+    x = metrics.recall(run.ordered(), run.truth(), every=passes)
     return x.withColumn("recall", F.round("recall", 6))
 
 
 _LINKS = ("name", "canonical", "address", "name_address")
-_LINK_SQL = {p: " AND ".join(f"x.{c} <> '' AND x.{c} = y.{c}" for c in b.BY_NAME[p].keys) for p in _LINKS}
+_LINK_SQL = {p: " AND ".join(f"x.{c} <> '' AND x.{c} = y.{c}" for c in sql.KEYS[p]) for p in _LINKS}
 
 
 @query(
     "recall_truth_join",
-    f"{_HEAD}, {_TRUTH}, l AS (SELECT "
+    f"{sql.HEAD}, {sql.TRUTH}, l AS (SELECT "
     + ", ".join(f"(x.country_norm = y.country_norm AND x.country_norm <> '' AND {s}) AS {p}" for p, s in _LINK_SQL.items())
     + " FROM truth t JOIN a x ON x.entity_id = t.s1_id JOIN r y ON y.entity_id = t.ref_id) SELECT count(*) AS n_true, "
     + ", ".join(f"count(*) FILTER (WHERE {p}) AS {p}" for p in _LINKS)
     + f", count(*) FILTER (WHERE {' OR '.join(_LINKS)}) AS any_pass FROM l",
 )
 def _q(spark, sf_dir):
-    x = b.linked_truth(_truth(spark, sf_dir), *_sides(spark, sf_dir), tuple(b.BY_NAME[p] for p in _LINKS))
+    run = Run(spark, sf_dir)
+    x = b.linked_truth(run.truth(), run.s1, run.refs, tuple(b.BY_NAME[p] for p in _LINKS))
     return x.agg(F.count("*").alias("n_true"), *(F.count(F.when(F.col(p), 1)).alias(p) for p in (*_LINKS, "any_pass")))
 
 
 _COUNTS = "counts AS (SELECT a.entity_id AS s1_id, count(c.ref_id) AS n FROM a LEFT JOIN capped c ON c.s1_id = a.entity_id GROUP BY 1)"
 
 
-@query("candidate_stats", f"{_CAND}, {_COUNTS} SELECT count(*) AS n_s1, CAST(sum(n) AS BIGINT) AS n_pairs, round(avg(n), 6) AS avg_candidates, max(n) AS max_candidates FROM counts")
+@query("candidate_stats", f"{sql.CAND}, {_COUNTS} SELECT count(*) AS n_s1, CAST(sum(n) AS BIGINT) AS n_pairs, round(avg(n), 6) AS avg_candidates, max(n) AS max_candidates FROM counts")
 def _q(spark, sf_dir):
-    x = metrics.candidate_stats(_ids(spark, sf_dir), _ordered(spark, sf_dir))
-    return x.withColumn("avg_candidates", F.round("avg_candidates", 6))
+    run = Run(spark, sf_dir)
+    return metrics.candidate_stats(run.ids, run.ordered()).withColumn("avg_candidates", F.round("avg_candidates", 6))
 
 
 @query(
     "candidate_percentiles",
-    f"{_CAND}, {_COUNTS}, s AS (SELECT n, row_number() OVER (ORDER BY n) - 1 AS rk, count(*) OVER () AS total FROM counts), q AS (SELECT unnest([0.5, 0.9, 0.95, 0.99]::DOUBLE[]) AS q) SELECT q, n AS value FROM q JOIN s ON rk = CAST(floor(q * (total - 1)) AS BIGINT)",
+    f"{sql.CAND}, {_COUNTS}, s AS (SELECT n, row_number() OVER (ORDER BY n) - 1 AS rk, count(*) OVER () AS total FROM counts), q AS (SELECT unnest([0.5, 0.9, 0.95, 0.99]::DOUBLE[]) AS q) SELECT q, n AS value FROM q JOIN s ON rk = CAST(floor(q * (total - 1)) AS BIGINT)",
 )
 def _q(spark, sf_dir):
-    return metrics.floor_percentiles(metrics.per_entity_counts(_ids(spark, sf_dir), _ordered(spark, sf_dir)))
+    run = Run(spark, sf_dir)
+    return metrics.floor_percentiles(metrics.per_entity_counts(run.ids, run.ordered()))
 
 
-@query("pass_contribution", f"{_CAND} SELECT pass_no, count(*) AS new_pairs FROM capped GROUP BY 1")
+@query("pass_contribution", f"WITH {sql.DOCS},\n{sql.prepared()},\n{sql.passes()},\n{sql.FIRST} SELECT pass_no, count(*) AS new_pairs FROM firsts GROUP BY 1")
 def _q(spark, sf_dir):
-    return metrics.pass_contribution(_ordered(spark, sf_dir))
+    run = Run(spark, sf_dir)
+    return metrics.pass_contribution(b.ordered_union(run.s1, run.refs))
 
 
 # --- similarity and decisions --------------------------------------------------------------------------------------
 
-
-def _features(spark: SparkSession, sf_dir: str, scale: str = "percent", n: int = CAP) -> DataFrame:
-    s1, refs = _sides(spark, sf_dir)
-    return sim.features(b.fetch(b.ordered_candidates(s1, refs, n), s1, refs), scale)
-
-
 _DOUBLES = ("name_lev", "name_tok", "name_char", "address_lev", "address_tok", "address_char", "score")
 
 
-@query("feature_bundle", f"{_FULL} SELECT s1_id, ref_id, {', '.join(f'round({c}, 6) AS {c}' for c in _DOUBLES)}, postal_match, country_match, name_len_diff, address_len_diff, exact_name FROM feats")
+@query("feature_bundle", f"{sql.FULL} SELECT s1_id, ref_id, {', '.join(f'round({c}, 6) AS {c}' for c in _DOUBLES)}, postal_match, country_match, name_len_diff, address_len_diff, exact_name FROM feats")
 def _q(spark, sf_dir):
-    x = _features(spark, sf_dir)
     longs = ("name_len_diff", "address_len_diff")
-    return x.select("s1_id", "ref_id", *(F.round(c, 6).alias(c) for c in _DOUBLES), "postal_match", "country_match", *(F.col(c).cast("long").alias(c) for c in longs), "exact_name")
+    return Run(spark, sf_dir).features().select("s1_id", "ref_id", *(F.round(c, 6).alias(c) for c in _DOUBLES), "postal_match", "country_match", *(F.col(c).cast("long").alias(c) for c in longs), "exact_name")
 
 
 @query("features_patched")
 def _q(spark, sf_dir):
-    return _features(spark, sf_dir, "patched", b.CAP).select("s1_id", "ref_id", *sim.FEATURES_B)
+    return Run(spark, sf_dir).features("patched").select("s1_id", "ref_id", *sim.FEATURES_B)
 
 
 @query("features_fuzzy")
 def _q(spark, sf_dir):
-    s1, refs = _sides(spark, sf_dir, "tail")
-    return sim.features_fuzzy(b.fetch(b.scoped_candidates(s1, refs), s1, refs)).select("s1_id", "ref_id", *sim.FEATURES_C)
+    return sim.features_fuzzy(Run(spark, sf_dir, "tail").scoped()).select("s1_id", "ref_id", *sim.FEATURES_C)
 
 
-@query("rank_cap")
+@query(
+    "rank_cap",
+    f"{sql.HEAD}, {sql.SCOPED}, ranked AS (SELECT s.*, row_number() OVER (PARTITION BY s1_id ORDER BY CAST(a.name_canon <> r.name_canon AS INTEGER), CAST(a.postal <> r.postal AS INTEGER), ref_id) AS position"
+    f" FROM start s JOIN a ON a.entity_id = s.s1_id JOIN r ON r.entity_id = s.ref_id) SELECT s1_id, ref_id, position FROM ranked WHERE position <= {sql.CAP}",
+)
 def _q(spark, sf_dir):
-    s1, refs = _sides(spark, sf_dir, "tail")
-    return b.rank_capped(b.fetch(b.scoped_candidates(s1, refs), s1, refs)).select("s1_id", "ref_id", "position")
+    return b.rank_capped(Run(spark, sf_dir).scoped()).select("s1_id", "ref_id", F.col("position").cast("long").alias("position"))
 
 
-@query("rule_matches", f"{_FULL} SELECT s1_id, ref_id FROM ruled")
+@query("rule_matches", f"{sql.FULL} SELECT s1_id, ref_id FROM ruled")
 def _q(spark, sf_dir):
-    return match.rule_matches(_features(spark, sf_dir)).select("s1_id", "ref_id")
-
-
-_EXACT_ON = "a.name_canon = r.name_canon AND a.name_canon <> ''"
+    return Run(spark, sf_dir).matches()
 
 
 @query(
     "exact_matches",
-    f"WITH {_DOCS}, g0 AS (SELECT entity_id, src, {_G.format(c='name')} AS name_norm, {_abbrev_sql().split('SELECT entity_id, ')[1].split(' AS address FROM')[0]} AS address_canon FROM rec),"
-    f" g AS (SELECT *, regexp_replace(name_norm, '( ({'|'.join(t.LEGAL_ENDINGS)}))+$', '') AS name_canon FROM g0), a AS (SELECT * FROM g WHERE src = 1), r AS (SELECT * FROM g WHERE src <> 1)"
-    f" SELECT a.entity_id AS s1_id, r.entity_id AS ref_id, coalesce(bool_or(a.name_norm = r.name_norm OR (a.address_canon <> '' AND a.address_canon = r.address_canon)), false) AS is_match FROM a JOIN r ON {_EXACT_ON} GROUP BY 1, 2",
+    f"WITH {sql.DOCS},\n{sql.prepared('exact')} SELECT a.entity_id AS s1_id, r.entity_id AS ref_id, coalesce(bool_or(a.name_norm = r.name_norm OR (a.address_canon <> '' AND a.address_canon = r.address_canon)), false) AS is_match"
+    " FROM a JOIN r ON a.name_canon = r.name_canon AND a.name_canon <> '' GROUP BY 1, 2",
 )
 def _q(spark, sf_dir):
     return b.exact_candidates(*_sides(spark, sf_dir, "exact"))
 
 
-def _labelled(spark: SparkSession, sf_dir: str, n: int = CAP) -> DataFrame:
-    return match.label(_features(spark, sf_dir, n=n), _truth(spark, sf_dir))
-
-
-@query("label_pairs", f"{_CAND}, {_TRUTH} SELECT c.s1_id, c.ref_id, CAST(t.s1_id IS NOT NULL AS INTEGER) AS label FROM capped c LEFT JOIN (SELECT DISTINCT * FROM truth) t USING (s1_id, ref_id)")
+@query("label_pairs", f"{sql.CAND}, {sql.TRUTH}, {sql.LABELLED} SELECT s1_id, ref_id, label FROM l")
 def _q(spark, sf_dir):
-    return match.label(_ordered(spark, sf_dir), _truth(spark, sf_dir)).select("s1_id", "ref_id", "label")
-
-
-_NEG = 5
+    run = Run(spark, sf_dir)
+    return match.label(run.ordered(), run.truth()).select("s1_id", "ref_id", "label")
 
 
 @query(
     "negatives_cap",
-    f"{_CAND}, {_TRUTH}, l AS (SELECT c.*, CAST(t.s1_id IS NOT NULL AS INTEGER) AS label FROM capped c LEFT JOIN (SELECT DISTINCT * FROM truth) t USING (s1_id, ref_id)),"
-    f" n AS (SELECT *, row_number() OVER (PARTITION BY s1_id, label ORDER BY pass_no, ord, ref_id) AS n FROM l) SELECT s1_id, ref_id, label FROM n WHERE label = 1 OR n <= {_NEG}",
+    f"{sql.CAND}, {sql.TRUTH}, {sql.LABELLED}, n AS (SELECT *, row_number() OVER (PARTITION BY s1_id, label ORDER BY pass_no, ord, ref_id) AS n FROM l) SELECT s1_id, ref_id, label FROM n WHERE label = 1 OR n <= {sql.NEGATIVES}",
 )
 def _q(spark, sf_dir):
-    return match.cap_negatives(match.label(_ordered(spark, sf_dir), _truth(spark, sf_dir)), _NEG).select("s1_id", "ref_id", "label")
+    run = Run(spark, sf_dir)
+    return match.cap_negatives(match.label(run.ordered(), run.truth())).select("s1_id", "ref_id", "label")
 
 
-# --- metrics -----------------------------------------------------------------------------------------------------
+@query("first_records", f"{sql.HEAD} SELECT entity_id FROM a ORDER BY ord LIMIT 10000")
+def _q(spark, sf_dir):
+    return match.first_records(Run(spark, sf_dir).s1, 10_000).select("entity_id")
 
 
-def _entities(spark: SparkSession, sf_dir: str, n: int = CAP) -> DataFrame:
-    return metrics.entities(_ids(spark, sf_dir), _truth(spark, sf_dir), match.rule_matches(_features(spark, sf_dir, n=n)))
+# --- metrics -----------------------------------------------------------------------------------------------------
 
 
-@query("f05_entities", f"{_FULL},\n{_ENT} SELECT s1_id, tp, fp, fn, round(f05, 6) AS f05 FROM ent")
+@query("f05_entities", f"{sql.FULL},\n{sql.ENT} SELECT s1_id, tp, fp, fn, round(f05, 6) AS f05 FROM ent")
 def _q(spark, sf_dir):
-    return _entities(spark, sf_dir).withColumn("f05", F.round("f05", 6))
+    return Run(spark, sf_dir).entities().withColumn("f05", F.round("f05", 6))
 
 
-@query("f05_macro", f"{_FULL},\n{_ENT} SELECT count(*) AS n_s1, round(avg(f05), 6) AS macro_f05, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, count(*) FILTER (WHERE fp = 0 AND fn = 0) AS exact_sets FROM ent")
+@query("f05_macro", f"{sql.FULL},\n{sql.ENT} SELECT count(*) AS n_s1, round(avg(f05), 6) AS macro_f05, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, count(*) FILTER (WHERE fp = 0 AND fn = 0) AS exact_sets FROM ent")
 def _q(spark, sf_dir):
-    return metrics.macro(_entities(spark, sf_dir)).withColumn("macro_f05", F.round("macro_f05", 6))
+    return metrics.macro(Run(spark, sf_dir).entities()).withColumn("macro_f05", F.round("macro_f05", 6))
 
 
 @query(
     "f05_global",
-    f"{_FULL},\n{_ENT}, s AS (SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM ent), pr AS (SELECT *, CASE WHEN tp + fp = 0 THEN 1.0::DOUBLE ELSE tp::DOUBLE / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 1.0::DOUBLE ELSE tp::DOUBLE / (tp + fn) END AS q FROM s)"
+    f"{sql.FULL},\n{sql.ENT}, s AS (SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM ent), pr AS (SELECT *, CASE WHEN tp + fp = 0 THEN 1.0::DOUBLE ELSE tp::DOUBLE / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 1.0::DOUBLE ELSE tp::DOUBLE / (tp + fn) END AS q FROM s)"
     " SELECT tp, fp, fn, round(p, 6) AS precision, round(q, 6) AS recall, round(CASE WHEN 0.25 * p + q = 0 THEN 0 ELSE 1.25 * p * q / (0.25 * p + q) END, 6) AS f05 FROM pr",
 )
 def _q(spark, sf_dir):
-    x = metrics.overall(_entities(spark, sf_dir))
+    x = metrics.overall(Run(spark, sf_dir).entities())
     return x.select("tp", "fp", "fn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f05")))
 
 
-_GRID = (40.0, 60.0, 80.0, 90.0, 95.0)
-
-
 @query(
     "threshold_curve",
-    f"{_FULL}, g AS (SELECT unnest({list(_GRID)}::DOUBLE[]) AS threshold), nt AS (SELECT s1_id, count(DISTINCT ref_id) AS t FROM truth GROUP BY 1),"
-    " lab AS (SELECT f.s1_id, f.score, CAST(t.s1_id IS NOT NULL AS INTEGER) AS label FROM feats f LEFT JOIN (SELECT DISTINCT * FROM truth) t USING (s1_id, ref_id)),"
+    f"{sql.FULL}, g AS (SELECT round(0.05 + 0.02 * unnest(range(0, 47)), 2)::DOUBLE AS threshold), nt AS (SELECT s1_id, count(DISTINCT ref_id) AS t FROM truth GROUP BY 1),"
+    " lab AS (SELECT f.s1_id, f.score / 100 AS score, CAST(t.s1_id IS NOT NULL AS INTEGER) AS label FROM feats f LEFT JOIN (SELECT DISTINCT * FROM truth) t USING (s1_id, ref_id)),"
     " c AS (SELECT s1_id, threshold, count(*) AS p, sum(label) AS tp FROM lab JOIN g ON score >= threshold GROUP BY 1, 2),"
     " e AS (SELECT g.threshold, coalesce(nt.t, 0) AS t, coalesce(c.p, 0) AS p, coalesce(c.tp, 0) AS tp FROM a CROSS JOIN g LEFT JOIN nt ON nt.s1_id = a.entity_id LEFT JOIN c ON c.s1_id = a.entity_id AND c.threshold = g.threshold)"
     " SELECT threshold, round(avg(CASE WHEN t + p = 0 THEN 1.0::DOUBLE ELSE 1.25::DOUBLE * tp / (1.25::DOUBLE * tp + 0.25::DOUBLE * (t - tp) + (p - tp)) END), 6) AS macro_f05 FROM e GROUP BY 1",
 )
 def _q(spark, sf_dir):
-    x = match.threshold_curve(_labelled(spark, sf_dir), _truth(spark, sf_dir), _ids(spark, sf_dir), _GRID, "score")
-    return x.withColumn("macro_f05", F.round("macro_f05", 6))
+    run = Run(spark, sf_dir)
+    scored = run.labelled().withColumn("score", F.col("score") / 100)
+    return match.threshold_curve(scored, run.truth(), run.ids, score="score").withColumn("macro_f05", F.round("macro_f05", 6))
 
 
 @query("gbt_matches")
 def _q(spark, sf_dir):
-    pairs = match.cap_negatives(_labelled(spark, sf_dir, b.CAP)).cache()
+    run = Run(spark, sf_dir)
+    every = save(run.labelled().select("s1_id", "ref_id", "pass_no", "ord", "label", *sim.FEATURES_B), "features")
+    pairs = save(match.cap_negatives(every), "training")
     model = match.train(pairs.where(~match.held_out()))
     # an honest tuning side: all candidates, full truth, every held-out record
-    held = match.probability(model, _labelled(spark, sf_dir, b.CAP).where(match.held_out()))
-    ids = _ids(spark, sf_dir).where(match.held_out())
-    truth = _truth(spark, sf_dir).where(match.held_out())
-    threshold, _ = match.best_threshold(match.threshold_curve(held, truth, ids))
-    pairs.unpersist()
-    return match.probability(model, _features(spark, sf_dir, n=b.CAP)).where(F.col("probability") >= threshold).select("s1_id", "ref_id", "probability")
+    held = match.probability(model, every.where(match.held_out()))
+    threshold, _ = match.best_threshold(match.threshold_curve(held, run.truth().where(match.held_out()), run.ids.where(match.held_out())))
+    model = match.train(pairs)  # refit on all pairs once the threshold is tuned
+    return match.probability(model, every).where(F.col("probability") >= threshold).select("s1_id", "ref_id", "probability")
 
 
 # --- files, checks and statistics ----------------------------------------------------------------------------------
 
 
-@query("match_lists", f"{_FULL} SELECT a.entity_id AS source1_entity_id, coalesce(string_agg(u.ref_id, ',' ORDER BY u.ref_id), '') AS matched_entity_ids FROM a LEFT JOIN ruled u ON u.s1_id = a.entity_id GROUP BY 1")
+@query("match_lists", f"{sql.FULL} SELECT a.entity_id AS source1_entity_id, coalesce(string_agg(u.ref_id, ',' ORDER BY u.ref_id), '') AS matched_entity_ids FROM a LEFT JOIN ruled u ON u.s1_id = a.entity_id GROUP BY 1")
 def _q(spark, sf_dir):
-    return tsv.id_lists(_ids(spark, sf_dir), match.rule_matches(_features(spark, sf_dir)))
+    run = Run(spark, sf_dir)
+    return tsv.id_lists(run.ids, run.matches())
 
 
-@query("candidate_lists_wide", f"{_CAND} SELECT a.entity_id AS source1_entity_id, coalesce(string_agg(c.ref_id, ',' ORDER BY c.ref_id), '') AS candidate_entity_ids FROM a LEFT JOIN capped c ON c.s1_id = a.entity_id GROUP BY 1")
+@query("candidate_lists_wide", f"{sql.CAND} SELECT a.entity_id AS source1_entity_id, coalesce(string_agg(c.ref_id, ',' ORDER BY c.ref_id), '') AS candidate_entity_ids FROM a LEFT JOIN capped c ON c.s1_id = a.entity_id GROUP BY 1")
 def _q(spark, sf_dir):
-    return tsv.id_lists(_ids(spark, sf_dir), _ordered(spark, sf_dir), "candidate_entity_ids")
+    run = Run(spark, sf_dir)
+    return tsv.id_lists(run.ids, run.ordered(), "candidate_entity_ids")
 
 
 def _orders_as_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -516,43 +429,51 @@ def _q(spark, sf_dir):
 
 @query(
     "invalid_ids",
-    f"{_FULL} SELECT ref_id FROM (SELECT DISTINCT ref_id FROM ruled) WHERE ref_id NOT IN (SELECT ref_id FROM truth)",
+    f"{sql.FULL} SELECT ref_id FROM (SELECT DISTINCT ref_id FROM ruled) WHERE ref_id NOT IN (SELECT ref_id FROM truth)",
 )
 def _q(spark, sf_dir):
-    return match.rule_matches(_features(spark, sf_dir)).select("ref_id").distinct().join(_truth(spark, sf_dir).select("ref_id").distinct(), "ref_id", "left_anti")
+    run = Run(spark, sf_dir)
+    return run.matches().select("ref_id").distinct().join(run.truth().select("ref_id").distinct(), "ref_id", "left_anti")
 
 
-@query("missing_rows", f"{_FULL} SELECT entity_id AS s1_id FROM a WHERE entity_id NOT IN (SELECT s1_id FROM ruled)")
+@query("missing_rows", f"{sql.FULL} SELECT entity_id AS s1_id FROM a WHERE entity_id NOT IN (SELECT s1_id FROM ruled)")
 def _q(spark, sf_dir):
-    return _ids(spark, sf_dir).join(match.rule_matches(_features(spark, sf_dir)).select("s1_id").distinct(), "s1_id", "left_anti")
+    run = Run(spark, sf_dir)
+    return run.ids.join(run.matches().select("s1_id").distinct(), "s1_id", "left_anti")
+
 
+def _known(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Ids of S1 and the truth."""
+    records = fx.documents(spark, sf_dir)
+    return records.where("entity_id like 'S1-%'").select(F.col("entity_id").alias("s1_id")), fx.truth(records)
 
-_TC = f"{_HEAD}, {_TRUTH}, counts AS (SELECT a.entity_id AS s1_id, count(DISTINCT t.ref_id) AS n FROM a LEFT JOIN truth t ON t.s1_id = a.entity_id GROUP BY 1)"
+
+_TC = f"{sql.HEAD}, {sql.TRUTH}, counts AS (SELECT a.entity_id AS s1_id, count(DISTINCT t.ref_id) AS n FROM a LEFT JOIN truth t ON t.s1_id = a.entity_id GROUP BY 1)"
 
 
 @query("truth_singletons", f"{_TC} SELECT count(*) AS n_s1, count(*) FILTER (WHERE n = 0) AS singletons, count(*) FILTER (WHERE n > 0) AS matched FROM counts")
 def _q(spark, sf_dir):
-    return metrics.singletons(_ids(spark, sf_dir), _truth(spark, sf_dir))
+    return metrics.singletons(*_known(spark, sf_dir))
 
 
 @query("match_count_hist", f"{_TC} SELECT n, count(*) AS n_s1 FROM counts GROUP BY 1 ORDER BY n LIMIT 30")
 def _q(spark, sf_dir):
-    return metrics.match_histogram(_ids(spark, sf_dir), _truth(spark, sf_dir))
+    return metrics.match_histogram(*_known(spark, sf_dir))
 
 
-@query("match_count_summary", f'{_TC} SELECT count(*) AS "count", round(avg(n), 6) AS mean, round(stddev_samp(n), 6) AS std, min(n) AS "min", max(n) AS "max" FROM counts')
+@query("match_count_summary", f'{_TC} SELECT count(*) AS "count", round(avg(n), 6) AS mean, round(stddev_samp(n), 6) AS std, min(n) AS "min", quantile_cont(n, 0.25) AS q25, quantile_cont(n, 0.5) AS q50, quantile_cont(n, 0.75) AS q75, max(n) AS "max" FROM counts')
 def _q(spark, sf_dir):
-    x = metrics.match_summary(_ids(spark, sf_dir), _truth(spark, sf_dir))
+    x = metrics.match_summary(*_known(spark, sf_dir))
     return x.withColumns({c: F.round(c, 6) for c in ("mean", "std")})
 
 
 @query(
     "source_split",
-    f"WITH {_DOCS}, {_TRUTH}, s AS (SELECT s1_id, count(*) FILTER (WHERE ref_id LIKE 'S2-%') AS n2, count(*) FILTER (WHERE ref_id LIKE 'S3-%') AS n3 FROM (SELECT DISTINCT * FROM truth) GROUP BY 1)"
+    f"WITH {sql.DOCS}, {sql.TRUTH}, s AS (SELECT s1_id, count(*) FILTER (WHERE ref_id LIKE 'S2-%') AS n2, count(*) FILTER (WHERE ref_id LIKE 'S3-%') AS n3 FROM (SELECT DISTINCT * FROM truth) GROUP BY 1)"
     " SELECT CAST(coalesce(sum(n2), 0) AS BIGINT) AS s2_matches, CAST(coalesce(sum(n3), 0) AS BIGINT) AS s3_matches, count(*) FILTER (WHERE n2 > 0) AS with_s2, count(*) FILTER (WHERE n3 > 0) AS with_s3, count(*) FILTER (WHERE n2 > 0 AND n3 > 0) AS with_both FROM s",
 )
 def _q(spark, sf_dir):
-    return metrics.source_split(_ids(spark, sf_dir), _truth(spark, sf_dir))
+    return metrics.source_split(*_known(spark, sf_dir))
 
 
 _CUSTOMER = ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
@@ -563,122 +484,57 @@ def _q(spark, sf_dir):
     return metrics.null_profile(spark.read.parquet(f"{sf_dir}/customer.parquet").select(*_CUSTOMER))
 
 
-@query("profile_duplicates", "WITH d AS (SELECT p_name, p_brand, count(*) AS c FROM part GROUP BY 1, 2) SELECT CAST(coalesce(sum(c), 0) AS BIGINT) AS n_rows, CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS duplicates FROM d")
-def _q(spark, sf_dir):
-    return metrics.duplicate_rows(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_name", "p_brand"))
-
-
-@query("truth_pairs", f"WITH {_DOCS}, {_TRUTH} SELECT s1_id, ref_id FROM truth")
-def _q(spark, sf_dir):
-    return _truth(spark, sf_dir)
-
-
-@query("last_wins", "SELECT 'S1-' || o_custkey AS entity_id, max(o_orderkey) AS ord FROM orders GROUP BY 1")
-def _q(spark, sf_dir):
-    x = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("S1-"), F.col("o_custkey").cast("string")).alias("entity_id"), F.col("o_orderkey").alias("ord"))
-    return tsv.last_wins(x)
-
-
-@query("repeated_ids", "SELECT 'S1-' || o_custkey AS entity_id, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
-def _q(spark, sf_dir):
-    x = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("S1-"), F.col("o_custkey").cast("string")).alias("entity_id"))
-    return tsv.unique_ids(x)
-
-
-# --- production limits ---------------------------------------------------------------------------------------------
-# The whole job of the queries above: the operators' own limits, which are beyond SQL in time. No SQL.
-
-
-def _whole(name: str):
-    return query(f"{name}_full")
-
-
-@_whole("block_union_ordered")
-def _q(spark, sf_dir):
-    return _ordered(spark, sf_dir, b.CAP).select("s1_id", "ref_id", "pass_no", F.col("position").cast("long").alias("position"))
-
-
-@_whole("block_hot_keys")
+@query("profile_shape", "SELECT count(*) AS n_rows, 5 AS n_columns, 'c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment' AS columns FROM customer")
 def _q(spark, sf_dir):
-    return b.ordered_candidates(*fx.sides(fx.parts(spark, sf_dir))).select("s1_id", "ref_id", "pass_no", F.col("position").cast("long").alias("position"))
+    return metrics.shape(spark.read.parquet(f"{sf_dir}/customer.parquet").select(*_CUSTOMER))
 
 
-@_whole("block_limit_per_pass")
+@query("profile_head", "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 5")
 def _q(spark, sf_dir):
-    return b.limited_candidates(*_sides(spark, sf_dir)).select("s1_id", "ref_id", "pass_no", F.col("position").cast("long").alias("position"))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name").orderBy("c_custkey").limit(5)
 
 
-@_whole("block_token_pass")
+@query("candidate_sample")
 def _q(spark, sf_dir):
-    s1, refs = _sides(spark, sf_dir)
-    x = b.token_candidates(s1, refs, b.ordered_candidates(s1, refs))
-    return x.select("s1_id", "ref_id", F.col("pass_no").cast("long").alias("pass_no"), F.col("position").cast("long").alias("position"))
-
-
-@_whole("recall_by_pass")
-def _q(spark, sf_dir):
-    return metrics.recall(_ordered(spark, sf_dir, b.CAP), _truth(spark, sf_dir)).withColumn("recall", F.round("recall", 6))
-
-
-@_whole("candidate_stats")
-def _q(spark, sf_dir):
-    return metrics.candidate_stats(_ids(spark, sf_dir), _ordered(spark, sf_dir, b.CAP)).withColumn("avg_candidates", F.round("avg_candidates", 6))
-
-
-@_whole("candidate_percentiles")
-def _q(spark, sf_dir):
-    return metrics.floor_percentiles(metrics.per_entity_counts(_ids(spark, sf_dir), _ordered(spark, sf_dir, b.CAP)))
-
-
-@_whole("candidate_lists_wide")
-def _q(spark, sf_dir):
-    return tsv.id_lists(_ids(spark, sf_dir), _ordered(spark, sf_dir, b.CAP), "candidate_entity_ids")
+    """SMP-1: which rows have the least hashes is the engine's own choice."""
+    return match.sample(Run(spark, sf_dir).s1.select("entity_id"), 50_000)
 
 
-@_whole("pass_contribution")
+@query("candidates_long", f"{sql.CAND} SELECT s1_id AS source1_entity_id, ref_id AS candidate_entity_id, split_part(ref_id, '-', 1) AS candidate_source FROM capped")
 def _q(spark, sf_dir):
-    return metrics.pass_contribution(b.ordered_union(*_sides(spark, sf_dir)))
+    """SNK-3, SNK-4."""
+    return Run(spark, sf_dir).ordered().select(F.col("s1_id").alias("source1_entity_id"), F.col("ref_id").alias("candidate_entity_id"), F.substring_index("ref_id", "-", 1).alias("candidate_source"))
 
 
-@_whole("feature_bundle")
-def _q(spark, sf_dir):
-    rest = ("postal_match", "country_match", "name_len_diff", "address_len_diff", "exact_name")
-    return _features(spark, sf_dir, n=b.CAP).select("s1_id", "ref_id", *(F.round(c, 6).alias(c) for c in _DOUBLES), *rest)
-
-
-@_whole("rule_matches")
-def _q(spark, sf_dir):
-    return match.rule_matches(_features(spark, sf_dir, n=b.CAP)).select("s1_id", "ref_id")
-
-
-@_whole("negatives")
-def _q(spark, sf_dir):
-    return match.cap_negatives(match.label(_ordered(spark, sf_dir, b.CAP), _truth(spark, sf_dir))).select("s1_id", "ref_id", "label")
-
-
-@_whole("f05_entities")
+@query(
+    "match_details",
+    f"{sql.FULL},\n{sql.ENT}, t AS (SELECT s1_id, string_agg(DISTINCT ref_id, ',' ORDER BY ref_id) AS ids FROM truth GROUP BY 1), u AS (SELECT s1_id, string_agg(ref_id, ',' ORDER BY ref_id) AS ids FROM ruled GROUP BY 1)"
+    " SELECT ent.s1_id AS source1_entity_id, coalesce(t.ids, '') AS true_matched_entity_ids, coalesce(u.ids, '') AS predicted_matched_entity_ids, tp AS \"TP\", fp AS \"FP\", fn AS \"FN\", printf('%.8f', f05) AS \"F0.5\""
+    " FROM ent LEFT JOIN t USING (s1_id) LEFT JOIN u USING (s1_id)",
+)
 def _q(spark, sf_dir):
-    return _entities(spark, sf_dir, b.CAP).withColumn("f05", F.round("f05", 6))
+    run = Run(spark, sf_dir)
+    truth, matches = run.truth(), save(run.matches(), "matches")
+    return tsv.details(run.ids, truth, matches, metrics.entities(run.ids, truth, matches))
 
 
-@_whole("f05_macro")
+@query("profile_duplicates", "WITH d AS (SELECT p_name, p_brand, count(*) AS c FROM part GROUP BY 1, 2) SELECT CAST(coalesce(sum(c), 0) AS BIGINT) AS n_rows, CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS duplicates FROM d")
 def _q(spark, sf_dir):
-    return metrics.macro(_entities(spark, sf_dir, b.CAP)).withColumn("macro_f05", F.round("macro_f05", 6))
+    return metrics.duplicate_rows(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_name", "p_brand"))
 
 
-@_whole("f05_global")
+@query("truth_pairs", f"WITH {sql.DOCS}, {sql.TRUTH} SELECT s1_id, ref_id FROM truth")
 def _q(spark, sf_dir):
-    x = metrics.overall(_entities(spark, sf_dir, b.CAP))
-    return x.select("tp", "fp", "fn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f05")))
+    return fx.truth(fx.documents(spark, sf_dir))
 
 
-@_whole("threshold_curve")
+@query("last_wins", "SELECT 'S1-' || o_custkey AS entity_id, max(o_orderkey) AS ord FROM orders GROUP BY 1")
 def _q(spark, sf_dir):
-    scored = _labelled(spark, sf_dir, b.CAP).withColumn("score", F.col("score") / 100)
-    x = match.threshold_curve(scored, _truth(spark, sf_dir), _ids(spark, sf_dir), score="score")
-    return x.withColumn("macro_f05", F.round("macro_f05", 6))
+    x = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("S1-"), F.col("o_custkey").cast("string")).alias("entity_id"), F.col("o_orderkey").alias("ord"))
+    return tsv.last_wins(x)
 
 
-@_whole("match_lists")
+@query("repeated_ids", "SELECT 'S1-' || o_custkey AS entity_id, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
 def _q(spark, sf_dir):
-    return tsv.id_lists(_ids(spark, sf_dir), match.rule_matches(_features(spark, sf_dir, n=b.CAP)))
+    x = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("S1-"), F.col("o_custkey").cast("string")).alias("entity_id"))
+    return tsv.unique_ids(x)

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkweld.storage import numbered
+
 RECORD = ("entity_id", "business_name", "business_address", "country")
 # Column names that stand for the record columns, the best first.
 ALIASES = {
@@ -22,17 +24,34 @@ TRUTH_ALIASES = {
     "source1_entity_id": ("s1_entity_id", "s1_id", "source1_entity_id", "entity_id", "id"),
     "matched_entity_ids": ("matched_entity_ids", "matched_ids", "matches", "matched_entity_id", "source2_source3_entity_ids"),
 }
+# Texts that a reader with default missing values takes as missing.
+MISSING = ("#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 #: Words that mean an empty id list in prediction files.
 EMPTY_WORDS = ("nan", "none", "null")
 
 
-def read_tsv(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """SRC-1..4: a tab-separated file with a header; the required ``columns``, if given, must be there."""
+def read_tsv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, missing: bool = False) -> DataFrame:
+    """SRC-1..4: a tab-separated file with a header; the required ``columns``, if given, must be there.
+
+    ``missing``: texts that stand for a missing value (``MISSING``) become the empty string, as other readers have it.
+    """
     x = spark.read.option("sep", "\t").option("header", True).option("quote", '"').option("escape", '"').option("encoding", "UTF-8").csv(path)
     x = x.toDF(*(c.lstrip("﻿") for c in x.columns))
     if columns is not None and (lack := [c for c in columns if c not in x.columns]):
         raise ValueError(f"{path} lacks {', '.join(lack)}")
-    return x.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in (columns or x.columns)))
+    value = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+    return x.select(*((F.when(value(c).isin(*MISSING), "").otherwise(value(c)) if missing else value(c)).alias(c) for c in (columns or x.columns)))
+
+
+def first_rows(rows: DataFrame, n: int) -> DataFrame:
+    """LIM-1: the first ``n`` rows of a file, in its order."""
+    return numbered(rows).where(F.col("number") <= n).drop("number")
+
+
+def in_chunks(rows: DataFrame, size: int, most: int | None = None) -> DataFrame:
+    """LIM-1: rows of a file with the number of their ``chunk`` of ``size`` rows, of the first ``most`` chunks if given."""
+    x = numbered(rows).withColumn("chunk", F.floor((F.col("number") - 1) / size)).drop("number")
+    return x if most is None else x.where(F.col("chunk") < most)
 
 
 def resolve(columns: Sequence[str], aliases: Sequence[str], required: bool = True) -> str | None:
@@ -73,6 +92,13 @@ def unique_ids(records: DataFrame) -> DataFrame:
     return records.groupBy("entity_id").agg(F.count("*").alias("n")).where("n > 1")
 
 
+def refuse_repeats(records: DataFrame) -> DataFrame:
+    """SRC-11: ``records`` as they are; an id that occurs twice is an error."""
+    if again := [r.entity_id for r in unique_ids(records).orderBy("entity_id").limit(5).collect()]:
+        raise ValueError(f"ids that occur more than once: {', '.join(map(str, again))}")
+    return records
+
+
 def last_wins(records: DataFrame, order: str = "ord") -> DataFrame:
     """SRC-12: the last row of each id; blank ids are skipped."""
     w = Window.partitionBy("entity_id").orderBy(F.desc(order))
@@ -98,14 +124,27 @@ def split_ids(lists: DataFrame, separators: str = ",", distinct: bool = True, em
     return x.distinct() if distinct else x
 
 
+def singletons(lists: DataFrame, separators: str = ",") -> int:
+    """SRC-9: rows whose id list is empty."""
+    pairs = split_ids(lists, separators, distinct=False).select("s1_id").distinct()
+    return lists.select(F.trim("source1_entity_id").alias("s1_id")).where("s1_id <> ''").join(pairs, "s1_id", "left_anti").count()
+
+
 def id_lists(ids: DataFrame, pairs: DataFrame, column: str = "matched_entity_ids") -> DataFrame:
     """AGG-2, SRT-1: one row for each ``ids(s1_id)``: its sorted, comma-joined references, empty where there are none."""
     x = pairs.groupBy("s1_id").agg(F.array_join(F.array_sort(F.collect_set("ref_id")), ",").alias(column))
     return ids.select("s1_id").distinct().join(x, "s1_id", "left").select(F.col("s1_id").alias("source1_entity_id"), F.coalesce(column, F.lit("")).alias(column))
 
 
-def write_tsv(df: DataFrame, path: str, sort: Sequence[str] = (), single: bool = False) -> None:
-    """SNK-1..3, 5, 6: a folder of tab-separated files with a header, no quotes, empty values as nothing.
+def details(ids: DataFrame, truth: DataFrame, predicted: DataFrame, scores: DataFrame) -> DataFrame:
+    """SNK-5: a row for each S1 record: both id lists, the counts, and the score with eight decimals."""
+    lists = id_lists(ids, truth, "true_matched_entity_ids").join(id_lists(ids, predicted, "predicted_matched_entity_ids"), "source1_entity_id")
+    x = scores.select(F.col("s1_id").alias("source1_entity_id"), F.col("tp").alias("TP"), F.col("fp").alias("FP"), F.col("fn").alias("FN"), F.format_string("%.8f", "f05").alias("F0.5"))
+    return lists.join(x, "source1_entity_id")
+
+
+def write_tsv(df: DataFrame, path: str, sort: Sequence[str] = (), single: bool = False, sep: str = "\t") -> None:
+    """SNK-1..3, 5, 6: a folder of files with a header, no quotes, empty values as nothing; ``sep=","`` for metric tables.
 
     ``single`` makes one file of it, for small results; else ``sort`` orders the files by range.
     """
@@ -113,7 +152,7 @@ def write_tsv(df: DataFrame, path: str, sort: Sequence[str] = (), single: bool =
         df = df.coalesce(1).sortWithinPartitions(*sort) if sort else df.coalesce(1)
     elif sort:
         df = df.orderBy(*sort)
-    df.write.mode("overwrite").option("sep", "\t").option("header", True).option("emptyValue", "").option("nullValue", "").option("quote", "").option("lineSep", "\n").csv(path)
+    df.write.mode("overwrite").option("sep", sep).option("header", True).option("emptyValue", "").option("nullValue", "").option("quote", "").option("lineSep", "\n").csv(path)
 
 
 def write_candidates(pairs: DataFrame, path: str, chunk: str | None = None) -> None:

@@ -107,6 +107,23 @@ def test_indel_family():
     assert sim.indel("this is a test", "this is a test!") == pytest.approx(200 * 14 / 29)
 
 
+def test_best_stretch_equals_all_stretches():
+    def slow(a, b):
+        if len(a) > len(b):
+            a, b = b, a
+        if not a:
+            return 100.0 if not b else 0.0
+        every = [sim.indel(a, b[max(0, i) : i + len(a)]) for i in range(1 - len(a), len(b))]
+        if len(a) == len(b):
+            every += [sim.indel(b, a[max(0, i) : i + len(a)]) for i in range(1 - len(a), len(b))]
+        return max(every)
+
+    rng = random.Random(7)
+    for _ in range(1500):
+        a, b = ("".join(rng.choices("abcde ", k=rng.randrange(14))) for _ in range(2))
+        assert sim.partial(a, b) == pytest.approx(slow(a, b)), (a, b)
+
+
 def test_fuzzy_columns(spark):
     df = spark.createDataFrame([("ab c", "ab d"), (None, "x")], "a string, b string")
     got = df.select(sim.indel_ratio("a", "b"), sim.token_set_ratio("a", "b"), sim.partial_ratio("a", "b")).collect()

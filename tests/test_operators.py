@@ -37,7 +37,7 @@ def collector(s1, refs, keys, cap):
 
 
 @pytest.mark.parametrize("cap", [3, 10, 1000])
-def test_seven_joins_equal_the_sequential_collector(spark, cap):
+def test_one_join_equals_the_sequential_collector(spark, cap):
     s1, refs = fx.sides(records(spark), "ascii")
     want = collector(s1.collect(), refs.collect(), [(p.number, p.keys) for p in b.PASSES], cap)
     got = {}
@@ -52,12 +52,17 @@ def test_country_modes(spark):
     assert n["nonempty"] <= n["equal"] <= n["wildcard"] <= n["none"]
     with pytest.raises(ValueError):
         b.block(s1, refs, b.BY_NAME["name"], "other")
+    for mode in b.COUNTRY:
+        fits = {"none": lambda x, y: True, "equal": lambda x, y: x == y, "nonempty": lambda x, y: x == y != "", "wildcard": lambda x, y: x == y or "" in (x, y)}[mode]
+        rows = [(x, y) for x in s1.collect() for y in refs.collect() if x.name_canon and x.name_canon == y.name_canon and fits(x.country_norm, y.country_norm)]
+        got = b.block(s1, refs, b.BY_NAME["canonical"], mode).select("s1_id", "ref_id").collect()
+        assert sorted(map(tuple, got)) == sorted((x.entity_id, y.entity_id) for x, y in rows)
 
 
 @pytest.mark.parametrize("profile", sorted(PROFILES))
 def test_every_profile_prepares_and_blocks(spark, profile):
     s1, refs = fx.sides(records(spark, 60), profile)
-    x = b.union_ordered([b.block(s1, refs, p, "wildcard") for p in b.PASSES])
+    x = b.union_ordered(b.candidates(s1, refs, b.PASSES, "wildcard"))
     assert x.count() == x.select("s1_id", "ref_id").distinct().count()
 
 
@@ -65,7 +70,7 @@ def test_empty_keys_never_block(spark):
     df = spark.createDataFrame([("S1-1", "", "", ""), ("S2-2", None, None, None)], "entity_id string, business_name string, business_address string, country string")
     s1, refs = fx.sides(df, "ascii")
     assert b.ordered_candidates(s1, refs).count() == 0 and b.limited_candidates(s1, refs).count() == 0
-    assert b.rare_token_candidates(s1, refs).count() == 0 and b.exact_candidates(s1, refs).count() == 0
+    assert b.rare_token_candidates(s1, refs).count() == 0 and b.scoped_candidates(s1, refs).count() == 0 and b.exact_candidates(s1, refs).count() == 0
 
 
 def test_f05_forms_agree(spark):
@@ -186,6 +191,60 @@ def test_sources(spark, tmp_path):
     assert tsv.summary_text({"rows": 3, "f05": 0.5}) == "rows  3\nf05   0.50000000\n"
 
 
+def test_lines_are_numbered_and_bytes_are_checked(spark, tmp_path):
+    need = spark.createDataFrame([("S1-1",)], "s1_id string")
+    lines = [HEAD.strip()] + [f"S1-1{' ' * (i % 50)}\t" if i != 700 else "no tab" for i in range(2, 1500)]
+    (tmp_path / "m.tsv").write_text("\n".join(lines) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    found = validate.validate(spark, str(tmp_path / "m.tsv"), None, need).where("rule = 'VAL-04'").collect()
+    assert [r.item for r in found] == ["700: no tab"]
+    rows = tsv.read_tsv(spark, str(tmp_path / "m.tsv"))
+    assert tsv.first_rows(rows, 10).count() == 10 and [r.chunk for r in tsv.in_chunks(rows, 400, 3).groupBy("chunk").count().orderBy("chunk").collect()] == [0, 1, 2]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    (tmp_path / "v.tsv").write_bytes(HEAD.encode() + "S1-1\tS2-\ufffd\n".encode())
+    assert "VAL-16" not in {r.rule for r in validate.validate(spark, str(tmp_path / "v.tsv"), None, need).collect()}
+    (tmp_path / "x.tsv").write_bytes(HEAD.encode() + b"S1-1\tS2-\xff\n")
+    assert "VAL-16" in {r.rule for r in validate.validate(spark, str(tmp_path / "x.tsv"), None, need).collect()}
+    assert validate.counts(validate.rows_of(spark.createDataFrame([(1, HEAD.strip()), (2, "S1-1\t"), (3, "S1-2\tS2-1,S2-2")], "number long, line string"), HEAD.strip())).first() == (2, 1, 1, 2)
+
+
+def test_files_in_files_out(spark, tmp_path, capsys):
+    from sparkweld import cli
+
+    head = "entity_id\tbusiness_name\tbusiness_address\tcountry\n"
+    (tmp_path / "s1.tsv").write_text(head + "S1-1\tAcme Foods Pvt Ltd\t12 Main St 56001\tUS\nS1-2\tNorth Steel\t9 Hill Road\tUS\n")
+    (tmp_path / "s2.tsv").write_text(head + "S2-1\tACME Foods Private Limited\t12 main street 56001\tUS\nS2-2\tNorthern Lights\tx\t\n")
+    (tmp_path / "s3.tsv").write_text(head + "S3-1\tacme foods\t12 Main Street\tUS\n")
+    (tmp_path / "t.tsv").write_text("source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1,S3-1\nS1-2\t\n")
+    files = [str(tmp_path / f"s{i}.tsv") for i in (1, 2, 3)]
+    out = str(tmp_path / "out")
+    assert cli.main(["match", *files, "--out", out, "--truth", str(tmp_path / "t.tsv")], spark) == 0
+    got = {r.source1_entity_id: r.matched_entity_ids for r in tsv.read_tsv(spark, f"{out}/matching_results.tsv").collect()}
+    assert got == {"S1-1": "S2-1,S3-1", "S1-2": ""}
+    detail = {r["source1_entity_id"]: (r["TP"], r["F0.5"]) for r in tsv.read_tsv(spark, f"{out}/f05_entity_details.tsv").collect()}
+    assert detail == {"S1-1": ("2", "1.00000000"), "S1-2": ("0", "1.00000000")} and "macro F0.5" in capsys.readouterr().out
+    assert spark.read.option("header", True).csv(f"{out}/blocking_results.csv").columns == ["pass_no", "retrieved", "n_true", "recall"]
+    assert cli.main(["validate", f"{out}/matching_results.tsv", "--candidates", f"{out}/candidate_pairs.tsv", "--s1", files[0], "--others", *files[1:]], spark) == 0
+    assert cli.main(["match", *files, "--out", out, "--first", "1"], spark) == 0 and tsv.read_tsv(spark, f"{out}/matching_results.tsv").count() == 1
+    (tmp_path / "bad.tsv").write_text("source1_entity_id\tmatched_entity_ids\nS1-1\tS1-2\n")
+    assert cli.main(["validate", str(tmp_path / "bad.tsv"), "--s1", files[0]], spark) == 1 and "VAL-07" in capsys.readouterr().out
+    (tmp_path / "twice.tsv").write_text(head + "S2-1\ta\tb\tc\nS2-1\ta\tb\tc\n")
+    with pytest.raises(ValueError, match="S2-1"):
+        cli.main(["match", files[0], str(tmp_path / "twice.tsv"), "--out", out], spark)
+
+
+def test_missing_values_and_empty_lists(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("entity_id\tcountry\nS1-1\tNA\nS1-2\tnull\nS1-3\tNamibia\n")
+    read = lambda **k: [r.country for r in tsv.read_tsv(spark, str(tmp_path / "a.tsv"), **k).collect()]
+    assert read() == ["NA", "null", "Namibia"] and read(missing=True) == ["", "", "Namibia"]
+    lists = spark.createDataFrame([("S1-1", "S2-1,S2-1"), ("S1-2", ""), ("S1-3", None)], "source1_entity_id string, matched_entity_ids string")
+    assert tsv.singletons(lists) == 2 and tsv.split_ids(lists, distinct=False).count() == 2
+    pairs = tsv.split_ids(lists)
+    tsv.write_candidates(pairs.withColumn("chunk", F.lit(0)), str(tmp_path / "c"), "chunk")
+    assert [r.candidate_source for r in spark.read.parquet(str(tmp_path / "c")).collect()] == ["S2"]
+
+
 def test_profile(spark):
     df = spark.createDataFrame([(1, None), (1, None), (2, "x")], "a int, b string")
     assert {tuple(r) for r in metrics.null_profile(df).collect()} == {("a", 3, 0), ("b", 3, 2)}

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from sparkweld.llm.common import fresh, save, session, slices, table
 
 #: Bytes of text in a block, and of a piece of a longer text that is split at once.
-BLOCK, PIECE = 8 << 20, 1 << 20
+BLOCK, PIECE = 32 << 20, 1 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -97,34 +97,35 @@ class Splitter:
         return known
 
 
-WORDS, SEATS, DOCUMENTS = 0, 1, 2
+WORDS, COUNTS, DOCUMENTS = 0, 1, 2
 _SHAPE = "block long, kind int, bucket int, start int, sizes binary, data binary"
 _KIND = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("start", pa.int32()), ("sizes", pa.binary()), ("data", pa.binary())])
 
 
+def _by_count(counts: np.ndarray) -> np.ndarray:
+    """Numbers of a block's words by rank: the commonest first, so that positions pack well."""
+    return np.argsort(-counts, kind="stable")
+
+
 def _blocks(pattern: str, buckets: int):
-    """Rows of blocks: the words of each bucket, numbered from ``start`` on; the number of each word by its rank; and
-    documents, their columns as an Arrow message and the rank of the word at each position."""
+    """Rows of blocks: the words of each bucket, numbered from ``start`` on; the count of each word, which gives its rank;
+    and documents, their columns as an Arrow message and the rank of the word at each position."""
 
     def rows_of(block: int, held: list[pa.RecordBatch], ranks: list[np.ndarray], number: dict[str, int]) -> pa.RecordBatch:
         words = list(number)
         hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in words), np.uint64, len(words))
         bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-        counts = np.zeros(len(words), np.int64)
-        for r in ranks:
-            counts += np.bincount(r, minlength=len(words))
-        by_count = np.argsort(-counts, kind="stable")
+        counts = np.bincount(np.concatenate(ranks), minlength=len(words))
+        by_word = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+        laid = by_word[np.argsort(bucket[by_word], kind="stable")]
         rank = np.empty(len(words), np.uint32)
-        rank[by_count] = np.arange(len(words), dtype=np.uint32)
-        laid = np.array(sorted(range(len(words)), key=lambda i: (bucket[i], words[i])), np.int64)
-        seat = np.empty(len(words), np.int64)
-        seat[laid] = np.arange(len(words))
+        rank[laid[_by_count(counts[laid])]] = np.arange(len(words), dtype=np.uint32)
         out, kind = [], bucket[laid]
         edges = [0, *(np.flatnonzero(np.diff(kind)) + 1).tolist(), len(words)] if words else []
         for at, stop in zip(edges, edges[1:]):
             some = [words[i].encode() for i in laid[at:stop].tolist()]
-            out.append((block, WORDS, int(kind[at]), at, pack(np.array([len(w) for w in some])), zstandard.compress(b"".join(some), 3)))
-        out.append((block, SEATS, -1, len(words), pack(seat[by_count]), b""))
+            out.append((block, WORDS, int(kind[at]), at, pack(np.array([len(w) for w in some])), zstandard.compress(b"".join(some), 9)))
+        out.append((block, COUNTS, -1, len(words), pack(counts[laid]), b""))
         d = 0
         for rows in held:
             mine = ranks[d : d + len(rows)]
@@ -199,11 +200,11 @@ def _assemble(token_bytes, want_ids: bool, digest: bool):
             for _, kind, _, start, first, data in zip(*(c.to_pylist() for c in b.columns)):
                 if kind == WORDS:
                     parts.append((start, unpack(first), unpack(data)))
-                elif kind == SEATS:
+                elif kind == COUNTS:
                     parts.sort(key=lambda p: p[0])
                     if sum(len(p[1]) for p in parts) != start:
                         raise RuntimeError("a block lacks words")
-                    ready, parts = _tables(parts, unpack(first).astype(np.int64), token_bytes.value, digest), []
+                    ready, parts = _tables(parts, _by_count(unpack(first).astype(np.int64)), token_bytes.value, digest), []
                 else:
                     yield _documents(first, data, ready, want_ids, digest)
 

@@ -1,74 +1,32 @@
-"""Shared plumbing of the corpus operators: durable tables, bounded Arrow slices, salted joins.
-
-Only ``spark.checkpoint.dir`` (or the session's checkpoint folder) is used for intermediate tables, so
-that every executor sees them and a lost executor costs a re-read, never a recomputation of lost blocks.
-"""
+"""Shared plumbing of the corpus operators: bounded Arrow slices, folds, salted joins; tables come from ``storage``."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sparkweld.session import ship
+from sparkweld.storage import drop, save, shared_dir  # noqa: F401  (the operators take them from here)
 
 #: Text handled at once by a Python worker: bounds its memory whatever the Arrow batch holds.
 SLICE_BYTES = 4 << 20
 
 
 def session(spark: SparkSession) -> SparkSession:
-    """Bound what an Arrow batch may hold, as rows can be very long texts, and let executors import this package."""
+    """Bound what an Arrow batch may hold, as rows can be very long texts, and let executors import this package.
+
+    The two limits stay set: a lazy result is planned only when the caller uses it.
+    """
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, as the session has it.
-
-    Only where neither that setting nor a checkpoint folder is set and all runs on one machine (tests) a folder is
-    made; a cluster without the setting is an error, as its executors would each write to a disk of their own.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    now = sc._jsc.sc().getCheckpointDir()
-    if now.isEmpty():
-        if not named and not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="checkpoint-"))
-        now = sc._jsc.sc().getCheckpointDir()
-    return named.rstrip("/") if named else now.get()
-
-
-def save(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and return it read back: lineage ends there.
-
-    ``by``: a column of few values that becomes folders, so that a filter on it reads nothing else.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    out = df.write.option("compression", "zstd")
-    (out.partitionBy(by) if by else out).parquet(path)
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
-    back = spark.read.schema(schema).parquet(path)
-    back._saved_at = path
-    return back
-
-
-def drop(*saved: DataFrame) -> None:
-    """Delete tables of ``save`` that nothing will read again."""
-    for x in saved:
-        path = x.sparkSession._jvm.org.apache.hadoop.fs.Path(x._saved_at)
-        path.getFileSystem(x.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}
@@ -78,7 +36,8 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of plans that are no longer referenced."""
+    """Let Spark's cleaner drop shuffle files of plans that are no longer referenced: it goes by the collector, and a driver
+    with memory to spare would keep the files of every step to the end."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -8,14 +8,14 @@ digests in which two sets differ: a cell that holds a single digest, which its c
 it is taken out of its other cells. A step peels one subtable, where a digest has just one cell, so that nothing is taken
 out twice.
 
-* ``fingerprint`` is the number of digests and the sketch of ``BASE`` cells a subtable, its cells that aren't empty
-  written out. It is bounded, whatever the text's length.
-* The likeness of two fingerprints is a function of the two strings (``likeness``): the sketches subtract and are peeled.
-  Where nothing is left, the number of differing digests is exact; else what is left is estimated from the squares of the
-  remaining counts. The likeness is the Jaccard index that follows from both sizes and that number.
-* The digests in which a text and its edited version differ are recovered for every document: from the fingerprints where
-  these can be peeled, else from larger sketches that are sized for the estimated difference, and retried twice as large
-  with other hashes on failure (``differences``).
+* ``fingerprint`` is made of the digests' leading 32 bits: their number and the sketch of ``BASE`` cells a subtable, its
+  cells that aren't empty written out. It is bounded, whatever the text's length.
+* The likeness of two fingerprints is a function of the two strings: the sketches subtract and are peeled. Where nothing
+  is left, the number of differing digests is exact; else what is left is estimated from the squares of the remaining
+  counts. The likeness is the Jaccard index that follows from both sizes and that number. As sketches are sums, a text and
+  its edited version are subtracted while their cells are added up, which is the same as to subtract the strings.
+* The digests in which a text and its edited version differ are recovered whole for every document: from sketches that
+  are sized for the difference that the fingerprints show, retried twice as large with other hashes on failure.
 
 A document's next one is found from the order of ids and text hashes alone, sorted by range; only the head of the next
 text that the edit needs moves to the document. Nothing depends on the number of rows with one id or none, and rows that
@@ -53,7 +53,7 @@ def digests(text: str | Column) -> Column:
     col = F.col(text) if isinstance(text, str) else text
     runs = F.transform(F.regexp_extract_all(col, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(p))
     first = F.regexp_extract_all(F.regexp_extract(col, OPENING, 0), F.lit(PAIR), F.lit(0))
-    return F.array_distinct(F.concat(runs, F.transform(first, lambda p: F.xxhash64(p, F.lit(2)))))
+    return F.array_distinct(F.concat(F.transform(first, lambda p: F.xxhash64(p, F.lit(2))), runs))
 
 
 _KEY, _NEXT = ["k1", "k2"], ["j1", "j2"]
@@ -78,8 +78,9 @@ def order(docs: DataFrame) -> DataFrame:
 
 
 def versions(docs: DataFrame) -> DataFrame:
-    """``(row, doc_id, times, k1, k2, j1, j2, n_chars, edited_sha256, own, edited)``: each class of equal rows with the
-    digests of its text and of the edited text; of several equal rows all but one are a second row with themselves next."""
+    """``(row, doc_id, times, k1, k2, j1, j2, n_chars, edited_sha256, own, kept, tail)``: each class of equal rows with the
+    digests of its text and of the edited text, which are the first ``kept`` of ``own`` and ``tail``; of several equal rows
+    all but one are a second row with themselves next."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", F.lit(7), "doc_id").alias("k2"), "text")
     known = save(order(rows.select("doc_id", *_KEY, F.length("text").alias("size"))), "next")
@@ -94,10 +95,11 @@ def versions(docs: DataFrame) -> DataFrame:
     then = F.struct(F.lit(1).cast("long").alias("times"), F.concat(head, "piece").alias("edited"), "j1", "j2")
     same = F.struct((F.col("n") - 1).alias("times"), F.concat(head, F.left("text", third)).alias("edited"), F.col("k1").alias("j1"), F.col("k2").alias("j2"))
     x = x.select("doc_id", *_KEY, "size", "text", F.explode(F.when(F.col("n") > 1, F.array(then, same)).otherwise(F.array(then))).alias("v"))
-    return x.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", "v.times", *_KEY, "v.j1", "v.j2", F.col("size").cast("long").alias("n_chars"),
-        F.sha2("v.edited", 256).alias("edited_sha256"), digests("text").alias("own"), digests("v.edited").alias("edited"),
-    )
+    x = x.select("doc_id", "v.times", *_KEY, "v.j1", "v.j2", F.col("size").cast("long").alias("n_chars"), F.sha2("v.edited", 256).alias("edited_sha256"), digests("text").alias("own"), digests("v.edited").alias("new"))
+    unlike = F.array_position(F.zip_with("own", "new", lambda a, b: a.eqNullSafe(b)), False).cast("int")
+    kept = F.when(unlike > 0, unlike - 1).otherwise(F.least(F.size("own"), F.size("new")))
+    x = x.withColumn("kept", kept).withColumn("tail", F.slice("new", F.col("kept") + 1, F.greatest(F.lit(0), F.size("new") - F.col("kept"))))
+    return x.drop("new").withColumn("row", F.monotonically_increasing_id())
 
 
 def _cell(key: Column | str, sub: int, size: Column | str, seed: int) -> Column:
@@ -106,12 +108,12 @@ def _cell(key: Column | str, sub: int, size: Column | str, seed: int) -> Column:
 
 
 def _check(key: Column | str) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(key, F.lit(-1)), 32)
+    return F.shiftrightunsigned(F.xxhash64(key, F.lit(-1)), 40)
 
 
-def _added(rows: DataFrame) -> DataFrame:
+def _added(rows: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     """Cells of equal place added up; empty ones drop out."""
-    x = rows.groupBy("row", "pair", "size", "cell").agg(F.sum("n").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("check").alias("check"))
+    x = rows.groupBy(*also, "row", "pair", "size", "cell").agg(F.sum("n").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("check").alias("check"))
     return x.where("n <> 0 or key <> 0 or check <> 0")
 
 
@@ -127,9 +129,9 @@ def sketch(sets: DataFrame, seed: int = 0) -> DataFrame:
 FOUND = 10
 
 
-def peel(cells: DataFrame, seed: int = 0, steps: int = STEPS) -> DataFrame:
+def peel(cells: DataFrame, seed: int = 0, steps: int = STEPS, also: tuple[str, ...] = ()) -> DataFrame:
     """Cells that can't be peeled, and a row for each recovered digest: its pair is raised by ``FOUND``, ``key`` is the
-    digest and ``n`` the side that has it (1 or -1)."""
+    digest and ``n`` the side that has it (1 or -1). Rows are dealt by ``row``, or by columns ``also`` that go with it."""
     for i in range(steps):
         sub = i % 3
         pure = (F.col("pair") < FOUND) & (F.abs("n") == 1) & (F.col("check") == _check("key")) & (F.col("cell") == _cell("key", sub, "size", seed))
@@ -137,8 +139,8 @@ def peel(cells: DataFrame, seed: int = 0, steps: int = STEPS) -> DataFrame:
         same = row(*(F.col(c) for c in ("pair", "cell", "n", "key", "check")))
         taken = [row(F.col("pair"), _cell("key", s, "size", seed), -F.col("n"), F.col("key"), F.col("check")) for s in range(3) if s != sub]
         found = row(F.col("pair") + FOUND, F.col("key"), F.col("n"), F.col("key"), F.col("check"))
-        x = cells.select("row", "size", F.explode(F.when(pure, F.array(found, *taken)).otherwise(F.array(same))).alias("e"))
-        cells = _added(x.select("row", "size", "e.*"))
+        x = cells.select(*also, "row", "size", F.explode(F.when(pure, F.array(found, *taken)).otherwise(F.array(same))).alias("e"))
+        cells = _added(x.select(*also, "row", "size", "e.*"), also)
     return cells
 
 
@@ -171,28 +173,27 @@ def _read(fingerprint: Column, sign: int) -> Column:
     return F.transform(F.filter(F.split(fingerprint, ":"), lambda c: F.contains(c, F.lit("."))), cell)
 
 
-def compared(pairs: DataFrame) -> DataFrame:
-    """``pairs(row, pair, a, b)``, two fingerprints; their difference, peeled: cells that are left and recovered digests.
+def compared(pairs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """``pairs(row, a, b)``, two fingerprints; their difference, peeled: cells that are left and recovered digests.
 
-    Equal fingerprints have none. The rows must be dealt by ``row`` for this to need no shuffle.
+    Equal fingerprints have none. Where the pairs are dealt by ``also`` this needs no shuffle.
     """
     both = F.explode(F.concat(_read(F.col("a"), 1), _read(F.col("b"), -1))).alias("c")
-    cells = pairs.where("a <> b").select("row", "pair", both).select("row", "pair", F.lit(BASE).cast("long").alias("size"), "c.*")
-    return peel(_added(cells))
+    cells = pairs.where("a <> b").select(*also, "row", both).select(*also, "row", F.lit(0).alias("pair"), F.lit(BASE).cast("long").alias("size"), "c.*")
+    return peel(_added(cells, also), 0, STEPS, also)
 
 
-def differing(peeled: DataFrame) -> DataFrame:
-    """``(row, pair, differ, left)``: how many digests of a pair differ, and whether that is an estimate.
+def differing(peeled: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """``(row, differ)``: how many digests of a pair differ, those recovered and those that cells are left of.
 
-    Of ``left`` cells the counts' squares add up to the remaining digests, in each subtable and but for those that meet.
+    In each subtable the squares of the counts add up to the remaining digests, but for those that meet.
     """
-    of = F.when(F.col("pair") >= FOUND, F.col("pair") - FOUND).otherwise(F.col("pair"))
     cell, n = F.col("pair") < FOUND, F.col("n")
     total = lambda x: F.coalesce(F.sum(F.when(cell, x)), F.lit(0))
-    x = peeled.groupBy("row", of.alias("pair")).agg(F.count(F.when(~cell, 1)).alias("found"), F.count(F.when(cell, 1)).alias("left"), total(n * n).alias("squares"), (total(n) / 3).alias("net"))
+    x = peeled.groupBy(*also, "row").agg(F.count(F.when(~cell, 1)).alias("found"), F.count(F.when(cell, 1)).alias("left"), total(n * n).alias("squares"), (total(n) / 3).alias("net"))
     rest = (F.col("squares") - 3 * F.col("net") * F.col("net") / BASE) / (3 * (1 - 1 / BASE))
     rest = F.greatest(F.round(rest), F.abs("net"), F.lit(1.0))
-    return x.select("row", "pair", (F.col("found") + F.when(F.col("left") > 0, rest).otherwise(0.0)).alias("differ"), (F.col("left") > 0).alias("left"))
+    return x.select("row", (F.col("found") + F.when(F.col("left") > 0, rest).otherwise(0.0)).alias("differ"))
 
 
 def likeness(a: Column, b: Column, differ: Column) -> Column:
@@ -202,27 +203,40 @@ def likeness(a: Column, b: Column, differ: Column) -> Column:
     return F.when(both == 0, 1.0).otherwise((both - d) / F.greatest(both + d, F.lit(1.0)))
 
 
-def differences(sets: DataFrame) -> DataFrame:
-    """``sets(row, own, edited, differ)``, digest sets and the expected number of differing ones; returns ``(row, key, n)``:
-    the digests that only the first (n 1) or only the second set (-1) has, each row's sketch being decoded whole."""
+def _edited(kept: str = "kept", tail: str = "tail") -> Column:
+    return F.concat(F.slice("own", F.lit(1), F.col(kept)), tail)
+
+
+def _signed(sets: DataFrame, size: Column) -> DataFrame:
+    """``sets(row, own, edited, ...)``: entries of one pair, the first set less the second."""
+    entry = lambda n, keys: F.struct(F.lit(n).alias("n"), F.col(keys).alias("keys"))
+    return sets.select("row", F.lit(0).alias("pair"), size.alias("size"), F.explode(F.array(entry(1, "own"), entry(-1, "edited"))).alias("e")).select("row", "pair", "size", "e.*")
+
+
+def differences(sets: DataFrame, tasks: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``sets(row, own, kept, tail, differ)``, digest sets as ``versions`` has them, and the expected number of differing
+    ones, dealt by ``row``; returns ``(row, key, n)``: the digests that only the first (n 1) or only the second set (-1)
+    has, each row's sketch being decoded whole, and the tables that this is read from."""
     out, rest, spent = [], sets, []
     for attempt in range(1, ATTEMPTS + 1):
         size = F.ceil(F.col("differ") * CELLS * 2 ** (attempt - 1)) + MORE_CELLS
-        entry = lambda n, keys: F.struct(F.lit(n).alias("n"), F.col(keys).alias("keys"))
-        x = rest.select("row", F.lit(0).alias("pair"), size.alias("size"), F.explode(F.array(entry(1, "own"), entry(-1, "edited"))).alias("e")).select("row", "pair", "size", "e.*")
-        peeled = save(peel(sketch(x, attempt), attempt), "peeled")
+        x = _signed(rest.select("row", "own", _edited().alias("edited"), "differ"), size)
+        peeled = save(peel(sketch(x, attempt), attempt).select("row", "pair", "key", "n"), "recovered")
+        release(sets.sparkSession)
         failed = save(peeled.where(F.col("pair") < FOUND).select("row").distinct(), "failed")
-        spent.append(failed)
-        out.append(peeled.where(F.col("pair") >= FOUND).join(failed, "row", "left_anti").select("row", "key", "n"))
+        spent += [peeled, failed]
+        found = peeled.where(F.col("pair") >= FOUND).select("row", "key", "n")
         if failed.isEmpty():
+            out.append(found)
             break
-        rest = rest.join(failed, "row", "left_semi")
+        out.append(found.join(failed, "row", "left_anti"))
+        rest = rest.join(failed, "row", "left_semi").repartition(tasks, "row")
     else:
         raise RuntimeError("sketches can't be decoded")
     every = out[0]
     for x in out[1:]:
         every = every.unionByName(x)
-    return every
+    return every, spent
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -232,41 +246,43 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = save(versions(docs), "versions")
     release(spark)
     # a task's cells fit in its memory: tasks follow the number of digests and not the session's setting
-    total = rows.agg(F.sum(F.size("own") + F.size("edited")).alias("n")).first().n or 0
+    total = rows.agg(F.sum(2 * F.size("own") + F.size("tail")).alias("n")).first().n or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_DIGESTS))
+    leading = lambda keys: F.array_distinct(F.transform(keys, lambda k: F.shiftrightunsigned(k, 32)))
+    dealt = rows.select("row", "own", "kept", "tail").repartition(tasks, "row").select("row", leading(F.col("own")).alias("own"), leading(_edited()).alias("edited"))
     entry = lambda pair, keys: F.struct(F.lit(pair).alias("pair"), F.col(keys).alias("keys"))
-    dealt = rows.select("row", "own", "edited").repartition(tasks, "row")
-    sets = dealt.select("row", F.lit(1).alias("n"), F.lit(BASE).alias("size"), F.explode(F.array(entry(0, "own"), entry(1, "edited"))).alias("e")).select("row", "n", "size", "e.*")
-    prints = save(written(sketch(sets)), "prints")
+    both = dealt.select("row", F.lit(1).alias("n"), F.lit(BASE).alias("size"), F.explode(F.array(entry(0, "own"), entry(1, "edited"))).alias("e")).select("row", "n", "size", "e.*")
+    prints = save(written(sketch(both)), "prints")
     release(spark)
-    name = lambda c: F.coalesce(c, F.lit(EMPTY)).alias(c)
-    facts = rows.drop("own", "edited").join(prints, "row", "left").withColumns({c: name(c) for c in ("fingerprint", "edited_fingerprint")})
-    facts = save(facts, "facts")
-    drop(prints)
+    edit = save(differing(peel(sketch(_signed(dealt, F.lit(BASE))))), "differ-edited")
     release(spark)
-    # of a class's rows the one whose next is another class, or the only one there is
-    own = facts.where("times = 1").groupBy(*_KEY).agg(F.first("fingerprint").alias("b"))
-    following = facts.select("row", F.col("j1").alias("k1"), F.col("j2").alias("k2"), "fingerprint", "edited_fingerprint").join(own, _KEY).repartition(tasks, "row")
-    pair = lambda p, b: F.struct(F.lit(p).alias("pair"), F.col("fingerprint").alias("a"), F.col(b).alias("b"))
-    pairs = following.select("row", F.explode(F.array(pair(0, "edited_fingerprint"), pair(1, "b"))).alias("p")).select("row", "p.*")
-    peeled = save(compared(pairs), "peeled")
+    # the next class's fingerprint comes to the row; of a class's rows the one whose next is another, or the only one
+    keys = rows.select("row", "times", *_KEY, *_NEXT)
+    ahead = keys.groupBy(*_KEY).agg(F.min("row").alias("next")).select(F.col("k1").alias("j1"), F.col("k2").alias("j2"), "next")
+    ahead = save(keys.join(ahead, _NEXT).select("row", "next"), "ahead")
+    b = prints.select(F.col("row").alias("next"), F.col("fingerprint").alias("b"))
+    pairs = ahead.join(prints.select("row", F.col("fingerprint").alias("a")), "row", "left").join(b, "next", "left")
+    pairs = pairs.select("row", "next", F.coalesce("a", F.lit(EMPTY)).alias("a"), F.coalesce("b", F.lit(EMPTY)).alias("b"))
+    following = save(differing(compared(pairs, ("next",)), ("next",)), "differ-next")
     release(spark)
-    counts = save(differing(peeled), "differing")
-    first = peeled.where(F.col("pair") == FOUND).join(counts.where("pair = 0 and left").select("row"), "row", "left_anti").select("row", "key", "n")
-    hard = counts.where("pair = 0 and left").select("row", "differ")
-    found = first.unionByName(differences(rows.select("row", "own", "edited").join(hard, "row")))
+    # both sides are dealt alike, so the join moves neither again
+    sets = rows.select("row", "own", "kept", "tail").repartition(tasks, "row").join(edit.repartition(tasks, "row"), "row")
+    found, spent = differences(sets, tasks)
     side = lambda n, c: F.array_sort(F.collect_list(F.when(F.col("n") == n, F.col("key")))).alias(c)
-    recovered = found.groupBy("row").agg(side(1, "gone"), side(-1, "come"))
-    numbers = counts.groupBy("row").agg(*(F.max(F.when(F.col("pair") == p, F.col("differ"))).alias(f"differ{p}") for p in (0, 1)))
-    sizes = own.select(F.col("k1").alias("j1"), F.col("k2").alias("j2"), F.concat(F.substring_index("b", ":", 1), F.lit(":")).alias("next_size"))
-    out = facts.join(sizes, _NEXT).join(numbers, "row", "left").join(recovered, "row", "left")
+    recovered = save(found.groupBy("row").agg(side(1, "gone"), side(-1, "come")), "differences")
+    drop(*spent)
+    release(spark)
+    sizes = prints.select(F.col("row").alias("next"), F.concat(F.substring_index("fingerprint", ":", 1), F.lit(":")).alias("next_size"))
+    near = ahead.join(sizes, "next", "left").join(edit.withColumnRenamed("differ", "differ0"), "row", "left").join(following.withColumnRenamed("differ", "differ1"), "row", "left")
+    out = rows.drop("own", "kept", "tail").join(near.drop("next"), "row").join(prints, "row", "left").join(recovered, "row", "left")
+    name = lambda c: F.coalesce(c, F.lit(EMPTY))
     none = F.array().cast("array<long>")
     out = out.select(
-        "doc_id", "times", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint"), F.col("differ0")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_size"), F.col("differ1")).alias("near_next"), F.coalesce("gone", none).alias("gone"), F.coalesce("come", none).alias("come"),
+        "doc_id", "times", "n_chars", "edited_sha256", name("fingerprint").alias("fingerprint"), name("edited_fingerprint").alias("edited_fingerprint"),
+        likeness(name("fingerprint"), name("edited_fingerprint"), F.col("differ0")).alias("near_edited"),
+        likeness(name("fingerprint"), name("next_size"), F.col("differ1")).alias("near_next"), F.coalesce("gone", none).alias("gone"), F.coalesce("come", none).alias("come"),
     )
-    if not facts.where("times > 1").isEmpty():  # equal rows are written out by several tasks where they are many
+    if not rows.where("times > 1").isEmpty():  # equal rows are written out by several tasks where they are many
         step = F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1, F.lit(REPEATS).cast("long"))).alias("at")
         out = out.select("*", step).repartition(tasks)
         out = out.select("*", F.explode(F.sequence(F.col("at"), F.least(F.col("at") + REPEATS, F.col("times")) - 1)).alias("copy"))

@@ -2,10 +2,11 @@
 
 An archive begins with a skippable frame that holds its compression dictionary, then has one Zstandard frame a record.
 The writer trains the dictionary of an archive on its own first records, at most ``TRAIN_BYTES`` of them, and begins
-another archive once one has ``ARCHIVE_BYTES``, so that any archive can be read whole by one task. Each task writes under
-a name of its own attempt and renames when done; a repeated task writes the same bytes under the same final name.
+another archive once one has ``ARCHIVE_BYTES``, so that many tasks can read. Each task writes under a name of its own
+attempt and renames when done; a repeated task writes the same bytes under the same final name.
 
-The reader decodes a frame at a time and checks the version line, the mandatory headers, that the frame holds exactly
+The reader streams an archive of any size, a piece at a time, and holds one record; a frame that decodes to over
+``RECORD_BYTES`` is an error. It decodes a frame at a time and checks the version line, the mandatory headers, that the frame holds exactly
 the header, ``Content-Length`` bytes and the record's end, the HTTP body's length and the payload's digest.
 
 Of records with equal payloads of at least ``REVISIT_BYTES`` bytes that with the smallest id is written as response and
@@ -17,6 +18,7 @@ payload; an empty table gives no archive; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import io
 import re
 import struct
 import uuid
@@ -33,6 +35,8 @@ from sparkweld.llm.common import salted_join, save, session, shared_dir, slices,
 REVISIT_BYTES = 100
 ARCHIVE_BYTES = 8 << 20
 TRAIN_BYTES, DICTIONARY_BYTES = 512 << 10, 16 << 10
+#: The longest record and dictionary that are read, and bytes that are read and decoded at once: 4 KB decode to 128 MB at most.
+RECORD_BYTES, DICTIONARY_MOST, READ_BYTES, PIECE = 512 << 20, 16 << 20, 1 << 20, 4 << 10
 DATE = "2000-01-01T00:00:00Z"
 DICTIONARY_MAGIC, ZSTD_MAGIC = 0x184D2A5D, 0xFD2FB528
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -75,37 +79,69 @@ class ArchiveError(ValueError):
     """An archive or record that isn't valid, with its offset."""
 
 
-def frames(data: bytes) -> Iterator[tuple[int, bytes]]:
-    """Offset and content of each record's frame."""
-    view, at, trained = memoryview(data), 0, None
-    while at < len(data):
-        if at + 8 > len(data):
+class _Source:
+    """A file that is read in pieces, with the offset of what comes next."""
+
+    def __init__(self, file) -> None:
+        self.file, self.held, self.at = file, b"", 0
+
+    def take(self, n: int) -> bytes:
+        """The next ``n`` bytes, fewer at the end."""
+        while len(self.held) < n and (more := self.file.read(max(READ_BYTES, n - len(self.held)))):
+            self.held += more
+        out, self.held = self.held[:n], self.held[n:]
+        self.at += len(out)
+        return out
+
+    def back(self, unused: bytes) -> None:
+        self.held, self.at = unused + self.held, self.at - len(unused)
+
+
+def frames(data) -> Iterator[tuple[int, bytes]]:
+    """Offset and content of each record's frame of an archive, given as bytes or as an open file."""
+    source, trained = _Source(io.BytesIO(data) if isinstance(data, (bytes, bytearray, memoryview)) else data), None
+    while head := source.take(8):
+        at = source.at - len(head)
+        if len(head) < 8:
             raise ArchiveError(f"offset {at}: the archive ends inside a frame header")
-        magic, size = struct.unpack_from("<II", data, at)
+        magic, size = struct.unpack("<II", head)
         if magic & 0xFFFFFFF0 == 0x184D2A50:
-            body = bytes(view[at + 8 : at + 8 + size])
+            if magic != DICTIONARY_MAGIC:
+                left = size
+                while left and (some := source.take(min(left, READ_BYTES))):
+                    left -= len(some)
+                if left:
+                    raise ArchiveError(f"offset {at}: the archive ends inside a skippable frame")
+                continue
+            if at or size > DICTIONARY_MOST:
+                raise ArchiveError(f"offset {at}: a dictionary frame that isn't the first" if at else f"offset 0: a dictionary of {size} bytes")
+            body = source.take(size)
             if len(body) != size:
                 raise ArchiveError(f"offset {at}: the archive ends inside a skippable frame")
-            if magic == DICTIONARY_MAGIC:
-                if at:
-                    raise ArchiveError(f"offset {at}: a dictionary frame that isn't the first")
-                raw = zstandard.ZstdDecompressor().decompressobj().decompress(body) if body[:4] == struct.pack("<I", ZSTD_MAGIC) else body
-                trained = zstandard.ZstdCompressionDict(raw)
-            at += 8 + size
+            if body[:4] == struct.pack("<I", ZSTD_MAGIC):
+                body = _decode(_Source(io.BytesIO(body)), None, 0, DICTIONARY_MOST)
+            trained = zstandard.ZstdCompressionDict(body)
             continue
         if magic != ZSTD_MAGIC:
             raise ArchiveError(f"offset {at}: no Zstandard frame")
-        d, out, pos = zstandard.ZstdDecompressor(dict_data=trained).decompressobj(), [], at
-        try:
-            while not d.eof:
-                if pos >= len(data):
-                    raise ArchiveError(f"offset {at}: the archive ends inside a frame")
-                out.append(d.decompress(view[pos : pos + 65536]))
-                pos += min(65536, len(data) - pos)
-        except zstandard.ZstdError as e:
-            raise ArchiveError(f"offset {at}: {e}") from e
-        yield at, b"".join(out)
-        at = pos - len(d.unused_data)
+        source.back(head)
+        yield at, _decode(source, trained, at, RECORD_BYTES)
+
+
+def _decode(source: _Source, trained, at: int, most: int) -> bytes:
+    d, out, size = zstandard.ZstdDecompressor(dict_data=trained).decompressobj(), [], 0
+    try:
+        while not d.eof:
+            if not (some := source.take(PIECE)):
+                raise ArchiveError(f"offset {at}: the archive ends inside a frame")
+            out.append(d.decompress(some))
+            size += len(out[-1])
+            if size > most:
+                raise ArchiveError(f"offset {at}: a frame that decodes to over {most} bytes")
+    except zstandard.ZstdError as e:
+        raise ArchiveError(f"offset {at}: {e}") from e
+    source.back(d.unused_data)
+    return b"".join(out)
 
 
 def _headers(lines: list[bytes], at: int) -> dict[str, str]:
@@ -235,25 +271,28 @@ def read(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
 
     def get(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, data in zip(b.column(0).to_pylist(), b.column(1)):
+            for path in b.column(0).to_pylist():
+                fs, inside = pa.fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
                 out, size = [], 0
-                for at, content in frames(data.as_py()):
-                    try:
-                        r = parse(content, at)
-                    except ArchiveError as e:
-                        raise ArchiveError(f"{path}: {e}") from e
-                    if not payload:
-                        r["payload"] = None
-                    out.append(r | {"path": path, "offset": at})
-                    size += len(r["payload"] or b"") + 500
-                    if size > 4 << 20:
-                        yield pa.RecordBatch.from_pylist(out, kind)
-                        out, size = [], 0
+                with fs.open_input_stream(inside, compression=None) as f:
+                    for at, content in frames(f):
+                        try:
+                            r = parse(content, at)
+                        except ArchiveError as e:
+                            raise ArchiveError(f"{path}: {e}") from e
+                        if not payload:
+                            r["payload"] = None
+                        out.append(r | {"path": path, "offset": at})
+                        size += len(r["payload"] or b"") + 500
+                        if size > 4 << 20:
+                            yield pa.RecordBatch.from_pylist(out, kind)
+                            out, size = [], 0
                 if out:
                     yield pa.RecordBatch.from_pylist(out, kind)
 
+    # names and lengths alone: contents are streamed by the tasks
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
-    return files.select("path", "content").mapInArrow(get, schema)
+    return files.select("path", "length").mapInArrow(get, schema)
 
 
 ORACLE = """

@@ -65,6 +65,33 @@ def test_frames_with_dictionaries():
     assert list(warc.frames(b"")) == []
 
 
+def test_archives_are_streamed(monkeypatch):
+    """Small reads give the same records, a long archive is never held, and a frame that decodes to too much is refused."""
+
+    class File:
+        def __init__(self, data):
+            self.data, self.at, self.most = data, 0, 0
+
+        def read(self, n):
+            out = self.data[self.at : self.at + n]
+            self.at, self.most = self.at + len(out), max(self.most, n)
+            return out
+
+    records = [warc.record(i, "u", b"x%d" % i * 3000, hashlib.sha256(b"x%d" % i * 3000).hexdigest(), None, len(b"x%d" % i * 3000)) for i in range(40)]
+    data = b"".join(warc.archive(records, None)) + struct.pack("<II", 0x184D2A50, 3) + b"abc"
+    for n in (16, 100, 1 << 20):
+        monkeypatch.setattr(warc, "READ_BYTES", n)
+        monkeypatch.setattr(warc, "PIECE", min(n, 4096))
+        f = File(data)
+        got = list(warc.frames(f))
+        assert [x for _, x in got] == records and f.most <= max(n, 4096)
+        for at, x in got[:5]:
+            assert next(warc.frames(data[at:]))[1] == x
+    monkeypatch.setattr(warc, "RECORD_BYTES", 1000)
+    with pytest.raises(warc.ArchiveError, match="over 1000"):
+        list(warc.frames(data))
+
+
 def test_faults_are_found():
     data, records = sample()
     bad = [data[:-3], data + b"xy", data[:10], b"PK\x03\x04" + data, data + struct.pack("<II", warc.DICTIONARY_MAGIC, 2) + b"ab", data[:20] + b"\0\0\0\0" + data[24:]]

@@ -1,6 +1,7 @@
 """Queries of the corpus operators against their SQL in DuckDB, at the smallest scale."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from sparkweld.llm.registry import ORACLES, QUERIES
@@ -15,7 +16,7 @@ def test_oracle(spark, sf, name):
     assert sorted(got.columns) == sorted(want.columns) and len(got) >= 50
 
     def rows(df):
-        plain = lambda v: None if v is None or v != v else float(v) if isinstance(v, (int, float)) else str(v)
+        plain = lambda v: None if pd.isna(v) else float(v) if isinstance(v, (int, float)) else str(v)
         return sorted(repr(tuple(map(plain, r))) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
 
     assert rows(got) == rows(want)

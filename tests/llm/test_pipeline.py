@@ -1,5 +1,6 @@
 """The pipeline: each stage's decisions against brute force or the stage's own operator, on rows with odd cases."""
 
+import hashlib
 import re
 from collections import Counter
 
@@ -35,8 +36,12 @@ def test_stages(spark, tmp_path):
     for i, w in before.items():
         gone = {j + k for j in range(len(w) - 12) if first[tuple(w[j : j + 13])] < i for k in range(13)}
         assert after[i] == [x for j, x in enumerate(w) if j not in gone]
+    # the last stage decodes to the texts that it got
+    texts = {r.doc_id: hashlib.sha256((r.text or "").encode()).hexdigest() for r in seen[4].collect()}
+    last = seen[-1].collect()
+    assert all(r.decoded_sha256 == texts[r.doc_id] and len(r.ids) == r.n_tokens for r in last)
     whole = c.run(spark, SF).select("doc_id", "n_tokens", "ids").collect()
-    assert Counter((r.doc_id, r.n_tokens, tuple(r.ids)) for r in whole) == Counter((r.doc_id, r.n_tokens, tuple(r.ids)) for r in seen[-1].collect())
+    assert Counter((r.doc_id, r.n_tokens, tuple(r.ids)) for r in whole) == Counter((r.doc_id, r.n_tokens, tuple(r.ids)) for r in last)
 
 
 @pytest.mark.parametrize("name", [n for n, _ in c.STAGES])

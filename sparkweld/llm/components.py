@@ -1,7 +1,7 @@
 """Connected components over an edge table, by alternating large-star and small-star steps.
 
 Each step is an aggregation with map-side combine and a salted join, so a hub with very many neighbours
-is dealt over several tasks. The edge table is written to the shared folder after each round.
+is dealt over several tasks. The edge table is written to the shared folder after each round, and the one before deleted.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkweld.llm.common import release, salted_join, save
+from sparkweld.llm.common import drop, release, salted_join, save
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def _small_star(e: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``edges(u, v)``, long ids, any direction; returns ``(node, root)``, the root being the smallest id of its component.
+    """``edges(u, v)``, long ids, any direction; returns ``(node, root)``, a saved table, the root being the smallest id of its component.
 
     Nodes without an edge do not appear; loops, repeats and null ends are ignored; an empty table gives an empty one.
     """
@@ -38,7 +38,10 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before or not now[0]:
             break
         before = now
-        e = save(_small_star(_large_star(e)), "edges")
+        old, e = e, save(_small_star(_large_star(e)), "edges")
+        drop(old)
         release(spark)
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    out = save(e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots), "roots")
+    drop(e)
+    return out

@@ -216,7 +216,7 @@ def links(docs: DataFrame, sizes: DataFrame, text_col: str, chunk: int = CHUNK,
     first = shared.join(sizes.select("fp", "m"), "fp").withColumn("at", F.row_number().over(w)).withColumn("c", F.count("*").over(all_of))
     first = save(first.where(F.col("at") <= places - (F.col("m") - F.col("c"))).select("fp", "h"), "near-first")
     met = first.groupBy("h").agg(F.count("*").alias("n"), F.min("fp").alias("low")).where("n > 1")
-    blocks = save(components(salted_join(first, met, ["h"], ["fp"]).select(F.col("fp").alias("u"), F.col("low").alias("v"))), "near-blocks")
+    blocks = components(salted_join(first, met, ["h"], ["fp"]).select(F.col("fp").alias("u"), F.col("low").alias("v")))
     # a block of over `chunk` sets is a grid of chunk pairs; cell (i, j) holds chunk i (side 0) and chunk j (side 1)
     n = blocks.groupBy("root").agg(F.count("*").alias("n"))
     x = salted_join(blocks, n, ["root"], ["node"]).select("root", F.col("node").alias("fp"), F.ceil(F.col("n") / chunk).cast("int").alias("c"))
@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = save(classes(docs, id_col, text_col).withColumn("seat", F.monotonically_increasing_id()), "near")
     nodes = save(rows.groupBy("fp").agg(F.min("id").alias("low"), F.max("m").alias("m"), F.max("sim").alias("sim")), "near-classes")
     found = links(docs, nodes.select("fp", "m", "sim"), text_col)
-    roots = save(components(found), "near-roots")
+    roots = components(found)
     lows = save(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "near-lows")
     drop(found, nodes, roots)
     least = lows.groupBy("root").agg(F.min("low").alias("component"))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkweld.llm.common import salted_join, save, session, slices, table
+from sparkweld.llm.common import drop, salted_join, save, session, slices, table
 from sparkweld.llm.components import components
 
 SHINGLE = 3
@@ -176,9 +176,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = save(fingerprints(docs, id_col, text_col).withColumn("seat", F.monotonically_increasing_id()), "simhash")
     nodes = rows.groupBy("fp").agg(F.min("id").alias("low"))
-    roots = save(components(links(nodes.select("fp"))), "simhash-roots")
+    roots = components(links(nodes.select("fp")))
     lows = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = save(lows, "simhash-lows")
+    drop(roots)
     least = lows.groupBy("root").agg(F.min("low").alias("component"))
     by_fp = salted_join(lows.select("fp", "root"), least, ["root"], ["fp"]).select("fp", "component")
     return salted_join(rows, by_fp, ["fp"], ["seat"]).select("id", "fp", "component")

@@ -19,7 +19,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkweld.llm import bpe, decontaminate, near, quality, substrings
-from sparkweld.llm.common import save, table
+from sparkweld.llm.common import drop, save, table
 
 #: The vocabulary, and the pattern that splits texts before its merges.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -59,9 +59,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, saved = table(spark, sf_dir, "documents"), []
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = save(docs, f"stage-{name}")
+            drop(*saved)
+            saved = [docs]
     return docs

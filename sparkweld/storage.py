@@ -31,15 +31,25 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/") if named else now.get()
 
 
+#: With this setting Spark removes an execution's shuffle files when it ends, and not when the collector finds them.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def save(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and return it read back: lineage ends there.
+    """Write ``df`` as a table in the shared folder and return it read back: lineage ends there, and the shuffle files of
+    the write are removed at its end.
 
     ``by``: a column of few values that becomes folders, so that a filter on it reads nothing else.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    out = df.write.option("compression", "zstd")
-    (out.partitionBy(by) if by else out).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        out = df.write.option("compression", "zstd")
+        (out.partitionBy(by) if by else out).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
     back = spark.read.schema(schema).parquet(path)
     back._saved_at = path

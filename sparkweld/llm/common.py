@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -35,13 +34,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of plans that are no longer referenced: it goes by the collector, and a driver
-    with memory to spare would keep the files of every step to the end."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkweld.llm.common import drop, release, salted_join, save
+from sparkweld.llm.common import drop, salted_join, save
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -40,7 +40,6 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
         old, e = e, save(_small_star(_large_star(e)), "edges")
         drop(old)
-        release(spark)
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     out = save(e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots), "roots")
     drop(e)

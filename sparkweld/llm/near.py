@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkweld.llm.common import drop, fresh, release, salted_join, save, session, slices
+from sparkweld.llm.common import drop, fresh, salted_join, save, session, slices
 from sparkweld.llm.components import components
 from sparkweld.llm.simhash import _LOWER, near_lanes, planes_of
 from sparkweld.llm.winnow import Words, grams, mix
@@ -209,7 +209,6 @@ def links(docs: DataFrame, sizes: DataFrame, text_col: str, chunk: int = CHUNK,
     buckets = 1 + (sizes.agg(F.sum("m")).first()[0] or 0) // bucket
     dealt = docs.select(F.col(text_col).alias("text")).mapInArrow(_deal(buckets), "bucket int, names binary, n binary, h binary")
     shared = save(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "fp long, h long, freq long"), "near-shared")
-    release(spark)
     # the first places of each set; shingles that one set alone has come before all others
     all_of, w = Window.partitionBy("fp"), Window.partitionBy("fp").orderBy("freq", "h")
     places = F.col("m") - F.floor((NEAR[0] * F.col("m") + NEAR[1] - 1) / NEAR[1]) + 1

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkweld.llm.common import drop, fresh, release, save, session, slices, spread_join, table
+from sparkweld.llm.common import drop, fresh, save, session, slices, spread_join, table
 from sparkweld.llm.winnow import Words, anchors, grams, mix, stretches
 
 WINDOW = 13
@@ -96,28 +96,23 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.col("doc").isNotNull())
     shared = texts.mapInArrow(_scan(False), "h long, doc long").groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n"))
     shared = save(shared.where("low < high").select("h", "n"), "anchors")
-    release(spark)
     seen = texts.mapInArrow(_scan(True), "h long, doc long, c long, at long, size tinyint")
     seen = save(spread_join(seen, shared, ["h"], ["doc", "at"]), "occurrences")
     drop(shared)
-    release(spark)
     alike = seen.groupBy("h", "c").agg(F.min(F.struct("doc", "at", "size")).alias("first"), F.count("*").alias("n"))
     alike = save(alike.select("h", "c", "first", "n"), "contexts")
-    release(spark)
     # occurrences after the first document of their context: every window of theirs is known from there; and those in
     # the first document itself, but at another place, which keep the names of their anchor and context
     both = spread_join(seen, alike.select("h", "c", F.col("first.doc").alias("low"), F.col("first.at").alias("first_at"), "n"), ["h", "c"], ["doc", "at"])
     named = lambda c: F.when(F.col("doc") == F.col("low"), F.col(c)).alias(c)
     others = save(both.where("doc > low or at <> first_at").select("doc", "at", "size", named("h"), named("c")), "others")
     drop(seen)
-    release(spark)
     # anchors with several contexts: one occurrence of each, window by window
     several = save(alike.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "branching")
     parts = F.struct(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("first"), F.col("size").cast("long").alias("size"), "c", "h")
     reps = spread_join(alike.drop("n"), several, ["h"], ["c"]).select("first.*", "h", "c").groupBy("doc", F.shiftright("at", 32).alias("tag")).agg(F.collect_list(parts).alias("reps"))
     reps = save(reps, "representatives")
     drop(alike, several)
-    release(spark)
     # of repeated rows one is enough, and one is all that the shuffle gets
     mine = texts.withColumn("tag", tag_column("text"))
     often = save(mine.groupBy("doc", "tag").agg(F.count("*").alias("n")).where("n > 1"), "repeated-rows")
@@ -128,7 +123,6 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = mine.join(reps, ["doc", "tag"]).select("doc", "text", "reps")
     windows = save(rows.mapInArrow(_unroll, "h long, w long, c long, doc long, at long, step long"), "windows")
     drop(reps, often)
-    release(spark)
     lows = windows.groupBy("h", "w").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n"))
     lows = save(lows.where("low < high").select("h", "w", "low", "n"), "window-lows")
     known = spread_join(windows, lows, ["h", "w"], ["doc", "at"]).where("low < doc").select("h", "c", "doc", "at", F.col("step").cast("int").alias("step")).distinct()
@@ -145,7 +139,6 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     every = every.select("doc", F.shiftright("at", 32).alias("tag"), F.struct(start.alias("start"), (start + F.col("n") - 1 + WINDOW).alias("stop")).alias("span"))
     out = save(every.groupBy("doc", "tag").agg(F.collect_set("span").alias("spans")), "repeats")
     drop(others, known, steps)
-    release(spark)
     return out
 
 

@@ -75,8 +75,9 @@ def postal(c: str, least: int, most: int) -> str:
 # the records of ``fixtures.documents`` and ``fixtures.parts``
 DOCS = r"""w AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(n_chars, 0) AS n_chars, string_split(trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')), ' ') AS w FROM documents),
 rec AS (SELECT 'S' || (doc_id % 3 + 1) || '-' || doc_id AS entity_id, doc_id % 3 + 1 AS src, doc_id AS num,
-  trim(array_to_string(w[1:6], ' ') || (['', ' Pvt. Ltd.', ' Private Limited', ' & Co.', ' and Company', ' Inc', ' Incorporated', ' Corp.', ' Corporation', ' LLC', ' Ltd', ' Limited'])[doc_id // 3 % 12 + 1]) AS name,
-  trim(array_to_string(w[7:16], ' ') || (['', ' St.', ' Street', ' Rd', ' Road', ' Ave.', ' Avenue', ' Hwy', ' Highway', ' Lane', ' Building', ' Sector'])[doc_id // 5 % 12 + 1]
+  trim(CASE WHEN len(w) >= 6 AND doc_id // 3 % 5 >= 3 THEN array_to_string(w[1:2], ' ') || (['zq ', 'zqxjkv '])[doc_id // 3 % 5 - 2] || array_to_string(w[3:6], ' ') ELSE array_to_string(w[1:6], ' ') END
+    || (['', '', '', '', ' Pvt. Ltd.', ' Private Limited', ' & Co.', ' Inc', ' Incorporated', ' Corp.', ' LLC', ' Limited'])[doc_id // 3 % 12 + 1]) AS name,
+  trim(array_to_string(w[7:16], ' ') || (['', ' St.', ' Street', ' Rd', ' Road', ' Ave.', ' Avenue', ' Hwy', ' Highway', ' Lane', ' Building', ' Sector'])[doc_id // 3 % 12 + 1]
     || CASE WHEN doc_id % 4 = 3 THEN '' ELSE ', ' || (10000 + n_chars * 7919 % 90000) END) AS address,
   CASE WHEN doc_id % 10 = 9 THEN '' ELSE lang END AS country, CASE WHEN len(w) < 17 THEN '' ELSE lang || ':' || array_to_string(w[17:40], ' ') END AS rest FROM w)"""
 PARTS = """rec AS (SELECT 'S' || (p_partkey % 3 + 1) || '-' || p_partkey AS entity_id, p_partkey % 3 + 1 AS src, p_partkey AS num, p_name AS name,

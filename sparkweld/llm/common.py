@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -76,19 +77,20 @@ def spread_join(big: DataFrame, small: DataFrame, on: list[str], by: list[str],
 
     Column ``n`` of ``small`` (a saved table, one or few rows a key) counts the rows of ``big`` with that key; ``by`` are
     columns of ``big`` that tell the rows of a key apart. A key is hot when it has over a quarter of an even share of a
-    partition, so there are at most four hot keys a partition to be sent out. ``n`` isn't returned.
+    partition, so there are at most four hot keys a partition, whose hashes reach the driver and go into the plan; they are
+    dealt over a power of two of tasks. The plan is the same whether there are any. ``n`` isn't returned.
     """
     parts = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    total = small.agg(F.sum(n)).first()[0] or 0
-    share = max(1000, total // (4 * parts))
-    over = small.where(F.col(n) > share)
-    if over.isEmpty():
-        return big.join(small.drop(n), on, how)
-    salts = F.ceil(F.col(n) / share).cast("int")
-    hot = over.groupBy(*on).agg(F.max(salts).alias("_salts"))
-    left = big.join(F.broadcast(hot), on, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*by), F.col("_salts"))).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col(n) > share, salts - 1).otherwise(0)))).drop(n)
-    return left.drop("_salts").join(right, [*on, "_salt"], how).drop("_salt")
+    share = max(1000, (small.agg(F.sum(n)).first()[0] or 0) // (4 * parts))
+    code, levels = F.xxhash64(*on), defaultdict(list)
+    for r in small.where(F.col(n) > share).select(code.alias("code"), n).distinct().collect():
+        levels[(-(-r[1] // share) - 1).bit_length()].append(r.code)
+    salts = F.lit(1)
+    for level, codes in sorted(levels.items()):  # a hash of two levels takes the higher one on both sides
+        salts = F.when(code.isin(codes), 1 << level).otherwise(salts)
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(*by), salts).cast("int"))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop(n)
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
 def hashed_sample(rows: DataFrame, key: str, n: int) -> DataFrame:

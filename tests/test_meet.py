@@ -10,7 +10,7 @@ from sparkweld.plans import queries as q
 from tests.test_operators import records
 
 #: Queries, and whether their rows leave the blocks as a row an S1 record.
-SETTLED = {"candidate_stats": True, "label_pairs": False, "negatives_cap": False, "block_hot_keys_cap": False, "block_token_pass": False, "pass_contribution": True, "block_unicode_cap": False, "block_union_ordered_cap": False, "candidate_lists_wide": True, "candidate_percentiles": True}
+SETTLED = {"candidate_stats": True, "label_pairs": False, "negatives_cap": False, "block_hot_keys_cap": False, "block_token_pass": False, "pass_contribution": True, "block_unicode_cap": False, "block_union_ordered_cap": False, "candidate_lists_wide": True, "candidate_percentiles": True, "candidates_long": False}
 
 
 @pytest.mark.parametrize("name", sorted(SETTLED))

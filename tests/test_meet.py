@@ -1,10 +1,12 @@
 """Capped candidates in blocks: no pair is shuffled, and the result is that of the join, window and cap."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from sparkweld.operators import blocking as b
-from sparkweld.operators import match
+from sparkweld.operators import match, meet
 from sparkweld.plans import fixtures as fx
 from sparkweld.plans import queries as q
 from tests.test_operators import records
@@ -55,3 +57,17 @@ def test_counts_and_lists_in_blocks(spark):
         own = [p for p in pairs if p.s1_id == s]
         assert r.n == len(own) and r.ids == ",".join(sorted(p.ref_id for p in own))
         assert r.new_pairs == [sum(p.pass_no == k for p in own) for k in range(1, 11)]
+
+
+def test_texts_move_packed_and_once_a_reference(spark, monkeypatch):
+    """Before the blocks no row is shuffled for each reference of each block, also with more blocks than bits."""
+    s1, refs = fx.sides(records(spark, 600))  # 200 of S1
+    found = b.scored_candidates(s1, refs)
+    want = sorted(map(tuple, found.collect()))
+    deal = meet._blocks
+    monkeypatch.setattr(meet, "_blocks", lambda s1, by, most: deal(s1, by, 3))
+    many = b.scored_candidates(s1, refs)
+    for x in (found, many):
+        plan = x._jdf.queryExecution().executedPlan().toString()
+        assert "packed#" in plan and not re.search(r"hashpartitioning\(block#\d+, entity_id#\d+", plan)
+    assert sorted(map(tuple, many.collect())) == want and len(want) > 1000
